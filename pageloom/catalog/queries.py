@@ -68,8 +68,13 @@ def _drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _stream_path(folder: str, name: str) -> str:
+    """A pattern, since a stream takes a single file only by one."""
+    return f"{folder}/[{name[0]}]{name[1:]}.parquet"
+
+
 def _page_stream(spark, folder):
-    return sources.read_pages_stream(spark, f"{folder}/pages.parquet")
+    return sources.read_pages_stream(spark, _stream_path(folder, "pages"))
 
 
 @query
@@ -182,7 +187,7 @@ def resolve_url(spark, folder):
         "rooted": F.col("href"),
         "plain": F.concat(word, F.lit("x")),
         "query": F.concat(F.lit("?"), word, F.lit("x")),
-        "fragment": F.concat(F.lit(" #"), word, F.lit("x ")),
+        "fragment": F.concat(F.lit("#"), word, F.lit("x")),
         "host": F.concat(F.lit("//"), word, F.lit("x.test/a")),
         "absolute": F.concat(F.lit("http://"), word, F.lit("x.test/a")),
         "mail": F.concat(F.lit("mailto:"), word),
@@ -624,7 +629,7 @@ def breaker_replay(spark, folder):
 @query
 def breaker_stream(spark, folder):
     events = given.events(spark, folder)
-    log = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet")
+    log = spark.readStream.schema(events.schema).parquet(_stream_path(folder, "events"))
     stream = breaker.breaker_stream(log, given.failed(), "user_id", "ts", "event_id", RULES)
     return _drain(stream, "breaker").select(
         F.col("key").cast("bigint").alias("user_id"),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from pageloom.functions.text import normalize_ws
+from pageloom.functions.text import normalize_ws, strip_ws
 
 # Elements whose text is not content, elements whose body is not
 # markup, elements without an end tag, elements whose text a tree's plain text
@@ -48,6 +48,7 @@ HREF = (
     r"(?i)<a\s(?:[^>]*?\s)?href"
     r"""(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)|(?=[\s/>]))"""
 )
+QUOTES = r"""^["']|["']$"""
 
 
 def strip_elements(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
@@ -76,7 +77,7 @@ def html_to_text(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
 
 
 def link_values(c: Column) -> Column:
-    """Array of distinct decoded ``href`` values of the page's anchors.
+    """Array of distinct decoded and trimmed ``href`` values of the page's anchors.
 
     Links in navigation and footers count; those in comments, scripts and
     styles do not.
@@ -84,11 +85,7 @@ def link_values(c: Column) -> Column:
     found = F.regexp_extract_all(strip_elements(c, RAW_TEXT), F.lit(HREF), F.lit(1))
     unquoted = F.transform(
         found,
-        lambda v: decode_entities(
-            F.when(
-                F.substring(v, 1, 1).isin('"', "'"), F.substr(v, F.lit(2), F.length(v) - 2)
-            ).otherwise(v)
-        ),
+        lambda v: strip_ws(decode_entities(F.regexp_replace(v, QUOTES, ""))),
     )
     return F.array_distinct(unquoted)
 
@@ -123,7 +120,7 @@ class _Page(HTMLParser):
         if tag == "a":
             values = [v for k, v in attrs if k == "href"]
             if values:
-                self.hrefs.append(values[-1] or "")
+                self.hrefs.append((values[-1] or "").strip())
         if tag not in VOID:
             self.stack.append(tag)
             self.depth += tag in self.hidden

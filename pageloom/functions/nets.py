@@ -36,10 +36,12 @@ OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted address as bigint; NULL for anything else (leading zeros included)."""
-    shape = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
-    octets = [F.regexp_extract(ip, shape, i).cast("bigint") for i in range(1, 5)]
-    number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when(ip.rlike(shape), number)
+    number = F.aggregate(
+        F.split(ip, r"\."),
+        F.lit(0).cast("bigint"),
+        lambda so_far, octet: so_far * 256 + octet.cast("bigint"),
+    )
+    return F.when(ip.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), number)
 
 
 def _within(number: Column, blocks: tuple[str, ...]) -> Column:
@@ -55,8 +57,11 @@ def _within(number: Column, blocks: tuple[str, ...]) -> Column:
 
 def is_reserved_v4(number: Column) -> Column:
     """The address lies in a private, loopback or reserved range. The ranges are
-    constants of the expression, so no join is needed."""
-    return _within(number, RESERVED_V4) & ~_within(number, PUBLIC_V4)
+    constants of the expression, so no join is needed; ``exists`` over one element
+    names the number, which would else be worked out anew for every range."""
+    return F.exists(
+        F.array(number), lambda n: _within(n, RESERVED_V4) & ~_within(n, PUBLIC_V4)
+    )
 
 
 @F.pandas_udf(BooleanType())

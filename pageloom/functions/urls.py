@@ -12,8 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from pageloom.functions.text import strip_ws
-
 # Link schemes that lead to no page.
 EXCLUDED_PROTOCOLS = ("mailto:", "tel:", "whatsapp:")
 WEB_SCHEMES = ("http", "https")
@@ -21,6 +19,12 @@ SITE_MATCHES = ("contains", "suffix", "exact")
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+# After user and password: up to the closing bracket if there is an opening one,
+# else up to the port.
+HOST = (
+    r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?"
+    r"(?:[^/?#@\[]*\[)?((?<=\[)[^\]/?#@]*|[^/?#:@\[]*)"
+)
 
 
 def scheme(url: Column) -> Column:
@@ -34,11 +38,7 @@ def netloc(url: Column) -> Column:
 
 def hostname(url: Column) -> Column:
     """Host in lower case without user, port or brackets; NULL if there is none."""
-    server = F.regexp_replace(netloc(url), "^.*@", "")
-    bare = F.when(
-        server.contains("["), F.regexp_extract(server, r"\[([^\]]*)", 1)
-    ).otherwise(F.regexp_extract(server, "^[^:]*", 0))
-    return F.nullif(F.lower(bare), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
 def url_parts(url: Column) -> Column:
@@ -115,13 +115,12 @@ def resolve_native(base: Column, href: Column) -> Column:
 
 
 def resolve_url(base: Column, href: Column, exact: bool = True) -> Column:
-    """Absolute URL of a link found on page ``base``.
+    """Absolute URL of a link found on page ``base``; ``href`` has no blanks around it.
 
     Frequent forms are built natively. With ``exact`` the rest (dot segments,
     empty segments, odd characters) goes to ``url_join``, and rows already solved
     send only NULLs there; without it they become NULL.
     """
-    href = strip_ws(href)
     native = resolve_native(base, href)
     if not exact:
         return native

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pageloom.operators.links import build_edges
-from pageloom.session import materialize
+from pageloom.session import materialize, scratch_path
 
 
 def expand_frontier(frontier: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,28 +44,28 @@ def _walk(
 ) -> DataFrame:
     if max_depth is not None and max_depth < 0:
         raise ValueError("max_depth must be non-negative")
-    seeds = materialize(seeds.select("url").distinct(), "seeds")
-    frontier, levels = seeds, []
+    spark = seeds.sparkSession
+    frontier = seeds = materialize(seeds.select("url").distinct(), "seeds")
+    folder = scratch_path(spark, "levels")
+    found = None
     depth = 0
     while max_depth is None or depth <= max_depth:
         if depth >= max_levels:
             raise RuntimeError(f"links still unvisited after {max_levels} levels")
         fresh = expand(frontier)
-        if levels:
-            fresh = drop_visited(fresh, reduce(DataFrame.union, levels).select("url"))
-        # Each level is a table of its own: the plan of the next one starts
-        # here, and a lost executor does not bring back earlier levels.
-        level = materialize(fresh.withColumn("depth", F.lit(depth + 1)), "level")
-        frontier = drop_visited(level.select("url"), seeds)
-        if level.isEmpty():
+        if found is not None:
+            fresh = drop_visited(fresh, found.select("url"))
+        # Each level is written as one more partition of the result: the plan of
+        # the next level starts there, and a lost executor does not bring back
+        # earlier levels.
+        rows = Observation()
+        level = f"{folder}/depth={depth + 1}"
+        fresh.observe(rows, F.count("*").alias("n")).write.parquet(level)
+        found = spark.read.schema("url string, depth int").parquet(folder)
+        if rows.get["n"] == 0:
             break
-        levels.append(level)
+        frontier = drop_visited(spark.read.schema("url string").parquet(level), seeds)
         depth += 1
-    found = (
-        reduce(DataFrame.union, levels)
-        if levels
-        else seeds.withColumn("depth", F.lit(0)).limit(0)
-    )
     if not include_seed:
         return found
     unlinked = drop_visited(seeds, found.select("url"))

@@ -16,6 +16,7 @@ from pageloom.functions.nets import (
     is_reserved_v4,
 )
 from pageloom.functions.urls import hostname
+from pageloom.session import once
 
 
 def cidr_blocks(spark, blocks: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -65,7 +66,8 @@ def cidr_match(hosts: DataFrame, blocks: DataFrame, ip: str = "host") -> DataFra
 
 def filter_public_host(urls: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose URL names no local, private, loopback or reserved host."""
-    return urls.filter(is_public_host(hostname(F.col(url))))
+    hosted = once(urls, "_host", hostname(F.col(url)))
+    return hosted.filter(is_public_host(F.col("_host"))).drop("_host")
 
 
 def resolved_host_check(urls: DataFrame, dns: DataFrame, url: str = "url") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.html import link_values, link_values_parsed
-from pageloom.functions.urls import netloc, resolve_url, should_follow
+from pageloom.functions.urls import netloc, resolve_native, should_follow, url_join
+from pageloom.session import once
 
 
 def extract_links(pages: DataFrame, parsed: bool = False) -> DataFrame:
@@ -17,10 +18,17 @@ def extract_links(pages: DataFrame, parsed: bool = False) -> DataFrame:
 
 def resolve_links(links: DataFrame, exact: bool = True) -> DataFrame:
     """(src, dst) of absolute URLs; links that are no URL are dropped."""
-    return links.select(
-        F.col("url").alias("src"),
-        resolve_url(F.col("url"), F.col("href"), exact).alias("dst"),
-    ).filter("dst IS NOT NULL")
+    page, href = F.col("url"), F.col("href")
+    links = once(links, "_near", resolve_native(page, href))
+    dst = F.col("_near")
+    if exact:
+        far = dst.isNull()
+        dst = F.coalesce(dst, url_join(F.when(far, page), F.when(far, href)))
+    return (
+        once(links, "dst", dst)
+        .select(page.alias("src"), "dst")
+        .filter("dst IS NOT NULL")
+    )
 
 
 def build_edges(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
@@ -43,3 +44,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once per row.
+
+    The optimizer copies a projected expression into each filter above it, Python
+    calls included; it does not look through what a generator yields.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
