@@ -378,8 +378,8 @@ def _all_urls(spark, folder):
 
 @query
 def fetch_lookup(spark, folder):
-    looked_up = sites.fetch_lookup(_all_urls(spark, folder), given.pages(spark, folder))
-    return looked_up.select("url", "outcome", F.length("html").cast("bigint").alias("size"))
+    pages = given.pages(spark, folder).withColumn("size", F.length("html").cast("bigint"))
+    return sites.fetch_lookup(_all_urls(spark, folder), pages, keep=["size"])
 
 
 @query
@@ -484,8 +484,8 @@ def crawl_depth_counts(spark, folder):
 @query
 def run_summary(spark, folder):
     pages = given.pages(spark, folder)
-    cut = materialize(chunks.chunk_pages(pages, WIDTH), "chunks")
-    looked_up = sites.fetch_lookup(_all_urls(spark, folder), pages)
+    cut = materialize(chunks.chunk_pages(pages, WIDTH).drop("content"), "chunks")
+    looked_up = sites.fetch_lookup(_all_urls(spark, folder), pages, keep=[])
     return reports.run_summary(looked_up, cut, chunks.dedup_chunks(cut))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ BYTE_ORDER_MARKS = {
     "FEFF": "utf-16",
 }
 UTF8_NAMES = ("utf-8", "utf8", "utf_8")
+SURROGATE = re.compile("[\ud800-\udfff]")
 META = r"""(?i)<meta[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9._:-]+)"""
 
 
@@ -40,7 +43,8 @@ def _decode(body: bytes, *names: str | None) -> str:
     for name in names:
         try:
             if name:
-                return body.decode(name, errors="replace")
+                # Some codecs yield half of a surrogate pair, which is no text.
+                return SURROGATE.sub("\ufffd", body.decode(name, errors="replace"))
         except (LookupError, ValueError):
             continue
     return body.decode("utf-8", errors="replace")

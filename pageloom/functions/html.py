@@ -3,8 +3,8 @@
 Two paths. The native one is regular expressions inside the JVM and is the
 default. The parser one is an Arrow UDF over the standard library's tokenizer
 with an open-element stack. They differ on unclosed or nested dropped elements,
-on ``<`` inside attribute values, on raw ``<`` in text, on repeated attributes
-and on rare character references; see the tests for pinned examples.
+on ``>`` inside attribute values, on repeated attributes and on rare named
+references; see the tests for pinned examples.
 """
 
 from __future__ import annotations
@@ -30,49 +30,94 @@ VOID = frozenset(
 )
 UNPRINTED = frozenset(("template", "rt", "rp"))
 ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&#39;": "'",
-    "&nbsp;": " ",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&middot;": "·",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&hellip;": "…",
+    "amp": "&",
+    "nbsp": "\u00a0",
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "apos": "'",
+    "copy": "©",
+    "reg": "®",
+    "trade": "™",
+    "middot": "·",
+    "bull": "•",
+    "ndash": "–",
+    "mdash": "—",
+    "hellip": "…",
+    "lsquo": "‘",
+    "rsquo": "’",
+    "ldquo": "“",
+    "rdquo": "”",
+    "laquo": "«",
+    "raquo": "»",
+    "euro": "€",
+    "pound": "£",
+    "sect": "§",
+    "deg": "°",
+    "times": "×",
+    "rarr": "→",
+    "larr": "←",
 }
-AMPERSAND = r"&amp(?:;|(?![A-Za-z0-9.-]))"
 HREF = (
     r"(?i)<a\s(?:[^>]*?\s)?href"
     r"""(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)|(?=[\s/>]))"""
 )
+NAMED = "^([A-Za-z][-.A-Za-z0-9]*);?"
+NUMBERED = "^#([0-9]+|[xX][0-9A-Fa-f]+);?"
 QUOTES = r"""^["']|["']$"""
 
 
+def _elements(tags: tuple[str, ...]) -> str:
+    """Comments, and the named elements with all they hold, after their ``<``."""
+    return rf"!--.*?-->|({'|'.join(tags)})\b[^>]*>.*?(?:</\1\s*>|\z)"
+
+
 def strip_elements(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
     """Blank out comments and the named elements with all they hold.
 
     One alternation meets comments and elements in document order. An element
     without an end tag reaches to the end of the text.
     """
-    names = "|".join(tags)
-    return F.regexp_replace(
-        c, rf"(?is)<!--.*?-->|<({names})\b[^>]*>.*?(?:</\1\s*>|\z)", " "
+    return F.regexp_replace(c, f"(?is)<(?:{_elements(tags)})", " ")
+
+
+def _decode_one(part: Column) -> Column:
+    """What follows an ampersand, with the reference it starts with decoded."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    name = F.regexp_extract(part, NAMED, 1)
+    known = F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name))
+    digits = F.regexp_extract(part, NUMBERED, 1)
+    code = F.when(
+        F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)
+    ).otherwise(digits)
+    code = code.try_cast("int")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.when(
+        valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    ).otherwise("\ufffd")
+    return (
+        F.when(part.startswith("amp;"), F.concat(F.lit("&"), F.substr(part, F.lit(5))))
+        .when(part.startswith("#") & part.rlike(NUMBERED), F.concat(char, F.regexp_replace(part, NUMBERED, "")))
+        .otherwise(F.concat(known, F.regexp_replace(part, NAMED, "")))
     )
 
 
-def decode_entities(c: Column, entities: dict[str, str] | None = None) -> Column:
-    """Decode the listed character references, ``&amp`` last."""
-    for name, char in (ENTITIES if entities is None else entities).items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return F.regexp_replace(c, AMPERSAND, "&")
+def decode_entities(c: Column) -> Column:
+    """Decode numeric references and the named ones in ``ENTITIES``.
+
+    The text is split at ampersands, so each piece is looked at once and nothing
+    is decoded twice. A reference may lack its semicolon; an unknown name keeps
+    its ampersand and loses the semicolon.
+    """
+    parts = F.split(c, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), _decode_one)
+    return F.array_join(F.concat(F.slice(parts, 1, 1), rest), "")
 
 
 def html_to_text(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
-    """Visible text with single blanks, inside the JVM."""
-    bare = F.regexp_replace(strip_elements(c, tags), "<[^>]*>", " ")
+    """Visible text with single blanks, inside the JVM. Comments, dropped elements
+    and tags go in one pass."""
+    bare = F.regexp_replace(c, f"(?is)<(?:{_elements(tags)}|[/!?a-z][^>]*>)", " ")
     return normalize_ws(decode_entities(bare))
 
 
@@ -95,7 +140,7 @@ def _charref(digits: str) -> str:
         code = int(digits[1:], 16) if digits[:1] in "xX" else int(digits)
         if 127 < code < 160:
             return bytes([code]).decode("windows-1252")
-        return chr(code) if code else "�"
+        return "�" if code == 0 or 0xD800 <= code < 0xE000 else chr(code)
     except (ValueError, OverflowError):
         return "�"
 

@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from pageloom.functions.urls import should_follow
 from pageloom.operators.links import build_edges
 from pageloom.session import materialize, scratch_path
 
+LISTED_SEEDS = 100
+
 
 def expand_frontier(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct targets of the links that leave the frontier's URLs."""
@@ -95,6 +98,23 @@ def reach(
     )
 
 
+def visitable(pages: DataFrame, seeds: DataFrame, **filters) -> DataFrame:
+    """The pages a crawl can come to: those that pass the filters, and the seeds.
+
+    A condition on the URL alone, so the scan skips other pages before their
+    HTML is parsed. Many seeds are found by a join instead of a list.
+    """
+    if filters.get("site") == "own":
+        filters = {**filters, "site": None}
+    passes = should_follow(F.col("url"), **filters)
+    some = seeds.select("url").distinct().limit(LISTED_SEEDS + 1).collect()
+    if len(some) <= LISTED_SEEDS:
+        return pages.filter(passes | F.col("url").isin([r["url"] for r in some]))
+    others = pages.filter(~F.coalesce(passes, F.lit(False)))
+    started = others.join(seeds.select("url"), "url", "left_semi")
+    return pages.filter(passes).unionByName(started)
+
+
 def crawl(
     seeds: DataFrame,
     pages: DataFrame | None = None,
@@ -115,7 +135,8 @@ def crawl(
     if (pages is None) == (fetch is None):
         raise ValueError("give either pages or fetch")
     if fetch is None:
-        edges = materialize(build_edges(pages, parsed, **filters), "edges")
+        near = visitable(pages, seeds, **filters)
+        edges = materialize(build_edges(near, parsed, **filters), "edges")
         return reach(edges, seeds, max_depth, max_levels, include_seed)
 
     def expand(frontier: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,16 @@ from pageloom.functions.urls import SITE_MATCHES, netloc, should_follow
 from pageloom.operators.running import ROWS_PER_SLICE, running, spread_keys
 
 
-def fetch_lookup(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """(url, html, outcome): the page of every URL, ``processed`` or ``failed``."""
-    return urls.join(pages.select("url", "html"), "url", "left").withColumn(
-        "outcome",
-        F.when(F.col("html") != "", F.lit("processed")).otherwise(F.lit("failed")),
+def fetch_lookup(
+    urls: DataFrame, pages: DataFrame, keep: Sequence[str] = ("html",)
+) -> DataFrame:
+    """(url, *keep, outcome): what the snapshot holds for every URL, ``processed``
+    or ``failed``. The outcome is worked out before the join, so that with
+    ``keep=()`` no page content is shuffled."""
+    had = pages.select("url", *keep, (F.col("html") != "").alias("_body"))
+    outcome = F.when(F.col("_body"), F.lit("processed")).otherwise(F.lit("failed"))
+    return (
+        urls.join(had, "url", "left").withColumn("outcome", outcome).drop("_body")
     )
 
 

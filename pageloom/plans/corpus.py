@@ -7,11 +7,17 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.text import chunk_text
 from pageloom.functions.urls import EXCLUDED_PROTOCOLS, filter_valid_target, netloc
-from pageloom.operators.chunks import chunk_pages, dedup_chunks, export_chunks, hash_chunks, page_texts
-from pageloom.operators.graph import crawl
+from pageloom.operators.chunks import (
+    chunk_pages,
+    dedup_chunks,
+    export_chunks,
+    hash_chunks,
+    page_texts,
+)
+from pageloom.operators.graph import crawl, visitable
 from pageloom.operators.hosts import filter_public_host
-from pageloom.functions.text import chunk_text
 
 
 def pages_to_chunks(
@@ -59,13 +65,7 @@ def crawl_to_chunks(
         raise ValueError("domain must be an http or https URL with a host")
     if check_host and filter_public_host(seeds).isEmpty():
         raise ValueError("domain is a local, private or reserved host")
-    found = crawl(
-        seeds,
-        pages,
-        fetch,
-        max_depth,
-        include_seed=include_seed,
-        parsed=parsed,
+    filters = dict(
         site=row[0],
         start_with=start_with,
         include_keywords=include_keywords,
@@ -73,7 +73,10 @@ def crawl_to_chunks(
         excluded_protocols=excluded_protocols,
         site_match=site_match,
     )
-    content = fetch(found.select("url")) if fetch else pages
+    found = crawl(
+        seeds, pages, fetch, max_depth, include_seed=include_seed, parsed=parsed, **filters
+    )
+    content = fetch(found.select("url")) if fetch else visitable(pages, seeds, **filters)
     return export_chunks(
         dedup_chunks(found_chunks(found, content, split_length, parsed))
     )

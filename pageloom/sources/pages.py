@@ -24,10 +24,10 @@ def read_pages(
 
 
 def spread_splits(df: DataFrame) -> DataFrame:
-    """Use all cores when a table has fewer splits than there are cores, as a
-    single small file does; a table of many splits is left as it is."""
+    """Use all cores when a scan has fewer splits than there are cores, as that of
+    one small file has; a scan of many splits is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_page_files(spark: SparkSession, path: str, base_url: str) -> DataFrame:

@@ -29,12 +29,11 @@ def extract_stream(
 def _first_seen(df: DataFrame, column: str, salts: int) -> DataFrame:
     if salts > 1:
         # A value that fills much of the stream is first dropped within `salts`
-        # sub-keys, so that its repeats are spread over as many tasks.
-        spread = [c for c in df.columns if c != column] or [column]
+        # groups of input splits, so that its repeats are spread over as many
+        # tasks and at most `salts` of them ever reach the second step.
+        salt = F.pmod(F.spark_partition_id(), F.lit(salts))
         df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-            .dropDuplicates([column, "_salt"])
-            .drop("_salt")
+            df.withColumn("_salt", salt).dropDuplicates([column, "_salt"]).drop("_salt")
         )
     return df.dropDuplicates([column])
 
@@ -58,6 +57,6 @@ def dedup_stream(
     )
 
 
-def visited_stream(urls: DataFrame, salts: int = 1) -> DataFrame:
+def visited_stream(urls: DataFrame, salts: int = 8) -> DataFrame:
     """Each ``url`` once, for ever."""
     return _first_seen(urls, "url", salts)

@@ -147,3 +147,14 @@ def test_small_frontier_is_broadcast_and_edges_stay_put(spark, folder):
     frontier = graph.materialize(seeds_of(spark, "s"), "frontier")
     plan = graph.expand_frontier(frontier, edges)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("listed", [graph.LISTED_SEEDS, 0])
+def test_pages_a_crawl_can_come_to(spark, monkeypatch, listed):
+    monkeypatch.setattr(graph, "LISTED_SEEDS", listed)
+    seeds = seeds_of(spark, "http://o.t/", "http://s.t/", "http://none/")
+    near = graph.visitable(pages_of(spark), seeds, site="s.t", exclude_keywords=["skip"])
+    assert sorted(r["url"] for r in near.collect()) == [
+        "http://o.t/", "http://s.t/", "http://s.t/a", "http://s.t/b?x=1&y=2", "http://s.t/c",
+        "http://s.t/d",
+    ]

@@ -62,7 +62,9 @@ HTML = [
     ("", "", ""),
     ("<p title='a>b'>c</p>", "c", "b'>c"),
     ("<!DOCTYPE html><p>x<br>y</p>", "x y", "x y"),
-    ("<p>&#65;&#x42;&eacute;&unknown;</p>", "ABé&unknown", "&#65;&#x42;&eacute;&unknown;"),
+    ("<p>&#65;&#x42;&#128512;&#xD800;&copy 1&unknown;&amp;lt;& &</p>",) + ("AB😀\ufffd© 1&unknown&lt;& &",) * 2,
+    ("<p>&thorn;</p>", "þ", "&thorn"),
+    ("<p>1 < 2 <!-- c --> x</p>", "1 < 2 x", "1 < 2 x"),
     ("<STYLE>p{}</STYLE><Header>h</hEADER>t", "t", "t"),
 ]
 
@@ -132,6 +134,7 @@ def test_decode_body(spark):
         ('<meta charset="iso-8859-5">'.encode() + b"\xd0", None, '<meta charset="iso-8859-5">а'),
         ("é".encode(), "no-such-charset", "é"),
         ("日本".encode("shift_jis"), "shift_jis", "日本"),
+        (b"a\\ud800", "unicode_escape", "a\ufffd"),
         (b"", None, ""),
         (None, None, None),
     ]
