@@ -39,6 +39,11 @@ def events(spark, folder) -> DataFrame:
     return table(spark, folder, "events")
 
 
+def log(spark, folder) -> DataFrame:
+    """The events as a log of requests per user, no more columns than needed."""
+    return events(spark, folder).select("user_id", "event_id", "ts", "event_type")
+
+
 def failed() -> Column:
     return F.col("event_type") == "error"
 

@@ -51,7 +51,7 @@ def _stream_settings(spark):
     old = {n: spark.conf.get(n, None) for n in names}
     jobs.use_rocksdb(spark)
     cores = spark.sparkContext.defaultParallelism
-    spark.conf.set(names[2], str(min(int(old[names[2]]), 2 * cores)))
+    spark.conf.set(names[2], str(min(int(spark.conf.get(names[2])), 2 * cores)))
     try:
         yield
     finally:
@@ -447,7 +447,7 @@ def follow_by_site(spark, folder):
 
 @query
 def breaker_stats(spark, folder):
-    return health.breaker_stats(given.events(spark, folder), given.failed(), KEY, ORDER, RULES)
+    return health.breaker_stats(given.log(spark, folder), given.failed(), KEY, ORDER, RULES)
 
 
 @query
@@ -511,27 +511,35 @@ def rotate_assign(spark, folder):
     return sites.rotate_assign(requests, POOL)
 
 
+@query
+def hash_assign(spark, folder):
+    spread = sites.hash_assign(given.targets(spark, folder).select("host", "url"), POOL)
+    return spread.groupBy(F.col("proxy").isin(POOL).alias("in_pool")).agg(
+        F.count("*").alias("requests"), F.countDistinct("proxy").alias("proxies")
+    )
+
+
 @query
 def failure_streak(spark, folder):
-    found = health.failure_streak(given.events(spark, folder), given.failed(), KEY, ORDER)
+    found = health.failure_streak(given.log(spark, folder), given.failed(), KEY, ORDER)
     return found.select("event_id", "streak")
 
 
 @query
 def failure_rate(spark, folder):
-    found = health.failure_rate(given.events(spark, folder), given.failed(), KEY, ORDER)
+    found = health.failure_rate(given.log(spark, folder), given.failed(), KEY, ORDER)
     return found.select("event_id", "total", "failures", "rate")
 
 
 @query
 def first_trip(spark, folder):
-    found = health.first_trip(given.events(spark, folder), given.failed(), KEY, ORDER, CALM)
+    found = health.first_trip(given.log(spark, folder), given.failed(), KEY, ORDER, CALM)
     return found.drop("ts")
 
 
 @query
 def gate_after_trip(spark, folder):
-    log = given.events(spark, folder)
+    log = given.log(spark, folder)
     return health.gate_after_trip(log, given.failed(), KEY, ORDER, CALM).select(
         "user_id", "event_id"
     )
@@ -618,7 +626,7 @@ def pages_export(spark, folder):
 @query
 def breaker_replay(spark, folder):
     found = health.breaker_replay(
-        given.events(spark, folder), given.failed(), KEY, ORDER, RULES
+        given.log(spark, folder), given.failed(), KEY, ORDER, RULES
     )
     return found.select("user_id", "event_id", "state", "total", "failures", "streak")
 

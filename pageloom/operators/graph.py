@@ -44,6 +44,7 @@ def _walk(
     max_depth: int | None,
     max_levels: int,
     include_seed: bool,
+    skip_seeds: bool = False,
 ) -> DataFrame:
     if max_depth is not None and max_depth < 0:
         raise ValueError("max_depth must be non-negative")
@@ -67,7 +68,11 @@ def _walk(
         found = spark.read.schema("url string, depth int").parquet(folder)
         if rows.get["n"] == 0:
             break
-        frontier = drop_visited(spark.read.schema("url string").parquet(level), seeds)
+        # A seed that turns up again may stay: all it links to is found already.
+        # Only a fetcher should not be asked for it twice.
+        frontier = spark.read.schema("url string").parquet(level)
+        if skip_seeds:
+            frontier = drop_visited(frontier, seeds)
         depth += 1
     if not include_seed:
         return found
@@ -143,4 +148,4 @@ def crawl(
         edges = build_edges(fetch(frontier), parsed, **filters)
         return edges.select(F.col("dst").alias("url")).distinct()
 
-    return _walk(seeds, expand, max_depth, max_levels, include_seed)
+    return _walk(seeds, expand, max_depth, max_levels, include_seed, skip_seeds=True)

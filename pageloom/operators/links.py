@@ -16,26 +16,33 @@ def extract_links(pages: DataFrame, parsed: bool = False) -> DataFrame:
     return pages.select("url", F.explode(values("html")).alias("href"))
 
 
-def resolve_links(links: DataFrame, exact: bool = True) -> DataFrame:
-    """(src, dst) of absolute URLs; links that are no URL are dropped."""
+def resolve_links(
+    links: DataFrame, exact: bool = True, keep_failed: bool = False
+) -> DataFrame:
+    """(src, dst) of absolute URLs. Links that are no URL are dropped, or kept with
+    a NULL ``dst`` to be counted."""
     page, href = F.col("url"), F.col("href")
     links = once(links, "_near", resolve_native(page, href))
     dst = F.col("_near")
     if exact:
         far = dst.isNull()
         dst = F.coalesce(dst, url_join(F.when(far, page), F.when(far, href)))
-    return (
-        once(links, "dst", dst)
-        .select(page.alias("src"), "dst")
-        .filter("dst IS NOT NULL")
-    )
+    resolved = once(links, "dst", dst).select(page.alias("src"), "dst")
+    return resolved if keep_failed else resolved.filter("dst IS NOT NULL")
 
 
 def build_edges(
-    pages: DataFrame, parsed: bool = False, exact: bool = True, **filters
+    pages: DataFrame,
+    parsed: bool = False,
+    exact: bool = True,
+    strip_fragment: bool = False,
+    **filters,
 ) -> DataFrame:
     """Distinct (src, dst) of followed links. Each page is parsed once.
 
+    URLs that differ in query or fragment are different pages, unless
+    ``strip_fragment`` cuts the fragment off.
+
     ``filters`` are those of ``should_follow``; a ``site`` may also be the string
     ``"own"``, which keeps links into the page's own authority.
     """
@@ -43,6 +50,8 @@ def build_edges(
     if own:
         filters = {**filters, "site": None}
     edges = resolve_links(extract_links(pages, parsed), exact)
+    if strip_fragment:
+        edges = edges.withColumn("dst", F.regexp_replace("dst", "#.*$", ""))
     edges = edges.filter(should_follow(F.col("dst"), **filters))
     if own:
         edges = edges.filter(netloc(F.col("dst")).contains(netloc(F.col("src"))))

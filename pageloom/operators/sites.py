@@ -116,5 +116,14 @@ def rotate_assign(
     return turns.withColumn("proxy", choice[at]).drop("turn")
 
 
+def hash_assign(requests: DataFrame, pool: list[str]) -> DataFrame:
+    """A ``proxy`` per URL by its hash: evenly shared over all hosts, the same for
+    the same URL in every run, and without ordering anything."""
+    if not pool:
+        raise ValueError("pool cannot be empty")
+    at = F.pmod(F.xxhash64("url"), F.lit(len(pool))).cast("int")
+    return requests.withColumn("proxy", F.array(*map(F.lit, pool))[at])
+
+
 def follow(urls: DataFrame, **filters) -> DataFrame:
     return urls.filter(should_follow(F.col("url"), **filters))

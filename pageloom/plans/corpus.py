@@ -16,8 +16,10 @@ from pageloom.operators.chunks import (
     hash_chunks,
     page_texts,
 )
-from pageloom.operators.graph import crawl, visitable
+from pageloom.operators.graph import crawl, drop_visited, visitable
 from pageloom.operators.hosts import filter_public_host
+from pageloom.session import scratch_path
+from pageloom.sources.pages import PAGES
 
 
 def pages_to_chunks(
@@ -38,6 +40,29 @@ def found_chunks(
     return hash_chunks(chunk_text(texts, "text", split_length))
 
 
+class _Fetched:
+    """A fetch callable that asks for each URL once and keeps what came back."""
+
+    def __init__(self, spark: SparkSession, fetch: Callable[[DataFrame], DataFrame]):
+        self.spark, self.fetch = spark, fetch
+        self.asked, self.pages = scratch_path(spark, "asked"), scratch_path(spark, "fetched")
+        self.calls = 0
+
+    def __call__(self, urls: DataFrame) -> DataFrame:
+        asked, pages = f"{self.asked}/call={self.calls}", f"{self.pages}/call={self.calls}"
+        self.calls += 1
+        urls.select("url").write.parquet(asked)
+        wanted = self.spark.read.schema("url string").parquet(asked)
+        self.fetch(wanted).select("url", "html").write.parquet(pages)
+        return self.spark.read.schema(PAGES).parquet(pages)
+
+    def all_pages(self, urls: DataFrame) -> DataFrame:
+        """Pages of ``urls`` and of all URLs asked for before."""
+        before = self.spark.read.schema("url string").parquet(self.asked)
+        self(drop_visited(urls.select("url"), before))
+        return self.spark.read.schema(PAGES).parquet(self.pages)
+
+
 def crawl_to_chunks(
     spark: SparkSession,
     domain: str,
@@ -55,7 +80,8 @@ def crawl_to_chunks(
     parsed: bool = False,
 ) -> DataFrame:
     """Crawl one site from ``domain`` and return its export records: text of every
-    found page, cut, deduplicated and sanitised."""
+    found page, cut, deduplicated and sanitised. A ``fetch`` callable is asked for
+    each URL once."""
     if split_length is not None and split_length < 1:
         raise ValueError("split_length must be positive or None")
     seeds = spark.createDataFrame([(domain,)], "url string")
@@ -73,10 +99,11 @@ def crawl_to_chunks(
         excluded_protocols=excluded_protocols,
         site_match=site_match,
     )
+    fetch = _Fetched(spark, fetch) if fetch else None
     found = crawl(
         seeds, pages, fetch, max_depth, include_seed=include_seed, parsed=parsed, **filters
     )
-    content = fetch(found.select("url")) if fetch else visitable(pages, seeds, **filters)
+    content = fetch.all_pages(found) if fetch else visitable(pages, seeds, **filters)
     return export_chunks(
         dedup_chunks(found_chunks(found, content, split_length, parsed))
     )

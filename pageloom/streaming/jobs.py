@@ -60,3 +60,13 @@ def dedup_stream(
 def visited_stream(urls: DataFrame, salts: int = 8) -> DataFrame:
     """Each ``url`` once, for ever."""
     return _first_seen(urls, "url", salts)
+
+
+def observe_run(chunks: DataFrame, name: str = "run") -> DataFrame:
+    """Report chunks and characters of every micro-batch in the query progress,
+    under ``observedMetrics[name]``."""
+    return chunks.observe(
+        name,
+        F.count("*").alias("chunks_written"),
+        F.sum(F.length("content")).alias("chars"),
+    )

@@ -129,6 +129,22 @@ def test_crawl_to_chunks(spark, parsed):
     }
 
 
+def test_crawl_to_chunks_fetches_each_url_once(spark):
+    asked = []
+
+    def fetch(urls):
+        asked.extend(r[0] for r in urls.collect())
+        return pages_of(spark).join(urls, "url", "left_semi")
+
+    rules = dict(max_depth=1, exclude_keywords=["skip"], split_length=16)
+    out = crawl_to_chunks(spark, "http://s.t/", fetch=fetch, **rules)
+    want = crawl_to_chunks(spark, "http://s.t/", pages_of(spark), **rules)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in want.collect()}
+    assert sorted(asked) == [
+        "http://s.t/", "http://s.t/a", "http://s.t/b?x=1&y=2", "http://s.t/c", "http://s.t/gone",
+    ]
+
+
 def test_bad_domains(spark):
     for domain in ("ftp://s.t/", "s.t", "http:///x", "http://127.0.0.1/", "http://[::1]/", "http://localhost"):
         with pytest.raises(ValueError):

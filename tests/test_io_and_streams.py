@@ -135,6 +135,18 @@ def test_streamed_text_equals_batch(spark, tmp_path, folder):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
 
 
+def test_progress_reports_the_run(spark, tmp_path):
+    source = str(tmp_path / "in")
+    arrive(spark, source, [("u1", "aabb"), ("u2", "bbcc")], sources.PAGES)
+    stream = jobs.extract_stream(sources.read_pages_stream(spark, source), 2)
+    done = sinks.write_chunks_stream(
+        jobs.observe_run(stream), str(tmp_path / "out"), str(tmp_path / "mark")
+    )
+    done.awaitTermination()
+    seen = [p["observedMetrics"]["run"] for p in done.recentProgress if p["observedMetrics"]]
+    assert sum(m["chunks_written"] for m in seen) == 4
+
+
 def test_dedup_with_bounded_state(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = "content_hash string, fetched_at timestamp"

@@ -116,6 +116,17 @@ def test_edges_of_a_page(spark):
     }
 
 
+def test_edge_options(spark):
+    df = spark.createDataFrame(
+        [("http://s.t/a", '<a href="#x">1</a><a href="/b#y">2</a><a href="http://[x">3</a>')],
+        "url string, html string",
+    )
+    got = {r["dst"] for r in links.build_edges(df, strip_fragment=True).collect()}
+    assert got == {"http://s.t/a", "http://s.t/b"}
+    kept = links.resolve_links(links.extract_links(df), keep_failed=True)
+    assert kept.count() == 3 and kept.filter("dst IS NULL").count() == 1
+
+
 def test_links_are_joined_once_and_filtered_on_the_value(spark):
     df = spark.createDataFrame([("http://s.t/", "<a href=x>")], "url string, html string")
     plan = links.build_edges(df, site="s.t")._jdf.queryExecution().executedPlan().toString()
