@@ -157,8 +157,10 @@ def _history(
     key: Sequence[str],
     order: Sequence[str],
     rows_per_slice: int,
+    **more: tuple[str, Column],
 ) -> Keyed:
-    """Add ``failed``, ``total``, ``failures`` and ``streak`` to every event."""
+    """Add ``failed``, ``total``, ``failures`` and ``streak`` to every event, and
+    ``more`` running values."""
     rows = spread_keys(
         log.withColumn("failed", F.coalesce(failed, F.lit(False))),
         key,
@@ -169,6 +171,7 @@ def _history(
         rows,
         total=("sum", F.lit(1).cast("bigint")),
         failures=("sum", F.col("failed").cast("bigint")),
+        **more,
     )
     # ``failures`` never falls, so its maximum over successes is its value at
     # the last success.
@@ -251,7 +254,7 @@ def gate_after_trip(
     columns = log.columns
     rows = _history(log, failed, key, order, rows_per_slice)
     tripped = F.when(_trip_reason(rules).isNotNull(), 1)
-    rows = running(rows, before=True, _tripped=("max", tripped))
+    rows = running(rows, _tripped=("max_before", tripped))
     return rows.df.filter("_tripped IS NULL").select(*columns)
 
 
@@ -274,9 +277,9 @@ def breaker_replay(
     ``failures``, ``streak`` and ``last_failure``. ``order`` starts with the
     timestamp."""
     ts = order[0]
-    rows = _history(log, failed, key, order, rows_per_slice)
-    rows = running(
-        rows, before=True, _failed_before=("max", F.when(F.col("failed"), F.col(ts)))
+    failed_before = ("max_before", F.when(F.col("failed"), F.col(ts)))
+    rows = _history(
+        log, failed, key, order, rows_per_slice, _failed_before=failed_before
     )
     rows = rows.with_df(
         rows.df.withColumns(

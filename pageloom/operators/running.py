@@ -66,7 +66,7 @@ def spread_keys(
     return Keyed(written, key, order, sliced=True)
 
 
-_AGGREGATE = {"sum": F.sum, "max": F.max}
+_AGGREGATE = {"sum": F.sum, "max": F.max, "max_before": F.max}
 
 
 def _combine(kind: str, carried: Column, local: Column) -> Column:
@@ -75,32 +75,33 @@ def _combine(kind: str, carried: Column, local: Column) -> Column:
     return F.greatest(carried, local)
 
 
-def running(rows: Keyed, before: bool = False, **values: tuple[str, Column]) -> Keyed:
-    """Add running aggregates, given as ``name=(kind, column)``, kind ``sum`` or
-    ``max``. With ``before`` the current row is left out."""
-    last = -1 if before else Window.currentRow
+def running(rows: Keyed, **values: tuple[str, Column]) -> Keyed:
+    """Add running aggregates, given as ``name=(kind, column)``, kind ``sum``,
+    ``max`` or ``max_before``, which leaves the current row out.
+
+    On sliced rows this runs a job for what is carried from slice to slice and
+    writes that down, so that later steps do not work it out again.
+    """
     parts = ([SLICE] if rows.sliced else []) + list(rows.key)
-    window = (
-        Window.partitionBy(*parts)
-        .orderBy(*rows.order)
-        .rowsBetween(Window.unboundedPreceding, last)
-    )
-    local = rows.df.select(
-        "*",
-        *[_AGGREGATE[kind](col).over(window).alias(n) for n, (kind, col) in values.items()],
+    ordered = Window.partitionBy(*parts).orderBy(*rows.order)
+
+    def local(kind: str, col: Column) -> Column:
+        last = -1 if kind == "max_before" else Window.currentRow
+        frame = ordered.rowsBetween(Window.unboundedPreceding, last)
+        return _AGGREGATE[kind](col).over(frame)
+
+    counted = rows.df.select(
+        "*", *[local(kind, col).alias(n) for n, (kind, col) in values.items()]
     )
     if not rows.sliced:
-        sums = {
-            n: F.coalesce(F.col(n), F.lit(0)) for n, (kind, _) in values.items() if kind == "sum"
-        }
-        return rows.with_df(local.withColumns(sums) if sums else local)
+        return rows.with_df(counted)
 
     per_slice = rows.df.groupBy(SLICE, *rows.key).agg(
         *[_AGGREGATE[kind](col).alias(n) for n, (kind, col) in values.items()]
     )
     slices = Window.partitionBy(*rows.key).orderBy(SLICE)
     earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
+    carried = materialize(
         per_slice.select(
             F.col(SLICE).alias("_at"),
             *[F.col(k).alias(f"_key_{k}") for k in rows.key],
@@ -111,12 +112,13 @@ def running(rows: Keyed, before: bool = False, **values: tuple[str, Column]) ->
             ],
         )
         .filter("_nth > 1")
-        .drop("_nth")
+        .drop("_nth"),
+        "carried",
     )
     same = F.col(SLICE) == F.col("_at")
     for k in rows.key:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    joined = local.join(F.broadcast(carried), same, "left")
+    joined = counted.join(F.broadcast(carried), same, "left")
     return rows.with_df(
         joined.select(
             *rows.df.columns,
