@@ -151,7 +151,7 @@ def strip_elements(spark, folder):
 
 @query
 def normalize_ws(spark, folder):
-    docs = given.table(spark, folder, "documents").select("doc_id", "text")
+    docs = _documents(spark, folder)
     spaced = F.concat(F.lit("  \x1c"), F.replace("text", F.lit(" "), F.lit("  \x85")))
     return docs.select(
         "doc_id",

@@ -26,16 +26,19 @@ def extract_stream(
     return chunk_pages(pages, split_length, parsed)
 
 
-def _first_seen(df: DataFrame, column: str, salts: int) -> DataFrame:
+def _first_seen(
+    df: DataFrame, column: str, salts: int, event_time: str | None = None, within: str | None = None
+) -> DataFrame:
+    if within:
+        df = df.withWatermark(event_time, within)
+    drop = DataFrame.dropDuplicatesWithinWatermark if within else DataFrame.dropDuplicates
     if salts > 1:
         # A value that fills much of the stream is first dropped within `salts`
         # groups of input splits, so that its repeats are spread over as many
         # tasks and at most `salts` of them ever reach the second step.
         salt = F.pmod(F.spark_partition_id(), F.lit(salts))
-        df = (
-            df.withColumn("_salt", salt).dropDuplicates([column, "_salt"]).drop("_salt")
-        )
-    return df.dropDuplicates([column])
+        df = drop(df.withColumn("_salt", salt), [column, "_salt"]).drop("_salt")
+    return drop(df, [column])
 
 
 def dedup_stream(
@@ -50,11 +53,7 @@ def dedup_stream(
     distinct contents. With ``within`` (an interval such as ``"7 days"``) a hash is
     forgotten that long after it was seen, so a later copy passes again.
     """
-    if within is None:
-        return _first_seen(chunks, "content_hash", salts)
-    return chunks.withWatermark(event_time, within).dropDuplicatesWithinWatermark(
-        ["content_hash"]
-    )
+    return _first_seen(chunks, "content_hash", salts, event_time, within)
 
 
 def visited_stream(urls: DataFrame, salts: int = 8) -> DataFrame:

@@ -147,14 +147,26 @@ def test_progress_reports_the_run(spark, tmp_path):
     assert sum(m["chunks_written"] for m in seen) == 4
 
 
-def test_dedup_with_bounded_state(spark, tmp_path):
-    source = str(tmp_path / "in")
+@pytest.mark.parametrize("salts", [1, 4])
+def test_dedup_with_bounded_state(spark, tmp_path, salts):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     schema = "content_hash string, fetched_at timestamp"
     day = datetime(2024, 1, 1)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        kept = jobs.dedup_stream(stream, within="1 day", salts=salts)
+        return sorted(r[0] for r in drain(kept, out, mark).collect())
+
     arrive(spark, source, [("x", day), ("x", day), ("y", day)], schema)
-    stream = spark.readStream.schema(schema).parquet(source)
-    kept = drain(jobs.dedup_stream(stream, within="1 day"), str(tmp_path / "out"), str(tmp_path / "mark"))
-    assert sorted(r[0] for r in kept.collect()) == ["x", "y"]
+    assert run() == ["x", "y"]
+    arrive(spark, source, [("x", day + timedelta(hours=5)), ("z", day)], schema)
+    assert run() == ["x", "y", "z"]
+    for later in (10, 11, 12):
+        arrive(spark, source, [(f"t{later}", day + timedelta(days=later))], schema)
+        run()
+    arrive(spark, source, [("x", day + timedelta(days=12))], schema)
+    assert run().count("x") == 2
 
 
 def test_visited_stream(spark, tmp_path):
