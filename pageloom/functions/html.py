@@ -83,7 +83,8 @@ def strip_elements(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
 
 def _decode_one(part: Column) -> Column:
     """What follows an ampersand, with the reference it starts with decoded."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    listed = "\n".join(f"{name}\t{char}" for name, char in ENTITIES.items())
+    names = F.str_to_map(F.lit(listed), F.lit("\n"), F.lit("\t"))
     name = F.regexp_extract(part, NAMED, 1)
     known = F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name))
     digits = F.regexp_extract(part, NUMBERED, 1)

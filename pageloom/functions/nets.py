@@ -64,19 +64,20 @@ def is_reserved_v4(number: Column) -> Column:
     )
 
 
+def public_literal(text: str) -> bool:
+    """False for private, loopback and reserved address literals."""
+    try:
+        address = ipaddress.ip_address(text)
+    except ValueError:
+        return True
+    return not (address.is_private or address.is_loopback or address.is_reserved)
+
+
 @F.pandas_udf(BooleanType())
 def is_public_ip(ip: pd.Series) -> pd.Series:
     """False for private, loopback and reserved literals; True for the rest,
     including text that is no address."""
-
-    def public(text):
-        try:
-            address = ipaddress.ip_address(text)
-        except ValueError:
-            return True
-        return not (address.is_private or address.is_loopback or address.is_reserved)
-
-    return ip.map(public, na_action="ignore")
+    return ip.map(public_literal, na_action="ignore")
 
 
 @F.pandas_udf(BooleanType())

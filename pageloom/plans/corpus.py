@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from pageloom.functions.nets import LOCAL_NAMES, public_literal
 from pageloom.functions.text import chunk_text
-from pageloom.functions.urls import EXCLUDED_PROTOCOLS, filter_valid_target, netloc
+from pageloom.functions.urls import EXCLUDED_PROTOCOLS, WEB_SCHEMES
 from pageloom.operators.chunks import (
     chunk_pages,
     dedup_chunks,
@@ -17,7 +18,6 @@ from pageloom.operators.chunks import (
     page_texts,
 )
 from pageloom.operators.graph import crawl, drop_visited, visitable
-from pageloom.operators.hosts import filter_public_host
 from pageloom.session import scratch_path
 from pageloom.sources.pages import PAGES
 
@@ -84,15 +84,15 @@ def crawl_to_chunks(
     each URL once."""
     if split_length is not None and split_length < 1:
         raise ValueError("split_length must be positive or None")
-    seeds = spark.createDataFrame([(domain,)], "url string")
-    valid = seeds.filter(filter_valid_target(F.col("url")))
-    row = valid.select(netloc(F.col("url"))).first()
-    if row is None:
+    parts = urlsplit(domain)
+    if parts.scheme not in WEB_SCHEMES or not parts.netloc:
         raise ValueError("domain must be an http or https URL with a host")
-    if check_host and filter_public_host(seeds).isEmpty():
+    host = parts.hostname or ""
+    if check_host and (host in LOCAL_NAMES or not public_literal(host)):
         raise ValueError("domain is a local, private or reserved host")
+    seeds = spark.createDataFrame([(domain,)], "url string")
     filters = dict(
-        site=row[0],
+        site=parts.netloc,
         start_with=start_with,
         include_keywords=include_keywords,
         exclude_keywords=exclude_keywords,

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pageloom.operators import graph
 from pageloom.plans.corpus import crawl_to_chunks
