@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import langid, mixing, pii, quality, simhash, toxicity
+from pageloom.llm import (
+    langid,
+    minhash,
+    mixing,
+    packing,
+    pii,
+    quality,
+    simhash,
+    topk,
+    toxicity,
+    warc,
+)
 from pageloom.llm.common import id_fold, table
 
 QUALITY_FOLDS, QUALITY_HELD, QUALITY_AT = 5, 0, 0.3
@@ -15,6 +26,10 @@ LANG_FOLDS, LANG_HELD = 4, 2
 TOXIC_FOLDS, TOXIC_HELD, TOXIC_AT = 3, 1, 0.7
 
 
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = id_fold(F.col("doc_id"), QUALITY_FOLDS)
@@ -25,6 +40,11 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_AT).cast("int"))
 
 
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs)
@@ -68,18 +88,32 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs)
 
 
+def minhash_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.probe_next(table(spark, sf_dir, "documents"))
+    text = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    return found.withColumns({c: F.lower(F.hex(c)) for c in text})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packed_sequences,
     "op2_quality": quality_scores,
+    "op3_warc": archived_pages,
     "op4_pii": pii_pseudonyms,
     "op5_simhash": simhash_components,
     "op6_langid": languages,
     "op7_toxicity": toxicity_scores,
+    "op8_topk": nearest_vectors,
     "op9_mixing": mixed_sources,
+    "op10_minhash": minhash_probe,
 }
 
 # Mean repetition per source; cumulative Poisson probabilities for counts 0 to 80 as a
@@ -117,4 +151,41 @@ SELECT doc_id, text, source, copy,
 FROM copies
 """
 
-ORACLES: dict[str, str] = {"op9_mixing": MIXING_SQL}
+# Base32 of the SHA-1: 40 hex digits are 8 groups of 20 bits, 4 signs each.
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), firsts AS (
+  SELECT body, min(page_id) AS first FROM p GROUP BY body
+)
+SELECT page_id, CAST(strlen(p.body) AS BIGINT) AS payload_bytes,
+  array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1)
+    FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN firsts f ON p.body = f.body
+"""
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc": WARC_SQL,
+    "op8_topk": TOPK_SQL,
+    "op9_mixing": MIXING_SQL,
+}
