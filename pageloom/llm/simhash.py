@@ -235,8 +235,13 @@ def cluster(docs: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFr
     grown = classes.join(roots, classes["fingerprint"] == roots["v"])
     smallest = grown.groupBy("root").agg(F.min(first).alias("component"))
     joined = grown.select("fingerprint", "root").join(smallest, "root").drop("root")
-    named = classes.join(joined, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("component", first).alias("component_id")
+    # Written down, so that the last join stands between two shuffles and a fingerprint
+    # that very many documents share can be split.
+    named = materialize(
+        classes.join(joined, "fingerprint", "left").select(
+            "fingerprint", F.coalesce("component", first).alias("component_id")
+        ),
+        "named",
     )
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
