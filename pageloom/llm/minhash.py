@@ -353,8 +353,9 @@ def similar_pairs(docs: DataFrame, threshold: float = SIMILARITY, bands: int = B
     0.999 (16 bands of 4).
 
     Bands join classes, not documents, so copies make no pairs. In a bucket of more than
-    ``GROUP`` classes a pair must share a second band, and so on, which keeps buckets of
-    unlike texts from being paired; a pair at 0.8 shares some six bands.
+    ``GROUP`` classes, where all pairs would be too many, each class is compared with the
+    bucket's first class only; as a pair at 0.8 shares some six bands, most still meet
+    in smaller buckets, and links of a dense group lead through its first classes.
     """
     width = 2 * PERMUTATIONS // bands
     marked = materialize(with_fingerprint(docs.select("doc_id", "text")).drop("text"), "prints")
@@ -362,35 +363,24 @@ def similar_pairs(docs: DataFrame, threshold: float = SIMILARITY, bands: int = B
         marked.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "classes"
     )
     slices = F.array(*[F.substring("fingerprint", 1 + i * width, width) for i in range(bands)])
-    rows = classes.select("id", "fingerprint", F.posexplode(slices).alias("band", "piece"))
-    keyed = rows.select("id", "fingerprint", "band", F.xxhash64("band", "piece").alias("key"))
-    found = None
-    for level in range(bands):
-        sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
-        left = keyed.join(sizes, "key")
-        small = left.filter(F.col("n") <= GROUP) if level < bands - 1 else left
-        pairs = (
-            small.select("key", F.col("id").alias("a"))
-            .join(small.select("key", F.col("id").alias("b")), "key")
-            .filter("a < b")
-            .select("a", "b")
-        )
-        step = materialize(pairs.distinct(), "candidates")
-        found = step if found is None else found.union(step)
-        heavy = sizes.filter(F.col("n") > GROUP)
-        if level == bands - 1 or heavy.isEmpty():
-            break
-        again = keyed.join(heavy.select("key"), "key").select("id", "fingerprint", "band", "key")
-        keyed = again.select(
-            "id", "fingerprint", F.col("key").alias("outer"), F.col("band").alias("from"),
-            F.posexplode(slices).alias("band", "piece"),
-        ).filter("band > from").select(
-            "id", "fingerprint", "band", F.xxhash64("outer", "band", "piece").alias("key")
-        )
+    rows = classes.select("id", F.posexplode(slices).alias("band", "piece"))
+    keyed = rows.select("id", F.xxhash64("band", "piece").alias("key"))
+    sizes = materialize(
+        keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1"),
+        "bands",
+    )
+    shared = keyed.select("key", "id").join(sizes, "key")
+    small = shared.filter(F.col("n") <= GROUP)
+    pairs = (
+        small.select("key", F.col("id").alias("a"))
+        .join(small.select("key", F.col("id").alias("b")), "key")
+        .select("a", "b")
+    )
+    led = shared.filter(F.col("n") > GROUP).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    found = materialize(pairs.union(led).filter("a < b").distinct(), "candidates")
     texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
     whole = (
-        found.distinct()
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        found.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     )
     return whole.select("a", "b", _shared(F.col("text_a"), F.col("text_b")).alias("jaccard")).filter(

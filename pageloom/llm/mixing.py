@@ -105,9 +105,12 @@ def mix(
     copy from 0, and the key that places it: rows are dealt to partitions by its hash
     and sorted by it there.
 
-    Draws take (seed, doc_id, md5 of text): rows with equal id and text draw alike.
-    Clashing column names in ``docs`` win; pass other names for the added ones then.
+    Draws take (seed, doc_id, md5 of text): rows with equal id and text draw alike. A
+    null doc_id or source is a value like others, a null text counts as empty. Added
+    columns get a leading underscore where ``docs`` has the name already.
     """
+    copy_name = free_name(docs, copy_name)
+    order_name = free_name(docs, order_name)
     rate, src, count, digest = (
         free_name(docs, n) for n in ("rate", "rate_source", "count", "digest")
     )

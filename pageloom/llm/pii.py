@@ -407,8 +407,9 @@ def pseudonymise(
     docs: DataFrame, key: str = KEY, text: str = "text", found_name: str = "pii_found"
 ) -> DataFrame:
     """``docs`` with ``text`` rewritten, and the kinds replaced, in order of place, in
-    ``found_name`` (array; empty for clean and null texts). A column of that name in
-    ``docs`` is kept, under the name asked for; pass another one then."""
+    ``found_name`` (array; empty for clean and null texts; with a leading underscore if
+    ``docs`` has that name already)."""
+    found_name = free_name(docs, found_name)
     secret = F.lit(key)
     parts, hits = free_name(docs, "pii_parts"), free_name(docs, "pii_hits")
     # Texts without a digit or @ need no search; most have none.

@@ -199,7 +199,8 @@ def _sample_terms(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(seen) > 200_000:
             yield _frame(seen)
             seen = {}
-    yield _frame(seen)
+    if seen:  # an empty frame would have columns without a type
+        yield _frame(seen)
 
 
 def _frame(seen: dict[str, list[int]]) -> pd.DataFrame:
