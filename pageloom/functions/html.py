@@ -1,14 +1,14 @@
 """HTML to text and links.
 
-Two paths. The native one is regular expressions inside the JVM and is the
-default. The parser one is an Arrow UDF over the standard library's tokenizer
-with an open-element stack. They differ on unclosed or nested dropped elements,
-on ``>`` inside attribute values, on repeated attributes and on rare named
-references; see the tests for pinned examples.
+Two paths. The default is an Arrow UDF over the standard library's tokenizer with an
+open-element stack: right on real markup. The native one, for the asking, is regular
+expressions inside the JVM; it reads well-formed pages alike and differs on unclosed or
+nested dropped elements and on ``>`` inside attribute values.
 """
 
 from __future__ import annotations
 
+from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -21,7 +21,7 @@ from pageloom.functions.text import normalize_ws, strip_ws
 
 # Elements whose text is not content, elements whose body is not
 # markup, elements without an end tag, elements whose text a tree's plain text
-# leaves out, and the references the native path decodes.
+# leaves out, and frequent references, which the native path looks up first.
 DROPPED = ("script", "style", "noscript", "header", "footer", "nav")
 RAW_TEXT = ("script", "style")
 VOID = frozenset(
@@ -58,9 +58,16 @@ ENTITIES = {
     "rarr": "→",
     "larr": "←",
 }
+# All other references; of those that need no semicolon the name counts as well.
+ALL_ENTITIES = {name.rstrip(";"): char for name, char in html5.items() if name.endswith(";")}
+# The signs that numeric references from 128 to 159 mean.
+CONTROLS = bytes(range(128, 160)).decode("windows-1252", "replace")
+# Attributes are passed over one by one, so that an href inside another one's value does
+# not count; possessive, so that a page without an end of the tag costs no retries.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
 HREF = (
-    r"(?i)<a\s(?:[^>]*?\s)?href"
-    r"""(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*)|(?=[\s/>]))"""
+    rf"""(?i)<a(?:[\s/]++(?!href[\s=/>])[^\s/>=<"']++(?:\s*+=\s*+{_VALUE})?+)*+[\s/]++href"""
+    r"""(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)|(?=[\s/>]))"""
 )
 NAMED = "^([A-Za-z][-.A-Za-z0-9]*);?"
 NUMBERED = "^#([0-9]+|[xX][0-9A-Fa-f]+);?"
@@ -69,7 +76,7 @@ QUOTES = r"""^["']|["']$"""
 
 def _elements(tags: tuple[str, ...]) -> str:
     """Comments, and the named elements with all they hold, after their ``<``."""
-    return rf"!--.*?-->|({'|'.join(tags)})\b[^>]*>.*?(?:</\1\s*>|\z)"
+    return rf"!--.*?-->|({'|'.join(tags)})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\z)"
 
 
 def strip_elements(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
@@ -86,7 +93,11 @@ def _decode_one(part: Column) -> Column:
     listed = "\n".join(f"{name}\t{char}" for name, char in ENTITIES.items())
     names = F.str_to_map(F.lit(listed), F.lit("\n"), F.lit("\t"))
     name = F.regexp_extract(part, NAMED, 1)
-    known = F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name))
+    every = "\x01".join(f"{n}\x02{char}" for n, char in ALL_ENTITIES.items())
+    rare = F.str_to_map(F.lit(every), F.lit("\x01"), F.lit("\x02"))
+    known = F.coalesce(
+        F.try_element_at(names, name), F.try_element_at(rare, name), F.concat(F.lit("&"), name)
+    )
     digits = F.regexp_extract(part, NUMBERED, 1)
     code = F.when(
         F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)
@@ -94,6 +105,9 @@ def _decode_one(part: Column) -> Column:
     code = code.try_cast("int")
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     char = F.when(
+        # Numbers of control characters mean the windows-1252 sign there.
+        code.between(128, 159), F.substring(F.lit(CONTROLS), code - 127, F.lit(1))
+    ).when(
         valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     ).otherwise("\ufffd")
     return (
@@ -104,7 +118,7 @@ def _decode_one(part: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode numeric references and the named ones in ``ENTITIES``.
+    """Decode numeric and named references.
 
     The text is split at ampersands, so each piece is looked at once and nothing
     is decoded twice. A reference may lack its semicolon; an unknown name keeps
@@ -118,7 +132,7 @@ def decode_entities(c: Column) -> Column:
 def html_to_text(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
     """Visible text with single blanks, inside the JVM. Comments, dropped elements
     and tags go in one pass."""
-    bare = F.regexp_replace(c, f"(?is)<(?:{_elements(tags)}|[/!?a-z][^>]*>)", " ")
+    bare = F.regexp_replace(c, f"(?is)<(?:{_elements(tags)}|[/!?a-z][^>]*+>)", " ")
     return normalize_ws(decode_entities(bare))
 
 
@@ -204,10 +218,24 @@ class _Page(HTMLParser):
     handle_decl = handle_pi = unknown_decl = handle_comment
 
 
+def _closable(html: str) -> tuple[str, str]:
+    """The part in which tags and comments can end, and the rest.
+
+    The tokenizer looks to the end of the page for each opened tag or comment; where no
+    end can come this is decided once for all of them instead.
+    """
+    last = html.rfind(">") + 1
+    body, rest = html[:last], html[last:]
+    closed = body.rfind("-->") + 3 if "-->" in body else 0
+    return body[:closed] + body[closed:].replace("<!--", "&lt;!--"), rest
+
+
 def _parse(html: str, dropped=DROPPED) -> _Page:
     page = _Page(dropped)
-    page.feed(html)
+    body, rest = _closable(html)
+    page.feed(body)
     page.close()
+    page.keep(unescape(rest))
     page.end_node()
     return page
 
@@ -224,6 +252,25 @@ def link_values_parsed(html: pd.Series) -> pd.Series:
     return html.map(lambda h: list(dict.fromkeys(_parse(h).hrefs)), na_action="ignore")
 
 
+@F.pandas_udf(
+    StructType([StructField("text", StringType()), StructField("hrefs", ArrayType(StringType()))])
+)
+def page_parsed(html: pd.Series) -> pd.DataFrame:
+    """Visible text and anchor targets from one pass over the page."""
+    pages = [None if h is None else _parse(h) for h in html]
+    return pd.DataFrame(
+        {
+            "text": pd.Series([p and " ".join(p.texts) for p in pages], dtype=object),
+            "hrefs": pd.Series([p and list(dict.fromkeys(p.hrefs)) for p in pages], dtype=object),
+        }
+    )
+
+
+def page_native(c: Column) -> Column:
+    """The same by the native path."""
+    return F.struct(html_to_text(c).alias("text"), link_values(c).alias("hrefs"))
+
+
 @F.udtf(returnType=StructType([StructField("href", StringType())]))
 class HtmlLinks:
     """``SELECT href FROM pages, LATERAL html_links(html)``"""

@@ -88,7 +88,8 @@ def resolve_native(base: Column, href: Column) -> Column:
     tail = F.regexp_replace(href, "^https?:", "")
     clean = ~F.regexp_replace(tail, "^//", "").rlike(_NEEDS_JOIN)
     # An absolute link keeps its path as written, dots and all.
-    whole = ~href.rlike(r"[?#]$|\?#|\\")
+    # An empty last parameter is cut by the join.
+    whole = ~href.rlike(r"[?#;]$|\?#|\\|;[?#]")
     return (
         F.when(~usable, F.lit(None).cast("string"))
         .when(href == "", base)

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.html import html_to_text, html_to_text_parsed
+from pageloom.functions.html import (
+    html_to_text,
+    html_to_text_parsed,
+    page_native,
+    page_parsed,
+)
 from pageloom.functions.text import chunk_text, content_hash, sanitize_cell
+from pageloom.session import once
 
 
 def drop_failed(pages: DataFrame, content: str = "html") -> DataFrame:
@@ -14,18 +20,25 @@ def drop_failed(pages: DataFrame, content: str = "html") -> DataFrame:
     return pages.filter(F.col(content).isNotNull() & (F.col(content) != ""))
 
 
-def page_texts(pages: DataFrame, parsed: bool = False) -> DataFrame:
+def page_texts(pages: DataFrame, parsed: bool = True) -> DataFrame:
     """(url, text); the HTML goes no further than this."""
     text: Column = html_to_text_parsed("html") if parsed else html_to_text(F.col("html"))
     return drop_failed(pages).select("url", text.alias("text"))
 
 
+def page_contents(pages: DataFrame, parsed: bool = True) -> DataFrame:
+    """(url, text, hrefs) of the pages that came back with a body, in one pass."""
+    read: Column = page_parsed("html") if parsed else page_native(F.col("html"))
+    both = once(drop_failed(pages), "_read", read)
+    return both.select("url", "_read.text", "_read.hrefs")
+
+
 def hash_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("content_hash", content_hash(F.col("content")))
 
 
 def chunk_pages(
-    pages: DataFrame, split_length: int | None = 2000, parsed: bool = False
+    pages: DataFrame, split_length: int | None = 2000, parsed: bool = True
 ) -> DataFrame:
     """All chunks of all pages, numbered within the page, with their hash."""
     return hash_chunks(chunk_text(page_texts(pages, parsed), "text", split_length))

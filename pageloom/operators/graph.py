@@ -12,8 +12,6 @@ from pageloom.functions.urls import should_follow
 from pageloom.operators.links import build_edges
 from pageloom.session import materialize, scratch_path
 
-LISTED_SEEDS = 100
-
 
 def expand_frontier(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct targets of the links that leave the frontier's URLs."""
@@ -42,19 +40,21 @@ def _walk(
     seeds: DataFrame,
     expand: Callable[[DataFrame], DataFrame],
     max_depth: int | None,
-    max_levels: int,
+    max_levels: int | None,
     include_seed: bool,
     skip_seeds: bool = False,
 ) -> DataFrame:
     if max_depth is not None and max_depth < 0:
-        raise ValueError("max_depth must be non-negative")
+        raise ValueError("a depth below 0 reaches nothing")
     spark = seeds.sparkSession
     frontier = seeds = materialize(seeds.select("url").distinct(), "seeds")
     folder = scratch_path(spark, "levels")
     found = None
     depth = 0
     while max_depth is None or depth <= max_depth:
-        if depth >= max_levels:
+        if max_levels is not None and max_depth is None and depth >= max_levels:
+            if frontier.isEmpty():
+                break
             raise RuntimeError(f"links still unvisited after {max_levels} levels")
         fresh = expand(frontier)
         if found is not None:
@@ -84,7 +84,7 @@ def reach(
     edges: DataFrame,
     seeds: DataFrame,
     max_depth: int | None = 3,
-    max_levels: int = 1000,
+    max_levels: int | None = None,
     include_seed: bool = False,
 ) -> DataFrame:
     """(url, depth) of all link targets on pages up to ``max_depth`` steps away.
@@ -92,7 +92,8 @@ def reach(
     ``edges`` holds (src, dst), ``seeds`` holds (url). ``depth`` is the level a
     URL is first found on, from 1 to ``max_depth + 1``. A seed is in the result
     only if something links to it, unless ``include_seed`` asks for it (depth 0).
-    ``max_depth=None`` runs until nothing new is found.
+    ``max_depth=None`` runs until nothing new is found; ``max_levels`` then raises an
+    error if links are left after so many levels.
 
     Each level joins the frontier with ``edges``. The planner broadcasts a small
     frontier by its file size; otherwise both sides are shuffled and adaptive
@@ -106,18 +107,15 @@ def reach(
 def visitable(pages: DataFrame, seeds: DataFrame, **filters) -> DataFrame:
     """The pages a crawl can come to: those that pass the filters, and the seeds.
 
-    A condition on the URL alone, so the scan skips other pages before their
-    HTML is parsed. Many seeds are found by a join instead of a list.
+    A condition on the URL alone, worked out before any HTML is parsed. Seeds are marked
+    by a join, whatever their number; the planner broadcasts a short list.
     """
     if filters.get("site") == "own":
         filters = {**filters, "site": None}
-    passes = should_follow(F.col("url"), **filters)
-    some = seeds.select("url").distinct().limit(LISTED_SEEDS + 1).collect()
-    if len(some) <= LISTED_SEEDS:
-        return pages.filter(passes | F.col("url").isin([r["url"] for r in some]))
-    others = pages.filter(~F.coalesce(passes, F.lit(False)))
-    started = others.join(seeds.select("url"), "url", "left_semi")
-    return pages.filter(passes).unionByName(started)
+    passes = F.coalesce(should_follow(F.col("url"), **filters), F.lit(False))
+    marks = seeds.select(F.col("url").alias("_seed")).distinct()
+    marked = pages.join(marks, pages["url"] == marks["_seed"], "left")
+    return marked.filter(passes | F.col("_seed").isNotNull()).drop("_seed")
 
 
 def crawl(
@@ -125,9 +123,9 @@ def crawl(
     pages: DataFrame | None = None,
     fetch: Callable[[DataFrame], DataFrame] | None = None,
     max_depth: int | None = 3,
-    max_levels: int = 1000,
+    max_levels: int | None = None,
     include_seed: bool = False,
-    parsed: bool = False,
+    parsed: bool = True,
     **filters,
 ) -> DataFrame:
     """(url, depth) found by following links from the seeds.

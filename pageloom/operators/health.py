@@ -49,7 +49,8 @@ DEFAULT_RULES = BreakerRules()
 def attempt_kind(
     status: Column, error_kind: Column, retry_after: Column, fatal_codes: Sequence[int] = ()
 ) -> Column:
-    """``ok``, ``rate_limited``, ``http_error``, ``client`` or ``fatal``.
+    """``ok``, ``rate_limited``, ``http_error``, ``client``, ``fatal``, or ``unknown`` for
+    an attempt with neither status nor error, which is no success.
 
     A Retry-After header that holds no whole number makes a 429 fatal.
     ``fatal_codes`` names statuses that are not worth a retry (none by default).
@@ -61,6 +62,7 @@ def attempt_kind(
         .when((status == 429) & retry_after_delay(retry_after).isNull(), "fatal")
         .when(status == 429, "rate_limited")
         .when(status >= 400, "http_error")
+        .when(status.isNull(), "unknown")
         .otherwise("ok")
     )
 

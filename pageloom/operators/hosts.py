@@ -36,8 +36,13 @@ def cidr_match(hosts: DataFrame, blocks: DataFrame, ip: str = "host") -> DataFra
     A CIDR block is the set of addresses with one prefix, so the range test is an
     equality on (size, prefix): each distinct address is looked up once per block
     size in use, at most 33. This needs no broadcast and no pairwise comparison.
-    ``blocks`` must be whole CIDR blocks (cidr, lo, hi, kind).
+    ``blocks`` must be whole CIDR blocks (cidr, lo, hi, kind): other ranges are refused,
+    so there are at most 33 sizes.
     """
+    size = F.col("hi") - F.col("lo") + 1
+    whole = (F.bit_count(size) == 1) & (F.col("lo") % size == 0) & (size <= 1 << 32)
+    if not blocks.filter(~F.coalesce(whole & (size > 0), F.lit(False))).isEmpty():
+        raise ValueError("blocks must be whole CIDR blocks, aligned to their size")
     sized = blocks.select("cidr", "kind", "lo", (F.col("hi") - F.col("lo") + 1).alias("n"))
     sizes = [r["n"] for r in sized.select("n").distinct().collect()]  # at most 33
     address = ipv4_number(F.col(ip))

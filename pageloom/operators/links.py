@@ -10,7 +10,7 @@ from pageloom.functions.urls import netloc, resolve_native, should_follow, url_j
 from pageloom.session import once
 
 
-def extract_links(pages: DataFrame, parsed: bool = False) -> DataFrame:
+def extract_links(pages: DataFrame, parsed: bool = True) -> DataFrame:
     """(url, href): every distinct link value of each page, as written."""
     values = link_values_parsed if parsed else link_values
     return pages.select("url", F.explode(values("html")).alias("href"))
@@ -33,12 +33,19 @@ def resolve_links(
 
 def build_edges(
     pages: DataFrame,
-    parsed: bool = False,
+    parsed: bool = True,
     exact: bool = True,
     strip_fragment: bool = False,
     **filters,
 ) -> DataFrame:
-    """Distinct (src, dst) of followed links. Each page is parsed once.
+    """Distinct (src, dst) of followed links of (url, html). Each page is parsed once."""
+    return followed(extract_links(pages, parsed), exact, strip_fragment, **filters)
+
+
+def followed(
+    links: DataFrame, exact: bool = True, strip_fragment: bool = False, **filters
+) -> DataFrame:
+    """Distinct (src, dst) of those of the (url, href) links that are followed.
 
     URLs that differ in query or fragment are different pages, unless
     ``strip_fragment`` cuts the fragment off.
@@ -49,7 +56,7 @@ def build_edges(
     own = filters.get("site") == "own"
     if own:
         filters = {**filters, "site": None}
-    edges = resolve_links(extract_links(pages, parsed), exact)
+    edges = resolve_links(links, exact)
     if strip_fragment:
         edges = edges.withColumn("dst", F.regexp_replace("dst", "#.*$", ""))
     edges = edges.filter(should_follow(F.col("dst"), **filters))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pageloom.functions.nets import LOCAL_NAMES, public_literal
 from pageloom.functions.text import chunk_text
@@ -15,22 +16,24 @@ from pageloom.operators.chunks import (
     dedup_chunks,
     export_chunks,
     hash_chunks,
+    page_contents,
     page_texts,
 )
-from pageloom.operators.graph import crawl, drop_visited, visitable
-from pageloom.session import scratch_path
+from pageloom.operators.graph import crawl, drop_visited, reach, visitable
+from pageloom.operators.links import followed
+from pageloom.session import materialize, scratch_path
 from pageloom.sources.pages import PAGES
 
 
 def pages_to_chunks(
-    pages: DataFrame, split_length: int | None = 2000, parsed: bool = False
+    pages: DataFrame, split_length: int | None = 2000, parsed: bool = True
 ) -> DataFrame:
     """Export records of a page table, without crawling."""
     return export_chunks(dedup_chunks(chunk_pages(pages, split_length, parsed)))
 
 
 def found_chunks(
-    found: DataFrame, pages: DataFrame, split_length: int | None = 2000, parsed: bool = False
+    found: DataFrame, pages: DataFrame, split_length: int | None = 2000, parsed: bool = True
 ) -> DataFrame:
     """Chunks of the pages whose URL is in ``found``, with hashes, all copies.
 
@@ -77,13 +80,14 @@ def crawl_to_chunks(
     site_match: str = "contains",
     include_seed: bool = False,
     check_host: bool = True,
-    parsed: bool = False,
+    parsed: bool = True,
+    max_levels: int | None = None,
 ) -> DataFrame:
     """Crawl one site from ``domain`` and return its export records: text of every
     found page, cut, deduplicated and sanitised. A ``fetch`` callable is asked for
     each URL once."""
     if split_length is not None and split_length < 1:
-        raise ValueError("split_length must be positive or None")
+        raise ValueError("a chunk needs at least one character")
     parts = urlsplit(domain)
     if parts.scheme not in WEB_SCHEMES or not parts.netloc:
         raise ValueError("domain must be an http or https URL with a host")
@@ -99,11 +103,19 @@ def crawl_to_chunks(
         excluded_protocols=excluded_protocols,
         site_match=site_match,
     )
-    fetch = _Fetched(spark, fetch) if fetch else None
-    found = crawl(
-        seeds, pages, fetch, max_depth, include_seed=include_seed, parsed=parsed, **filters
-    )
-    content = fetch.all_pages(found) if fetch else visitable(pages, seeds, **filters)
-    return export_chunks(
-        dedup_chunks(found_chunks(found, content, split_length, parsed))
-    )
+    if (pages is None) == (fetch is None):
+        raise ValueError("give either pages or fetch")
+    if fetch:
+        fetch = _Fetched(spark, fetch)
+        found = crawl(
+            seeds, None, fetch, max_depth, max_levels, include_seed, parsed, **filters
+        )
+        chunks = found_chunks(found, fetch.all_pages(found), split_length, parsed)
+        return export_chunks(dedup_chunks(chunks))
+    # HTML is read and parsed once: links and text come from the same pass.
+    read = materialize(page_contents(visitable(pages, seeds, **filters), parsed), "contents")
+    hrefs = read.select("url", F.explode("hrefs").alias("href"))
+    edges = materialize(followed(hrefs, **filters), "edges")
+    found = reach(edges, seeds, max_depth, max_levels, include_seed)
+    texts = read.select("url", "text").join(found.select("url"), "url", "left_semi")
+    return export_chunks(dedup_chunks(hash_chunks(chunk_text(texts, "text", split_length))))

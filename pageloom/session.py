@@ -15,18 +15,18 @@ _local_folders: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session may go without the setting; it then gets a temporary
-    folder, since driver and executors are one process there.
+    Only a local session, whose driver and executors are one process, may go without
+    the setting, as in tests; it then gets one temporary folder.
     """
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.split("[")[0] == "local":
         raise ValueError(f"set {_SETTING} to a folder all executors share")
-    return _local_folders.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="pageloom-")
-    )
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="pageloom-")
+    return _local_folders[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -20,7 +20,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def extract_stream(
-    pages: DataFrame, split_length: int | None = 2000, parsed: bool = False
+    pages: DataFrame, split_length: int | None = 2000, parsed: bool = True
 ) -> DataFrame:
     """Chunks of arriving pages; no state."""
     return chunk_pages(pages, split_length, parsed)

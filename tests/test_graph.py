@@ -48,6 +48,13 @@ def test_level_limit_is_an_error_not_a_cut(spark):
         graph.reach(frame(spark, EDGES), seeds_of(spark, "s"), None, max_levels=2)
 
 
+def test_level_limit_lets_finished_crawls_end(spark):
+    chain = frame(spark, [("a", "b"), ("b", "c"), ("c", "d")])
+    want = {"b": 1, "c": 2, "d": 3}
+    assert found(graph.reach(chain, seeds_of(spark, "a"), None, max_levels=4)) == want
+    assert found(graph.reach(chain, seeds_of(spark, "a"), 10, max_levels=2)) == want
+
+
 def test_random_graphs_equal_plain_search(spark):
     for seed in range(3):
         rng = random.Random(seed)
@@ -164,9 +171,7 @@ def test_small_frontier_is_broadcast_and_edges_stay_put(spark, folder):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-@pytest.mark.parametrize("listed", [graph.LISTED_SEEDS, 0])
-def test_pages_a_crawl_can_come_to(spark, monkeypatch, listed):
-    monkeypatch.setattr(graph, "LISTED_SEEDS", listed)
+def test_pages_a_crawl_can_come_to(spark):
     seeds = seeds_of(spark, "http://o.t/", "http://s.t/", "http://none/")
     near = graph.visitable(pages_of(spark), seeds, site="s.t", exclude_keywords=["skip"])
     assert sorted(r["url"] for r in near.collect()) == [

@@ -1,5 +1,7 @@
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.functions import charset, html, retry, text
@@ -63,7 +65,11 @@ HTML = [
     ("<p title='a>b'>c</p>", "c", "b'>c"),
     ("<!DOCTYPE html><p>x<br>y</p>", "x y", "x y"),
     ("<p>&#65;&#x42;&#128512;&#xD800;&copy 1&unknown;&amp;lt;& &</p>",) + ("AB😀\ufffd© 1&unknown&lt;& &",) * 2,
-    ("<p>&thorn;</p>", "þ", "&thorn"),
+    ("<p>&thorn;</p>", "þ", "þ"),
+    ("<p>caf&eacute; &uuml;ber it&#146;s 1&#150;2 &#x94;</p>",) + ("café über it’s 1–2 ”",) * 2,
+    ("<p>a</p><nav-bar>menu</nav-bar><p>body text</p>",) + ("a menu body text",) * 2,
+    ("<header-x>h</header-x><style-guide></style-guide><p>kept</p>",) + ("h kept",) * 2,
+    ("<title>a <nav> tutorial</title><p>whole body</p>", "a whole body", "a"),
     ("<p>1 < 2 <!-- c --> x</p>", "1 < 2 x", "1 < 2 x"),
     ("<STYLE>p{}</STYLE><Header>h</hEADER>t", "t", "t"),
 ]
@@ -92,6 +98,8 @@ LINKS = [
     ("<a href>x</a>", [""]),
     ("<a href='/a'>x</a><A HREF=\"/a\">y</A>", ["/a"]),
     ('<a data-href="x" href="y">z</a>', ["y"]),
+    ('<a title="my href=/bad" href="/good">z</a>', ["/good"]),
+    ("<style-guide></style-guide><a href='/caf&eacute;'>", ["/café"]),
     ('<!-- <a href="c"> --><script>"<a href=\'s\'>"</script><a href="k">', ["k"]),
     ("<a class=q href=/u>x</a>", ["/u"]),
     ('<a href="?a=1&amp;b=2">x</a><abbr href="no">', ["?a=1&b=2"]),
@@ -99,6 +107,20 @@ LINKS = [
 ]
 
 
+def test_text_and_links_are_read_in_one_pass(spark):
+    pages = [h for h, _, _ in HTML] + [h for h, _ in LINKS]
+    both = column(spark, pages, html.page_parsed)
+    assert [b["text"] for b in both[: len(HTML)]] == [p for _, p, _ in HTML]
+    assert [b["hrefs"] for b in both[len(HTML) :]] == [v for _, v in LINKS]
+
+
+@pytest.mark.parametrize("unit", ["<!-- ", "<a ", "<a x='", "</", "<nav ", "<?", "<nav>", "&", '<a x="1" '])
+def test_hostile_pages_take_linear_time(unit):
+    start = time.process_time()
+    html._parse("<p>x</p>" + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - start < 5
+
+
 def test_links_both_ways(spark):
     pages = [h for h, _ in LINKS]
     assert column(spark, pages, html.link_values) == [v for _, v in LINKS]
@@ -129,7 +151,7 @@ def test_edge_options(spark):
 
 def test_links_are_joined_once_and_filtered_on_the_value(spark):
     df = spark.createDataFrame([("http://s.t/", "<a href=x>")], "url string, html string")
-    plan = links.build_edges(df, site="s.t")._jdf.queryExecution().executedPlan().toString()
+    plan = links.build_edges(df, parsed=False, site="s.t")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
 
 
