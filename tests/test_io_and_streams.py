@@ -77,10 +77,11 @@ def test_loose_files(spark, tmp_path):
 
 
 def test_scan_reads_only_what_is_needed(spark, folder):
-    df = chunks.chunk_pages(sources.read_pages(spark, f"{folder}/pages.parquet"))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<url:string,html:string>" in plan
-    assert "Python" not in plan and "IsNotNull(html)" in plan
+    pages = sources.read_pages(spark, f"{folder}/pages.parquet")
+    for parsed in (True, False):
+        plan = chunks.chunk_pages(pages, parsed=parsed)._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<url:string,html:string>" in plan
+        assert ("Python" in plan) == parsed and "IsNotNull(html)" in plan
 
 
 def test_dedup_reduces_before_the_shuffle(spark, folder):
