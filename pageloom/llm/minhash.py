@@ -346,39 +346,109 @@ def _shared(a: Column, b: Column) -> Column:
     return jaccard(a, b)
 
 
-def similar_pairs(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
-    """(a, b, jaccard) of documents (doc_id, text) whose shingles' Jaccard similarity is
-    at least ``threshold``, between classes of equal fingerprints, a < b, each class by
-    its smallest doc_id. A pair of similarity 0.8 shares a band with probability above
-    0.999 (16 bands of 4).
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every row's fingerprint, and the classes of equal ones with their smallest doc_id
+    (and that row's text, by its hash, as rows may share a doc_id)."""
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(
+        "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    )
+    marked = materialize(with_fingerprint(rows).drop("text"), "prints")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    grouped = marked.groupBy("fingerprint").agg(first)
+    return marked, materialize(
+        grouped.select("fingerprint", F.col("first.doc_id").alias("id"), "first.text_hash"), "classes"
+    )
 
-    Bands join classes, not documents, so copies make no pairs. In a bucket of more than
-    ``GROUP`` classes, where all pairs would be too many, each class is compared with the
-    bucket's first class only; as a pair at 0.8 shares some six bands, most still meet
-    in smaller buckets, and links of a dense group lead through its first classes.
+
+def _agreeing(bands: int, least: int):
+    """Pairs (a, b) of one block whose fingerprints agree in at least ``least`` places
+    and in no band before the block's own, so that a pair comes out of one bucket only."""
+
+    @F.pandas_udf("array<struct<a: long, b: long>>")
+    def pairs(band: pd.Series, lo: pd.Series, hi: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for own, low, high, members in zip(band, lo, hi, rows):
+            ids = np.array([m["id"] for m in members], np.int64)
+            slot = np.array([m["slot"] for m in members], np.int64)
+            prints = np.frombuffer(b"".join(m["fingerprint"] for m in members), "<u2")
+            prints = prints.reshape(len(ids), PERMUTATIONS)
+            left, right = np.flatnonzero(slot == low), np.flatnonzero(slot == high)
+            found = []
+            for i in left:
+                others = right[right > i] if low == high else right
+                near = others[(prints[others] == prints[i]).sum(axis=1) >= least]
+                same = (prints[near] == prints[i]).reshape(len(near), bands, PERMUTATIONS // bands).all(axis=2)
+                near = near[same.argmax(axis=1) == own]
+                found += [
+                    {"a": min(ids[i], ids[j]).item(), "b": max(ids[i], ids[j]).item()} for j in near
+                ]
+            out.append(found)
+        return pd.Series(out)
+
+    return pairs
+
+
+def candidates(
+    classes: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, group: int | None = None
+) -> DataFrame:
+    """(a, b) of ``classes`` (id, fingerprint) that share a band and whose fingerprints
+    agree nearly as often as ``threshold`` asks, each pair once.
+
+    A bucket is one band with its values. Its members are dealt to slots of about
+    ``group``; each pair of slots is compared by itself, so buckets of any size are
+    compared whole and none is gathered whole, and only agreeing pairs are put out.
     """
+    group = group or GROUP
+    # Four standard deviations below the expected number of equal places.
+    spread = (PERMUTATIONS * threshold * (1 - threshold)) ** 0.5
+    least = max(1, int(PERMUTATIONS * threshold - 4 * spread))
     width = 2 * PERMUTATIONS // bands
-    marked = materialize(with_fingerprint(docs.select("doc_id", "text")).drop("text"), "prints")
-    classes = materialize(
-        marked.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "classes"
-    )
     slices = F.array(*[F.substring("fingerprint", 1 + i * width, width) for i in range(bands)])
-    rows = classes.select("id", F.posexplode(slices).alias("band", "piece"))
-    keyed = rows.select("id", F.xxhash64("band", "piece").alias("key"))
-    sizes = materialize(
-        keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1"),
-        "bands",
+    keyed = classes.select("id", "fingerprint", F.posexplode(slices).alias("band", "piece"))
+    # Counting first spares the shuffle of buckets of one.
+    sizes = materialize(keyed.groupBy("band", "piece").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
+    slots = F.ceil(F.col("n") / group).cast("int")
+    dealt = (
+        keyed.join(sizes, ["band", "piece"])
+        .withColumn("slot", F.pmod(F.xxhash64("id"), slots).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), slots - 1)))
+        .withColumns({"lo": F.least("slot", "other"), "hi": F.greatest("slot", "other")})
     )
-    shared = keyed.select("key", "id").join(sizes, "key")
-    small = shared.filter(F.col("n") <= GROUP)
-    pairs = (
-        small.select("key", F.col("id").alias("a"))
-        .join(small.select("key", F.col("id").alias("b")), "key")
-        .select("a", "b")
+    blocks = dealt.groupBy("band", "piece", "lo", "hi").agg(
+        F.collect_list(F.struct("id", "slot", "fingerprint")).alias("rows")
+    )
+    return blocks.select(
+        F.explode(_agreeing(bands, least)("band", "lo", "hi", "rows")).alias("p")
+    ).select("p.a", "p.b")
+
+
+def membership(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every row: the smallest doc_id with an equal fingerprint. Rows
+    with a null doc_id can't be named and take no part."""
+    marked, classes = _classes(docs)
+    named = classes.select("fingerprint", F.col("id").alias("class_id"))
+    return marked.join(named, "fingerprint").select("doc_id", "class_id")
+
+
+def similar_pairs(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
+    """(a, b, jaccard) of documents (doc_id, text) whose shingles' Jaccard similarity is
+    at least ``threshold``, between classes of equal fingerprints, a < b, each class by
+    its smallest doc_id; ``membership`` tells which rows a class holds. Rows with a null
+    doc_id take no part; no rows give no pairs.
+
+    Bands join classes, not documents, so copies make no pairs. A pair of similarity 0.8
+    shares a band with probability above 0.999 (16 bands of 4) and is a candidate then
+    with probability above 0.999. There is no bound on a bucket's size: see ``candidates``.
+    """
+    _, classes = _classes(docs)
+    found = materialize(candidates(classes.select("id", "fingerprint"), threshold, bands), "candidates")
+    # Only the texts of classes with a candidate are shuffled on.
+    used = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = classes.join(used, "id").select(F.col("id").alias("doc_id"), "text_hash")
+    texts = docs.select(
+        F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
     )
-    led = shared.filter(F.col("n") > GROUP).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    found = materialize(pairs.union(led).filter("a < b").distinct(), "candidates")
-    texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
+    texts = texts.join(wanted, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id"])
     whole = (
         found.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
