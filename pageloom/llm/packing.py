@@ -305,7 +305,8 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, rest: int = R
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table with ``length`` from 1 to capacity.
 
-    ``pieces`` is read several times and must give the same rows each time.
+    ``pieces`` is read several times and must give the same rows each time. A column
+    ``row`` that numbers the rows keeps equal ones from falling into one bucket.
     """
     spark = pieces.sparkSession
     sizes = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -316,7 +317,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         [(int(k), max(1, int(n**0.5))) for k, n in sizes.items()] or [(1, 1)], "length long, buckets int"
     )
     known = [c for c in pieces.columns if c != "length"]
-    spread = F.xxhash64(*[F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32") if c in known])
+    names = ("doc_id", "piece", "start", "ids_crc32", "row")
+    spread = F.xxhash64(*[F.col(c) for c in names if c in known])
     # One row for each length, at most ``capacity`` rows.
     dealt = pieces.join(F.broadcast(counts), "length").withColumn(
         "bucket", F.pmod(spread, F.col("buckets")).cast("int")
@@ -361,6 +363,8 @@ def pack(
     """Pieces of ``docs`` (doc_id, text) with their sequence and the offset in it.
 
     Rows that agree in all columns of a piece may swap places, which changes nothing.
+    They are numbered when they are written, so any number of them is spread.
     """
-    pieces = materialize(token_pieces(docs, capacity, vocabulary, keep_ids), "pieces")
-    return place(pieces, capacity)
+    found = token_pieces(docs, capacity, vocabulary, keep_ids)
+    pieces = materialize(found.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    return place(pieces, capacity).drop("row")
