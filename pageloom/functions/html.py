@@ -271,7 +271,7 @@ def page_native(c: Column) -> Column:
     return F.struct(html_to_text(c).alias("text"), link_values(c).alias("hrefs"))
 
 
-@F.udtf(returnType=StructType([StructField("href", StringType())]))
+@F.udtf(returnType=StructType([StructField("href", StringType())]), useArrow=True)
 class HtmlLinks:
     """``SELECT href FROM pages, LATERAL html_links(html)``"""
 

@@ -24,8 +24,9 @@ def fetch_lookup(
     )
 
 
-def _site_candidates(where: Column, site_match: str) -> Column:
-    """Every string a site may be written as to match this authority."""
+def _site_candidates(where: Column, site_match: str, lengths: Sequence[int] = ()) -> Column:
+    """Every string a site may be written as to match this authority; of substrings
+    those of the given lengths."""
     if site_match == "exact":
         return F.array(where)
     if site_match == "suffix":
@@ -35,13 +36,14 @@ def _site_candidates(where: Column, site_match: str) -> Column:
             starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
         )
     size = F.length(where)
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= size)
     return F.array_distinct(
         F.flatten(
             F.transform(
-                F.sequence(F.lit(1), size),
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), size - i + 1),
-                    lambda n: F.substring(where, i, n),
+                fitting,
+                lambda n: F.transform(
+                    F.sequence(F.lit(1), size - n + 1),
+                    lambda i: F.substring(where, i, n),
                 ),
             )
         )
@@ -55,10 +57,16 @@ def assign_site(
 
     The authority's substrings (suffixes, or itself) are looked up by equality,
     on distinct authorities only, so no pairwise comparison of URLs and sites
-    takes place however many sites there are.
+    takes place however many sites there are. Only substrings as long as some site
+    are looked up; the lengths in use, at most as many as the longest site has
+    characters, are collected for that.
     """
     if site_match not in SITE_MATCHES:
         raise ValueError(f"site_match must be one of {SITE_MATCHES}")
+    lengths = []
+    if site_match == "contains":
+        used = sites.select(F.length("site").alias("n")).filter("n > 0").distinct()
+        lengths = sorted(r["n"] for r in used.collect())
     placed = urls.withColumn("_netloc", netloc(F.col("url")))
     covered = (
         placed.select("_netloc")
@@ -66,7 +74,7 @@ def assign_site(
         .distinct()
         .select(
             "_netloc",
-            F.explode(_site_candidates(F.col("_netloc"), site_match)).alias("site"),
+            F.explode(_site_candidates(F.col("_netloc"), site_match, lengths)).alias("site"),
         )
         .join(sites, "site")
     )

@@ -15,6 +15,7 @@ STATE = (
     "state string, passed int, streak bigint, total bigint, failures bigint, "
     "failed_at bigint, ts_us bigint, seq bigint"
 )
+_MISSING = -(2**63)  # stands for NULL, which pandas would turn into a float
 FRESH = ("closed", 0, 0, 0, 0, None, None, None)
 
 
@@ -34,8 +35,13 @@ class _Breaker(StatefulProcessor):
         state, passed, streak, total, failures, failed_at, last_ts, last_seq = row
         batch = pd.concat(list(rows)).sort_values(["ts_us", "seq"], kind="stable")
         out = []
-        for ts, seq, failed in zip(batch["ts_us"], batch["seq"], batch["failed"]):
+        for ts, seq, failed, known in zip(
+            batch["ts_us"], batch["seq"], batch["failed"], batch["known"]
+        ):
             ts, seq = int(ts), int(seq)
+            if not known:
+                out.append((key[0], ts, seq, None, None, None, None, None))
+                continue
             late = last_ts is not None and (ts, seq) <= (last_ts, last_seq)
             if not late:
                 last_ts, last_seq = ts, seq
@@ -59,10 +65,14 @@ class _Breaker(StatefulProcessor):
         self.stored.update(
             (state, passed, streak, total, failures, failed_at, last_ts, last_seq)
         )
-        yield pd.DataFrame(
+        found = pd.DataFrame(
             out,
             columns=["key", "ts_us", "seq", "late", "state", "total", "failures", "streak"],
         )
+        # Columns with gaps would turn into floating point numbers.
+        yield found.astype(
+            {"late": "boolean", "total": "Int64", "failures": "Int64", "streak": "Int64"}
+        )
 
     def close(self) -> None:
         pass
@@ -86,15 +96,19 @@ def breaker_stream(
 
     Equals ``breaker_replay`` as long as events arrive in order between
     micro-batches. An event older than the key's newest one of an earlier batch
-    comes out with ``late`` true and does not count. The state store must be
+    comes out with ``late`` true and does not count. An event without a time or number
+    has no place in the order: it comes out with ``late`` and all counts NULL. The state store must be
     RocksDB (``use_rocksdb``). A micro-batch, bounded at the source by
     ``maxFilesPerTrigger``, bounds the rows of a key held at once.
     """
+    time, number = F.unix_micros(F.col(ts).cast("timestamp")), F.col(seq).cast("bigint")
+    missing = F.lit(_MISSING)
     events = log.select(
         F.col(key).cast("string").alias("key"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("ts_us"),
-        F.col(seq).cast("bigint").alias("seq"),
+        F.coalesce(time, missing).alias("ts_us"),
+        F.coalesce(number, missing).alias("seq"),
         F.coalesce(failed, F.lit(False)).alias("failed"),
+        (time.isNotNull() & number.isNotNull()).alias("known"),
     )
     states = events.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Breaker(rules),
@@ -103,6 +117,6 @@ def breaker_stream(
         timeMode="None",
     )
     return states.select(
-        "key", F.timestamp_micros("ts_us").alias("ts"), "seq", "late", "state",
-        "total", "failures", "streak",
+        "key", F.timestamp_micros(F.nullif("ts_us", missing)).alias("ts"),
+        F.nullif("seq", missing).alias("seq"), "late", "state", "total", "failures", "streak",
     )

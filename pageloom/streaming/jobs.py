@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from pageloom.operators.chunks import chunk_pages
 
@@ -26,26 +28,37 @@ def extract_stream(
     return chunk_pages(pages, split_length, parsed)
 
 
+@F.pandas_udf(BooleanType())
+def _first_of_batch(value: pd.Series) -> pd.Series:
+    return ~value.duplicated()
+
+
+@F.pandas_udf(BooleanType())
+def _newest_of_batch(value: pd.Series, time: pd.Series) -> pd.Series:
+    newest = time.sort_values(ascending=False, na_position="last", kind="stable").index
+    return ~value.loc[newest].duplicated().loc[value.index]
+
+
 def _first_seen(
-    df: DataFrame, column: str, salts: int, event_time: str | None = None, within: str | None = None
+    df: DataFrame, column: str, event_time: str | None = None, within: str | None = None
 ) -> DataFrame:
-    if within:
-        df = df.withWatermark(event_time, within)
-    drop = DataFrame.dropDuplicatesWithinWatermark if within else DataFrame.dropDuplicates
-    if salts > 1:
-        # A value that fills much of the stream is first dropped within `salts`
-        # groups of input splits, so that its repeats are spread over as many
-        # tasks and at most `salts` of them ever reach the second step.
-        salt = F.pmod(F.spark_partition_id(), F.lit(salts))
-        df = drop(df.withColumn("_salt", salt), [column, "_salt"]).drop("_salt")
-    return drop(df, [column])
+    """Each value of ``column`` once.
+
+    Repeats inside one Arrow batch are dropped by their value alone, without state, so
+    that a value that fills much of the stream is not shuffled to one task whole; the
+    state then holds each distinct value once. With a watermark the newest copy of the
+    batch stays: if any of them is in time, that one is.
+    """
+    if not within:
+        first = _first_of_batch.asNondeterministic()(F.col(column))
+        return df.filter(first).dropDuplicates([column])
+    newest = _newest_of_batch.asNondeterministic()(F.col(column), F.col(event_time))
+    marked = df.withWatermark(event_time, within)
+    return marked.filter(newest).dropDuplicatesWithinWatermark([column])
 
 
 def dedup_stream(
-    chunks: DataFrame,
-    within: str | None = None,
-    event_time: str = "fetched_at",
-    salts: int = 8,
+    chunks: DataFrame, within: str | None = None, event_time: str = "fetched_at"
 ) -> DataFrame:
     """Each ``content_hash`` once.
 
@@ -53,12 +66,14 @@ def dedup_stream(
     distinct contents. With ``within`` (an interval such as ``"7 days"``) a hash is
     forgotten that long after it was seen, so a later copy passes again.
     """
-    return _first_seen(chunks, "content_hash", salts, event_time, within)
+    return _first_seen(chunks, "content_hash", event_time, within)
 
 
-def visited_stream(urls: DataFrame, salts: int = 8) -> DataFrame:
-    """Each ``url`` once, for ever."""
-    return _first_seen(urls, "url", salts)
+def visited_stream(
+    urls: DataFrame, within: str | None = None, event_time: str = "fetched_at"
+) -> DataFrame:
+    """Each ``url`` once: for ever, or with ``within`` as in ``dedup_stream``."""
+    return _first_seen(urls, "url", event_time, within)
 
 
 def observe_run(chunks: DataFrame, name: str = "run") -> DataFrame:

@@ -117,7 +117,7 @@ def test_page_stream_twice_with_one_checkpoint(spark, tmp_path):
 
     def run():
         stream = jobs.extract_stream(sources.read_pages_stream(spark, source), 2)
-        kept = drain(jobs.dedup_stream(stream, salts=3), out, mark)
+        kept = drain(jobs.dedup_stream(stream), out, mark)
         return sorted(r["content"] for r in kept.collect())
 
     assert run() == ["aa", "bb", "cc"]
@@ -148,15 +148,14 @@ def test_progress_reports_the_run(spark, tmp_path):
     assert sum(m["chunks_written"] for m in seen) == 4
 
 
-@pytest.mark.parametrize("salts", [1, 4])
-def test_dedup_with_bounded_state(spark, tmp_path, salts):
+def test_dedup_with_bounded_state(spark, tmp_path):
     source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     schema = "content_hash string, fetched_at timestamp"
     day = datetime(2024, 1, 1)
 
     def run():
         stream = spark.readStream.schema(schema).parquet(source)
-        kept = jobs.dedup_stream(stream, within="1 day", salts=salts)
+        kept = jobs.dedup_stream(stream, within="1 day")
         return sorted(r[0] for r in drain(kept, out, mark).collect())
 
     arrive(spark, source, [("x", day), ("x", day), ("y", day)], schema)
@@ -180,6 +179,52 @@ def test_visited_stream(spark, tmp_path):
     assert drain(jobs.visited_stream(stream), out, mark).count() == 3
 
 
+def test_visited_state_holds_each_value_once(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = [("hot",)] * 500 + [(f"u{i % 40}",) for i in range(200)] + [(None,)] * 3
+    spark.createDataFrame(rows, "url string").repartition(6).write.parquet(source)
+    stream = jobs.visited_stream(spark.readStream.schema("url string").parquet(source))
+    done = sinks.write_chunks_stream(stream, str(tmp_path / "out"), str(tmp_path / "mark"))
+    done.awaitTermination()
+    got = spark.read.schema("url string").parquet(str(tmp_path / "out"))
+    assert got.count() == got.distinct().count() == 42
+    (state,) = done.recentProgress[-1]["stateOperators"]
+    assert state["numRowsTotal"] == 42
+
+
+def test_of_copies_in_one_batch_one_in_time_passes(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    schema = "content_hash string, fetched_at timestamp"
+    day = datetime(2024, 1, 1)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        return sorted(r[0] for r in drain(jobs.dedup_stream(stream, "1 day"), out, mark).collect())
+
+    for later in (10, 11):
+        arrive(spark, source, [(f"t{later}", day + timedelta(days=later))], schema)
+        run()
+    arrive(spark, source, [("x", day), ("x", day + timedelta(days=11)), ("late", day)], schema)
+    assert run() == ["t10", "t11", "x"]
+
+
+def test_breaker_stream_reports_rows_without_a_place(spark, tmp_path):
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    start = datetime(2024, 1, 1)
+    big = 2**60 + 1
+    rows = [("h", start, big, True), ("h", None, 3, True), ("h", start, None, False), (None, start, 1, True)]
+    schema = "host string, ts timestamp, seq long, bad boolean"
+    arrive(spark, source, rows, schema)
+    log = spark.readStream.schema(schema).parquet(source)
+    got = drain(breaker.breaker_stream(log, F.col("bad"), "host", "ts", "seq"), out, mark).collect()
+    assert {(r.key, r.ts, r.seq, r.late, r.total) for r in got} == {
+        ("h", start, big, False, 1),
+        ("h", None, 3, None, None),
+        ("h", start, None, None, None),
+        (None, start, 1, False, 1),
+    }
+
+
 def test_breaker_stream_equals_replay_and_marks_late_rows(spark, tmp_path):
     schema = "host string, ts timestamp, seq int, bad boolean"
     start = datetime(2024, 1, 1)
