@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.llm.simhash import components
 from pageloom.session import materialize
 
 PERMUTATIONS = 64
@@ -27,6 +28,7 @@ WORDS = 5
 BANDS = 16
 SIMILARITY = 0.8
 GROUP = 256
+BLOCK_BYTES = 1 << 23  # shingle hashes in one slot, about
 STEP_BYTES = 1 << 20
 STEP_SHINGLES = 1 << 15
 
@@ -456,3 +458,139 @@ def similar_pairs(docs: DataFrame, threshold: float = SIMILARITY, bands: int = B
     return whole.select("a", "b", _shared(F.col("text_a"), F.col("text_b")).alias("jaccard")).filter(
         F.col("jaccard") >= threshold
     )
+
+
+# ------------------------------------------------------------ groups of near copies
+
+
+def _least(threshold: float) -> int:
+    """Equal places that a pair at ``threshold`` has but for one chance in a thousand."""
+    spread = (PERMUTATIONS * threshold * (1 - threshold)) ** 0.5
+    return max(1, int(PERMUTATIONS * threshold - 4 * spread))
+
+
+def _joined(slot: np.ndarray, prints: np.ndarray, low: int, high: int, least: int, alike) -> list[tuple[int, int]]:
+    """Links that join all members of a block whose fingerprints agree in ``least`` places
+    and that are ``alike``, none twice; those of one slot, or across two slots."""
+    todo = np.ones(len(slot), bool)
+    found = []
+    for first in range(len(slot)):
+        if not todo[first]:
+            continue
+        todo[first] = False
+        queue = [first]
+        while queue and todo.any():
+            at = queue.pop()
+            rest = np.flatnonzero(todo if low == high else todo & (slot != slot[at]))
+            near = rest[(prints[rest] == prints[at]).sum(axis=1) >= least]
+            near = [n for n in near.tolist() if alike(at, n)]
+            todo[near] = False
+            queue.extend(near)
+            found += [(at, n) for n in near]
+    return found
+
+
+def _block_links(least: int, threshold: float | None):
+    """Links of each block; with a threshold only between sets of that similarity."""
+
+    @F.pandas_udf("array<struct<a: string, b: string>>")
+    def links(lo: pd.Series, hi: pd.Series, rows: pd.Series) -> pd.Series:
+        out = []
+        for low, high, members in zip(lo, hi, rows):
+            slot = np.array([m["slot"] for m in members], np.int64)
+            prints = np.frombuffer(b"".join(m["fingerprint"] for m in members), "<u2")
+            prints = prints.reshape(len(slot), PERMUTATIONS)
+            if threshold is None:
+                pairs = _joined(slot, prints, low, high, least, lambda i, j: True)
+            else:
+                runs = [np.frombuffer(m["runs"], "<u4") for m in members]
+
+                def alike(i: int, j: int) -> bool:
+                    u, v = runs[i], runs[j]
+                    if min(len(u), len(v)) < threshold * max(len(u), len(v)):
+                        return False
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    return both >= threshold * (len(u) + len(v) - both)
+
+                pairs = _joined(slot, prints, low, high, least, alike)
+            ids = [m["id"] for m in members]
+            out.append([{"a": min(ids[i], ids[j]), "b": max(ids[i], ids[j])} for i, j in pairs])
+        return pd.Series(out)
+
+    return links
+
+
+def _blocks(keyed: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """Blocks (lo, hi, rows) of the groups ``keys``: members are dealt to ``slots`` slots,
+    and each pair of slots is a block, so no group is gathered whole."""
+    dealt = (
+        keyed.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+        .withColumns({"lo": F.least("slot", "other"), "hi": F.greatest("slot", "other")})
+    )
+    return dealt.groupBy(*keys, "lo", "hi").agg(F.collect_list(F.struct("id", "slot", *carried)).alias("rows"))
+
+
+def _runs(text: Column) -> Column:
+    """The different shingle hashes of a text in ascending order, as binary."""
+
+    @F.arrow_udf("binary")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hasher = Hasher()
+        for texts in batches:
+            out = []
+            for t in texts:
+                words, _ = hasher.word_lists([(t.as_py() or "").encode()])
+                runs = np.unique(hasher.shingles(words)) if len(words) else words
+                out.append(runs.astype("<u4").tobytes())
+            yield pa.array(out, pa.binary())
+
+    return of(text)
+
+
+def leaders(
+    docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, group: int | None = None
+) -> DataFrame:
+    """The smallest doc_id of each group of ``docs`` (doc_id, text) that pairs of Jaccard
+    similarity ``threshold`` or more join, directly or through others.
+
+    Equal texts are one vertex. First, texts that share a band and agree nearly as often
+    as ``threshold`` asks are joined by their fingerprints alone; only a spanning set of
+    links leaves a block, so a group of n near copies makes about n links and not n * n.
+    Then the texts of each group so found are compared by their shingles, and links
+    verified that way join the final groups. Chances to miss a pair: see ``similar_pairs``.
+    Rows with a null doc_id take part; a group of them alone gives a null.
+    """
+    group = group or GROUP
+    least = _least(threshold)
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    marked = with_fingerprint(docs.select("doc_id", "text")).select("doc_id", digest.alias("id"), "fingerprint")
+    classes = materialize(
+        marked.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fingerprint").alias("fingerprint")),
+        "classes",
+    )
+    width = 2 * PERMUTATIONS // bands
+    slices = F.array(*[F.substring("fingerprint", 1 + i * width, width) for i in range(bands)])
+    keyed = classes.select("id", "fingerprint", F.posexplode(slices).alias("band", "piece"))
+    sizes = materialize(keyed.groupBy("band", "piece").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
+    shared = keyed.join(sizes, ["band", "piece"]).withColumn("slots", F.ceil(F.col("n") / group).cast("int"))
+    blocks = _blocks(shared, ["band", "piece"], ["fingerprint"])
+    loose = blocks.select(F.explode(_block_links(least, None)("lo", "hi", "rows")).alias("l")).select("l.a", "l.b")
+    roots = materialize(components(loose), "roots")
+    # Only texts with a possible near copy are read again, each once.
+    texts = docs.select(digest.alias("id"), "text").join(roots.select(F.col("v").alias("id")), "id", "left_semi")
+    held = materialize(
+        texts.withColumn("runs", _runs(F.col("text"))).groupBy("id").agg(F.first("runs").alias("runs")), "runs"
+    )
+    named = held.join(roots.withColumnRenamed("v", "id"), "id")
+    wide = named.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("runs")).alias("size"))
+    wide = wide.select(
+        "root", F.greatest(F.ceil(F.col("n") / group), F.ceil(F.col("size") / BLOCK_BYTES), F.lit(1)).cast("int").alias("slots")
+    )
+    full = materialize(named.join(classes.select("id", "fingerprint"), "id").join(wide, "root"), "sets")
+    near = _blocks(full, ["root"], ["fingerprint", "runs"]).select(
+        F.explode(_block_links(least, threshold)("lo", "hi", "rows")).alias("l")
+    )
+    final = components(near.select("l.a", "l.b")).withColumnRenamed("v", "id")
+    grouped = classes.join(final, "id", "left").groupBy(F.coalesce("root", "id").alias("root"))
+    return grouped.agg(F.min("first").alias("doc_id")).select("doc_id")

@@ -246,13 +246,14 @@ def cluster(docs: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFr
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with the smallest doc_id; of rows with equal
-    doc_id, the first by text. Rows with a null doc_id can't be named and all stay.
-    Columns are returned as they are, whatever they are called.
+def keep_first(docs: DataFrame, lead: DataFrame | None = None) -> DataFrame:
+    """One row of each component, or of each doc_id in ``lead``: that with the smallest
+    doc_id; of rows with equal doc_id, the first by text. Rows with a null doc_id can't be
+    named and all stay. Columns are returned as they are, whatever they are called.
     """
     named = docs.filter(F.col("doc_id").isNotNull())
-    lead = cluster(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
+    if lead is None:
+        lead = cluster(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
     kept = named.join(lead.select("doc_id").filter("doc_id IS NOT NULL"), "doc_id", "left_semi")
     # The join has dealt the rows by doc_id, so this needs no further shuffle.
     place = free_name(docs, "place")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pageloom.llm import mixing, pii, queries, simhash, warc
+from pageloom.llm import minhash, mixing, pii, queries, simhash, warc
 from pageloom.llm.common import table
 
 # ------------------------------------------------------------------ SimHash
@@ -330,6 +330,52 @@ def test_parse_refuses_faults(change):
 # ----------------------------------------------------------------- pipeline
 
 
+def test_near_copy_stage_reaches_four_fifths(spark, monkeypatch):
+    rng = random.Random(12)
+
+    def text():
+        return [f"w{rng.randint(0, 99999)}" for _ in range(200)]
+
+    def runs(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def similarity(a, b):
+        a, b = runs(a), runs(b)
+        return len(a & b) / len(a | b)
+
+    rows, planted = [], 0
+    for i in range(40):
+        words = text()
+        changed = list(words)
+        for place in rng.sample(range(10, 190), 1 + i % 4):
+            changed[place] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+        planted += 0.8 <= similarity(rows[-2][1], rows[-1][1]) <= 0.98
+    assert planted >= 30
+    base = text()  # a chain whose buckets exceed the group size
+    rows += [(1000 + k, " ".join(base[k:] + base[:k])) for k in range(60)]
+    parent = {d: d for d, _ in rows}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for n, (a, s) in enumerate(rows):
+        for b, t in rows[:n]:
+            if similarity(s, t) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = sorted({root(d) for d, _ in rows})
+    rows += [(2000, rows[0][1]), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == want and len(got) == len(want) + 1
+    monkeypatch.setattr(minhash, "GROUP", 8)
+    assert sorted(r.doc_id for r in minhash.leaders(df).collect()) == want
+
+
 def test_pipeline_stages(spark, folder):
     docs = table(spark, folder, "documents").withColumn("score", F.lit("kept"))
     columns = docs.columns
