@@ -121,14 +121,19 @@ def permute_digits(digits: Column, key: Column, label: Column) -> Column:
             ),
         )
 
-    starts = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: i * 18 < F.length(digits))
-    return F.array_join(
-        F.transform(
-            starts,
-            lambda i: piece(F.substring(digits, i * 18 + 1, F.lit(18)), F.concat_ws("/", label, i)),
-        ),
-        "",
-    )
+    def joined(whole: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), (F.length(whole) / 18).cast("int")), lambda i: i * 18 < F.length(whole))
+        return F.array_join(
+            F.transform(
+                starts,
+                lambda i: _let(
+                    F.substring(whole, i * 18 + 1, F.lit(18)), lambda d: piece(d, F.concat_ws("/", label, i))
+                ),
+            ),
+            "",
+        )
+
+    return _let(digits, joined)
 
 
 def permute_letters(letters: Column, key: Column, label: Column) -> Column:
@@ -171,34 +176,42 @@ def permute_letters(letters: Column, key: Column, label: Column) -> Column:
             ),
         )
 
-    starts = F.filter(F.sequence(F.lit(0), F.lit(30)), lambda i: i * 10 < F.length(letters))
-    return F.array_join(
-        F.transform(
-            starts,
-            lambda i: piece(F.substring(letters, i * 10 + 1, F.lit(10)), F.concat_ws("/", label, i)),
-        ),
-        "",
-    )
+    def joined(whole: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), (F.length(whole) / 10).cast("int")), lambda i: i * 10 < F.length(whole))
+        return F.array_join(
+            F.transform(
+                starts,
+                lambda i: _let(
+                    F.substring(whole, i * 10 + 1, F.lit(10)), lambda d: piece(d, F.concat_ws("/", label, i))
+                ),
+            ),
+            "",
+        )
+
+    return _let(letters, joined)
 
 
 def _refill(shape: Column, signs: str, values: Column) -> Column:
     """``shape`` with its characters of the class ``signs`` replaced by those of
     ``values`` in turn; letters keep the case they had."""
-    state = F.aggregate(
-        F.split(shape, ""),
-        F.struct(F.lit("").alias("t"), F.lit(0).alias("k")),
-        lambda acc, c: F.when(
-            c.rlike(f"^{signs}$"),
-            _let(
-                F.substring(values, acc["k"] + 1, F.lit(1)),
-                lambda v: F.struct(
-                    F.concat(acc["t"], F.when(c.rlike("^[A-Z]$"), F.upper(v)).otherwise(v)).alias("t"),
-                    (acc["k"] + 1).alias("k"),
+    def fill(given: Column) -> Column:
+        return F.aggregate(
+            F.split(shape, ""),
+            F.struct(F.lit("").alias("t"), F.lit(0).alias("k")),
+            lambda acc, c: F.when(
+                c.rlike(f"^{signs}$"),
+                _let(
+                    F.substring(given, acc["k"] + 1, F.lit(1)),
+                    lambda v: F.struct(
+                        F.concat(acc["t"], F.when(c.rlike("^[A-Z]$"), F.upper(v)).otherwise(v)).alias("t"),
+                        (acc["k"] + 1).alias("k"),
+                    ),
                 ),
-            ),
-        ).otherwise(F.struct(F.concat(acc["t"], c).alias("t"), acc["k"].alias("k"))),
-    )
-    return state["t"]
+            ).otherwise(F.struct(F.concat(acc["t"], c).alias("t"), acc["k"].alias("k"))),
+        )["t"]
+
+    # Bound once: inside the loop it would be worked out for every character.
+    return _let(values, fill)
 
 
 def _digits(value: Column) -> Column:

@@ -209,6 +209,16 @@ def test_permutations_are_bijections(spark):
     assert len({r.l for r in rows[:676]}) == 676
 
 
+def test_long_addresses_keep_their_length(spark):
+    rng = random.Random(4)
+    local = "".join(rng.choice("abcdefghij0123456789") for _ in range(1000))
+    digits = "".join(rng.choice("0123456789") for _ in range(1000))
+    locals_ = [local, local[:-1] + "z", local[:-1] + "y", digits, digits[:-1] + "x"]
+    out = [t for t, _ in hidden(spark, [f"to {x}@host.example now" for x in locals_])]
+    assert [len(t) for t in out] == [1000 + len("to @host.example now")] * 5
+    assert len(set(out)) == 5 and all(x not in t for x, t in zip(locals_, out))
+
+
 def test_pii_leaves_clean_texts_and_plan_native(spark, folder):
     docs = table(spark, folder, "documents")
     got = queries.pii_pseudonyms(spark, folder)
