@@ -24,14 +24,14 @@ META = r"""(?i)<meta[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9._:-]+)"""
 
 
 def detect_charset(body: Column) -> Column:
-    """Byte order mark, else ``<meta charset>`` in the first 1024 bytes, else
+    """Byte order mark, else the first ``<meta charset>`` wherever it is, else
     utf-8 when the bytes are valid, else windows-1252."""
     start = F.hex(F.substring(body, 1, 4))
     name = F.when(F.lit(False), F.lit(""))
     for mark, charset in BYTE_ORDER_MARKS.items():
         name = name.when(start.startswith(mark), charset)
-    head = F.make_valid_utf8(F.substring(body, 1, 1024).cast("string"))
-    meta = F.lower(F.regexp_extract(head, META, 1))
+    page = F.make_valid_utf8(body.cast("string"))
+    meta = F.lower(F.regexp_extract(page, META, 1))
     return (
         name.when(meta != "", meta)
         .when(F.is_valid_utf8(body.cast("string")), "utf-8")

@@ -155,6 +155,21 @@ def test_links_are_joined_once_and_filtered_on_the_value(spark):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_late_declaration_is_found(spark):
+    long = b"<head><script>" + b"x" * 200_000 + b"</script>"
+    rows = [
+        (long + b'<meta charset="iso-8859-5">\xd0', "iso-8859-5", "\u0430"),
+        (b"<!--" + b" " * 1020 + b'--><meta http-equiv="x" content="text/html; charset=shift_jis">'
+         + "日本".encode("shift_jis"), "shift_jis", "日本"),
+        (b" " * 1015 + b'<meta charset="koi8-r">\xc1', "koi8-r", "\u0430"),
+    ]
+    df = spark.createDataFrame([(i, b) for i, (b, _, _) in enumerate(rows)], "i int, body binary")
+    text_of = charset.decode_body(F.col("body"), F.lit(None).cast("string"))
+    got = df.select("i", charset.detect_charset(F.col("body")).alias("name"), text_of.alias("text"))
+    for r, (_, name, end) in zip(got.orderBy("i").collect(), rows):
+        assert r["name"] == name and r["text"].endswith(end)
+
+
 def test_decode_body(spark):
     rows = [
         ("é".encode(), "utf-8", "é"),
