@@ -29,14 +29,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType
 
+from pageloom.llm import minhash
 from pageloom.llm.common import hashed_sample
 
 SAMPLE_ROWS = 6000
 MAX_TERMS = 4096
 NEIGHBOURS = 15
 BLOCK = 64
+COPY = 0.8  # similarity of near copies
 STEMS = (4, 5, 6)
 ODDS = 4.0  # a term must change the odds by this factor at least
 MEMO = 20_000  # vectors whose score a task remembers
@@ -83,23 +85,39 @@ def weights(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.nda
     return ids, w / (np.sqrt((w * w).sum()) or 1.0)
 
 
-def copy_keys(text: str | None) -> list[int]:
-    """Smallest hashes of the three-word runs under four seeds; near copies share some."""
+def runs_of(text: str | None) -> np.ndarray:
+    """The different hashes of the three-word runs, ascending."""
     words = (text or "").lower().split()
     runs = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
-    return [min(xxhash.xxh32_intdigest(r, seed) for r in runs) for seed in range(4)]
+    return np.unique(np.array([xxhash.xxh32_intdigest(r) for r in runs], "<u4"))
 
 
-def without_copies(rows: list[tuple[int, list[int]]]) -> list[int]:
-    """Ids in ascending order, leaving out those that share a key with an earlier one."""
-    seen: list[set[int]] = [set() for _ in range(4)]
+def copy_keys(runs: np.ndarray) -> list[bytes]:
+    """Bands of the runs' MinHash signature: near copies share one, but for a chance below
+    one in a thousand at ``COPY``; others may."""
+    best = np.array([(runs * a + b).min() for a, b in zip(minhash._A, minhash._B)], "<u8")
+    return [band.tobytes() for band in best.reshape(minhash.BANDS, -1)]
+
+
+def without_copies(rows: list[tuple[int, int, list[bytes], np.ndarray]]) -> list[int]:
+    """Ids of rows (id, label, keys, runs) in ascending order, leaving out those whose
+    runs have a Jaccard similarity of ``COPY`` with those of an earlier one of the same
+    label."""
+    seen: dict[tuple, list[np.ndarray]] = {}
     kept = []
-    for doc_id, keys in sorted(rows):
-        if not any(k in s for k, s in zip(keys, seen)):
+    for doc_id, label, keys, runs in sorted(rows, key=lambda r: r[:3]):
+        places = [(label, i, k) for i, k in enumerate(keys)]
+        near = {id(r): r for p in places for r in seen.get(p, [])}
+        if not any(_alike(runs, r) for r in near.values()):
             kept.append(doc_id)
-            for k, s in zip(keys, seen):
-                s.add(k)
-    return kept
+            for p in places:
+                seen.setdefault(p, []).append(runs)
+    return sorted(set(kept))
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= COPY * (len(a) + len(b) - both)
 
 
 class BlockMaxIndex:
@@ -209,9 +227,14 @@ def _frame(seen: dict[str, list[int]]) -> pd.DataFrame:
     )
 
 
-@F.pandas_udf(ArrayType(LongType()))
+@F.pandas_udf(ArrayType(BinaryType()))
 def _keys(texts: pd.Series) -> pd.Series:
-    return texts.map(copy_keys)
+    return texts.map(lambda t: copy_keys(runs_of(t)))
+
+
+@F.pandas_udf(BinaryType())
+def _runs(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: runs_of(t).tobytes())
 
 
 def _vectors(vocabulary: list[str]):
@@ -274,9 +297,18 @@ def fit(
     sample = docs.select("doc_id", "text").join(chosen, "doc_id")
     # One of each group of copies: else a rare word of a much-copied text would seem
     # to have been judged many times. All lists here are bounded by sample_rows.
-    keyed = sample.select("doc_id", _keys(F.col("text")).alias("k")).limit(2 * sample_rows)
-    kept = without_copies([(r["doc_id"], r["k"]) for r in keyed.collect()])
-    ids = docs.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")
+    keyed = sample.select("doc_id", "toxic", _keys(F.col("text")).alias("k")).limit(2 * sample_rows)
+    keyed = [(r["doc_id"], r["toxic"], [bytes(k) for k in r["k"]]) for r in keyed.collect()]
+    # Only rows that share a band with another need their sets.
+    uses = Counter((y, i, k) for _, y, ks in keyed for i, k in enumerate(ks))
+    shared = {d for d, y, ks in keyed if any(uses[y, i, k] > 1 for i, k in enumerate(ks))}
+    kept = {d for d, _, _ in keyed} - shared
+    if shared:
+        ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(shared)], "doc_id long")
+        sets = sample.join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", _runs(F.col("text")).alias("r"))
+        found = [(r["doc_id"], r["toxic"], np.frombuffer(r["r"], "<u4")) for r in sets.collect()]
+        kept |= set(without_copies([(d, y, copy_keys(r), r) for d, y, r in found]))
+    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted(kept)], "doc_id long")
     sample = sample.join(F.broadcast(ids), "doc_id")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)

@@ -273,6 +273,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.97
 
 
+def test_only_verified_copies_are_dropped():
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(80):  # a shared passage and own words: no copies
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+        rows.append((i, i % 2, " ".join(own + passage)))
+    one = rows[5][2].split()
+    rows += [(100, 1, " ".join(one[:-1] + ["changed"])), (101, 0, rows[5][2]), (102, 1, rows[5][2])]
+    keyed = [(d, y, toxicity.copy_keys(r), r) for d, y, t in rows for r in [toxicity.runs_of(t)]]
+    # 101 carries the other label.
+    assert toxicity.without_copies(keyed) == [*range(80), 101]
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(4)
     vectors = []
