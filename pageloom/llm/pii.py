@@ -41,8 +41,7 @@ from pageloom.llm.common import free_name
 KEY = "pageloom-demo-key"
 ROUNDS = 8
 
-# One alternation finds all kinds; longer forms come first. No match starts or ends
-# inside a word or a longer number.
+# No value starts or ends inside a word or a longer number.
 EMAIL = r"[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,24}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}"
@@ -51,15 +50,38 @@ SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}"
 CARD = r"[0-9](?:[ \-]?[0-9]){12,18}"
 EDGE = r"A-Za-z0-9_"
-ANY = (
-    rf"(?<![{EDGE}.@%+\-])(?:{EMAIL})(?![{EDGE}])"
-    rf"|(?<![{EDGE}])(?:{IBAN})(?![{EDGE}])"
-    rf"|(?<![{EDGE}.])(?:{IPV4})(?![{EDGE}]|\.[0-9])"
-    rf"|(?<![{EDGE}/.\-])(?:{DATE})(?![{EDGE}]|[/.\-][0-9])"
-    rf"|(?<![{EDGE}\-])(?:{SSN})(?![{EDGE}]|-[0-9])"
-    rf"|(?<![{EDGE}+])(?:{PHONE})(?![{EDGE}]|[.\-][0-9])"
-    rf"|(?<![{EDGE}])(?:{CARD})(?![{EDGE}]|[.\-][0-9])"
+# Lengths of the countries' IBANs without blanks; others are tried as they stand.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+IBAN_FIXED = "|".join(
+    rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_SIZES.items()
 )
+EMAILS = rf"(?<![{EDGE}.@%+\-])(?:{EMAIL})(?![{EDGE}])"
+# Places where a value other than an address may start. Readings of one place are tried
+# in turn, so what stands beside a value can't hide it.
+START = (
+    rf"(?<![{EDGE}])(?=[+(][0-9]|[A-Z]{{2}}[0-9]{{2}}|[0-9]{{1,3}}\.[0-9]|[0-9]{{3}}-|[0-9]{{2}}[/.]|[0-9]{{4}}[/-]"
+    rf"|{CARD.split(',')[0]}}})"
+)
+CARD_LIKE = r"[0-9]{13,19}|[0-9]{4}(?:([ \-])[0-9]{4})(?:\1[0-9]{4}){2}|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{5}"
+_CARD_END = rf"(?![{EDGE}]|\.[0-9])"
+# (pattern with the sign before, its end): the first reading that is valid counts.
+READINGS = [
+    rf"^[^{EDGE}]({IBAN_FIXED})(?![{EDGE}])",
+    rf"^[^{EDGE}]({IBAN})(?![{EDGE}])",
+    rf"^[^{EDGE}.]({IPV4})(?![{EDGE}]|\.[0-9])",
+    rf"^[^{EDGE}/.\-]({DATE})(?![{EDGE}]|[/.\-][0-9])",
+    rf"^[^{EDGE}\-]({SSN})(?![{EDGE}]|-[0-9])",
+    *[rf"^[^{EDGE}+]({p})(?![{EDGE}]|[.\-][0-9])" for p in (PHONE, PHONE.replace("{2,4}|", "{3}|"), PHONE.replace("{2,4}|", "{2}|"))],
+    rf"^[^{EDGE}]({CARD_LIKE}){_CARD_END}",
+    *[rf"^[^{EDGE}]([0-9](?:[ \-]?[0-9]){{{n - 1}}}){_CARD_END}" for n in range(19, 12, -1)],
+]
+WINDOW = 80  # signs that hold any reading and its end; an IBAN has up to 67
 
 
 def _hash(key: Column, *parts: Column) -> Column:
@@ -258,7 +280,7 @@ def _date(value: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a match of ``ANY``, or null if it is not a valid value."""
+    """The kind of a reading, or null if it is not a valid value."""
     compact = F.regexp_replace(value, "[ ]", "")
     card = _digits(value)
     return (
@@ -408,11 +430,109 @@ def pseudonym(value: Column, kind: Column, key: Column) -> Column:
     )
 
 
+def _readings(text: Column) -> Column:
+    """Valid values of a text without addresses, in order of place, overlaps included:
+    structs (at, stop, value, kind, weak)."""
+    places = F.split(text, START, -1)
+
+    def first(pieces: Column) -> Column:
+        ends = F.aggregate(
+            pieces,
+            F.array(F.lit(0)),
+            lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))),
+        )
+        return _let(ends, lambda at: F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.get(at, i)))
+
+    def read(at: Column) -> Column:
+        # One sign before the place, a blank at the beginning.
+        part = F.when(at > 0, F.substring(text, at, F.lit(WINDOW + 1))).otherwise(
+            F.concat(F.lit(" "), F.substring(text, F.lit(1), F.lit(WINDOW)))
+        )
+        return _let(
+            part,
+            lambda w: F.get(
+                F.filter(
+                    F.transform(
+                        F.filter(
+                            F.array(*[F.regexp_extract(w, p, 1) for p in READINGS]), lambda v: v != ""
+                        ),
+                        lambda v: F.struct(
+                            at.alias("at"), (at + F.length(v)).alias("stop"), v.alias("value"), kind_of(v).alias("kind")
+                        ),
+                    ),
+                    lambda r: r["kind"].isNotNull(),
+                ),
+                F.lit(0),
+            ),
+        )
+
+    return F.filter(F.transform(_let(places, first), read), lambda r: r.isNotNull())
+
+
+def _chosen(readings: Column) -> Column:
+    """Readings without overlaps, from the left; a card in unusual groups, which may be
+    one by chance, gives way to any other value."""
+
+    def weak(r: Column) -> Column:
+        return (r["kind"] == "card") & ~r["value"].rlike(f"^(?:{CARD_LIKE})$")
+
+    def walk(every: Column) -> Column:
+        good = F.filter(
+            every,
+            lambda r: ~weak(r)
+            | ~F.exists(every, lambda o: ~weak(o) & (o["at"] < r["stop"]) & (r["at"] < o["stop"])),
+        )
+        kind = "array<struct<at: int, stop: int, value: string, kind: string>>"
+        return F.aggregate(
+            good,
+            F.array().cast(kind),
+            lambda acc, r: F.when(
+                (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0)) > r["at"]), acc
+            ).otherwise(F.concat(acc, F.array(r))),
+        )
+
+    return _let(readings, walk)
+
+
+def _cut(text: Column) -> Column:
+    """The text as structs (between, value, kind): each value with what precedes it, and
+    the rest with an empty value."""
+
+    def parts(values: Column) -> Column:
+        n = F.size(values)
+        return F.transform(
+            F.sequence(F.lit(0), n),
+            lambda i: _let(
+                F.coalesce(F.when(i > 0, F.get(values, i - 1)["stop"]), F.lit(0)),
+                lambda start: F.struct(
+                    F.substring(
+                        text, start + 1, F.coalesce(F.get(values, i)["at"], F.length(text)) - start
+                    ).alias("between"),
+                    F.coalesce(F.get(values, i)["value"], F.lit("")).alias("value"),
+                    F.get(values, i)["kind"].alias("kind"),
+                ),
+            ),
+        )
+
+    return _let(_chosen(_readings(text)), parts)
+
+
 def found(text: Column) -> Column:
-    """Values in the text in order: structs (value, kind), kind null if not valid."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(ANY), F.lit(0)),
-        lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")),
+    """The text in order as structs (between, value, kind); kind is null where there is
+    no value."""
+    return F.flatten(
+        F.transform(
+            F.arrays_zip(
+                F.split(text, EMAILS, -1).alias("b"), F.regexp_extract_all(text, F.lit(EMAILS), F.lit(0)).alias("v")
+            ),
+            lambda p: F.concat(
+                _let(p["b"], _cut),
+                F.when(
+                    p["v"].isNotNull(),
+                    F.array(F.struct(F.lit("").alias("between"), p["v"].alias("value"), F.lit("email").alias("kind"))),
+                ).otherwise(F.array().cast("array<struct<between: string, value: string, kind: string>>")),
+            ),
+        )
     )
 
 
@@ -425,23 +545,18 @@ def pseudonymise(
     found_name = free_name(docs, found_name)
     secret = F.lit(key)
     parts, hits = free_name(docs, "pii_parts"), free_name(docs, "pii_hits")
-    # Texts without a digit or @ need no search; most have none.
-    likely = F.col(text).rlike("[0-9@]")
+    # Texts without a possible start need no search; most have none.
+    likely = F.col(text).rlike(f"@|{START}")
     marked = docs.withColumn(hits, F.when(likely, found(F.col(text))))
     some = F.exists(hits, lambda h: h["kind"].isNotNull())
     marked = marked.withColumn(
         parts,
         F.when(
             some,
-            F.arrays_zip(
-                F.split(F.col(text), ANY, -1).alias("between"),
-                F.transform(hits, lambda h: pseudonym(h["value"], h["kind"], secret)).alias("now"),
-            ),
+            F.transform(hits, lambda h: F.concat(h["between"], pseudonym(h["value"], h["kind"], secret))),
         ),
     )
-    joined = F.array_join(
-        F.transform(parts, lambda p: F.concat(p["between"], F.coalesce(p["now"], F.lit("")))), ""
-    )
+    joined = F.array_join(parts, "")
     kinds = F.when(
         some, F.transform(F.filter(hits, lambda h: h["kind"].isNotNull()), lambda h: h["kind"])
     ).otherwise(F.array().cast("array<string>"))

@@ -209,6 +209,25 @@ def test_permutations_are_bijections(spark):
     assert len({r.l for r in rows[:676]}) == 676
 
 
+def test_neighbours_do_not_hide_values(spark):
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    texts = [
+        card, card.replace(" ", ""), iban, f"{card} 12/25", f"{card.replace(' ', '')} 123", f"order 7 {card}",
+        f"{iban} BIC COBADEFF", f"{iban.replace(' ', '')} EUR 500", f"1234 5678 {card}", f"{iban} {card} 123",
+        f"{card} 2024-01-01 a.b@c.example", f"{iban} {iban}",
+    ]
+    out = hidden(spark, texts)
+    new, bare, other = out[0][0], out[1][0], out[2][0]
+    assert new != card and other != iban and new.replace(" ", "") == bare
+    assert [t for t, _ in out[3:9]] == [
+        f"{new} 12/25", f"{bare} 123", f"order 7 {new}", f"{other} BIC COBADEFF",
+        other.replace(" ", "") + " EUR 500", f"1234 5678 {new}",
+    ]
+    assert out[9] == (f"{other} {new} 123", ["iban", "card"])
+    assert out[10][0].startswith(new + " ") and out[10][1] == ["card", "date", "email"]
+    assert out[11] == (f"{other} {other}", ["iban", "iban"])
+
+
 def test_long_addresses_keep_their_length(spark):
     rng = random.Random(4)
     local = "".join(rng.choice("abcdefghij0123456789") for _ in range(1000))
