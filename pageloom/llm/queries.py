@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from pageloom.llm import (
     langid,
+    merkle,
     minhash,
     mixing,
+    negatives,
     packing,
     pii,
     quality,
@@ -103,6 +105,30 @@ def minhash_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.lower(F.hex(c)) for c in text})
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("_leaf", merkle.leaf(*map(F.col, merkle.FIELDS)))
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    fields = {c: F.col(c) for c in merkle.FIELDS} | {"text": F.translate("text", "\n", "")}
+    # Tampering changes nothing where the text holds no line feed.
+    tampered = F.when(hit & F.contains(F.col("text"), F.lit("\n")), merkle.leaf(*fields.values())).otherwise(F.col("_leaf"))
+    found = merkle.manifest(docs, changed=tampered)
+    folded = merkle.fold(F.col("changed"), F.col("proof"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.path_digest(F.col("proof")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packed_sequences,
     "op2_quality": quality_scores,
@@ -114,6 +140,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": nearest_vectors,
     "op9_mixing": mixed_sources,
     "op10_minhash": minhash_probe,
+    "op11_negatives": hard_negatives,
+    "op12_merkle": merkle_manifest,
 }
 
 # Mean repetition per source; cumulative Poisson probabilities for counts 0 to 80 as a
@@ -184,8 +212,98 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+    CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score, CAST(row_number() OVER (
+      PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INT) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike
+    AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+# The CRC-32 is worked out bit by bit over the digits of doc_id.
+MERKLE_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS id, doc_id, source, lang, n_chars, text,
+    xor(list_reduce(
+      list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+      lambda c, b: list_reduce(range(8), lambda r, k: xor(r >> 1, (r & 1) * 3988292384), xor(c, b)),
+      CAST(4294967295 AS BIGINT)), 4294967295) % 2 = 0 AS hit
+  FROM documents
+), hashed AS (
+  SELECT id, doc_id, source,
+    sha256(concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'),
+      coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+    sha256(concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-'),
+      coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))) AS changed, hit
+  FROM docs
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed
+), tree AS (
+  SELECT source, 0 AS lvl, pos, leaf AS digest, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3
+  FROM tree WHERE n > 1 GROUP BY source, lvl, pos // 3
+), subs AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, pos, subroot AS digest, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 2) // 3
+  FROM top WHERE n > 1 GROUP BY lvl, pos // 3
+), own AS (
+  SELECT l.id, t.lvl AS step, t.pos // 3 AS run, t.pos, t.source, 0 AS part
+  FROM leaves l JOIN tree t ON t.source IS NOT DISTINCT FROM l.source AND t.n > 1
+    AND t.pos = l.pos // CAST(pow(3, t.lvl) AS BIGINT)
+  UNION ALL
+  SELECT l.id, 100 + t.lvl, t.pos // 3, t.pos, NULL, 1
+  FROM leaves l JOIN subs s ON s.source IS NOT DISTINCT FROM l.source
+    JOIN top t ON t.n > 1 AND t.pos = s.pos // CAST(pow(3, t.lvl) AS BIGINT)
+), nodes AS (
+  SELECT lvl AS step, pos // 3 AS run, pos, source, 0 AS part, digest FROM tree
+  UNION ALL SELECT 100 + lvl, pos // 3, pos, NULL, 1, digest FROM top
+), steps AS (
+  SELECT o.id, o.step, row_number() OVER (PARTITION BY o.id ORDER BY o.step) AS k,
+    coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos < o.pos), '') AS prev,
+    coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (s.pos > o.pos), '') AS next
+  FROM own o JOIN nodes s ON s.part = o.part AND s.step = o.step AND s.run = o.run AND s.source IS NOT DISTINCT FROM o.source
+  GROUP BY o.id, o.step
+), folded AS (
+  SELECT id, CAST(0 AS BIGINT) AS k, CASE WHEN hit THEN changed ELSE leaf END AS digest FROM leaves
+  UNION ALL
+  SELECT f.id, s.k, sha256(s.prev || f.digest || s.next) FROM folded f JOIN steps s ON s.id = f.id AND s.k = f.k + 1
+), ends AS (
+  SELECT id, arg_max(digest, k) AS folded_root FROM folded GROUP BY id
+), proofs AS (
+  SELECT id, sha256(string_agg(prev || next, '' ORDER BY k)) AS proof FROM steps GROUP BY id
+)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+  e.folded_root, e.folded_root = r.digest AS verified
+FROM leaves l JOIN subs s ON s.source IS NOT DISTINCT FROM l.source
+  JOIN (SELECT digest FROM top WHERE n = 1) r ON true
+  JOIN ends e ON e.id = l.id LEFT JOIN proofs p ON p.id = l.id
+"""
+
 ORACLES: dict[str, str] = {
     "op3_warc": WARC_SQL,
     "op8_topk": TOPK_SQL,
     "op9_mixing": MIXING_SQL,
+    "op11_negatives": NEGATIVES_SQL,
+    "op12_merkle": MERKLE_SQL,
 }

@@ -53,7 +53,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     )
 
 
-def _matrix(lists: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+def matrix(lists: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of numbers, shorter ones filled up with zeros."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
@@ -92,7 +92,7 @@ class Pivots:
         return np.sqrt(np.maximum(d, 0))
 
 
-def _products(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
+def products(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
     """Exact inner products."""
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0))
     if top * queries.shape[1] < 2**52:  # every sum is exact in doubles
@@ -120,12 +120,12 @@ def top_k(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = hashed_sample(base, "vec_id", SAMPLE_ROWS).toArrow()
     n_pivots = pivots or int(np.clip(np.sqrt(total) / 4, 4, MAX_PIVOTS))
-    centres = Pivots(_matrix(sample["v"], width), square, n_pivots)
+    centres = Pivots(matrix(sample["v"], width), square, n_pivots)
 
     @F.arrow_udf("struct<pivot: int, distance: double>")
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            d = centres.distances(centres.lift(_matrix(lists, width).astype(float)))
+            d = centres.distances(centres.lift(matrix(lists, width).astype(float)))
             near = d.argmin(axis=1)
             yield pa.StructArray.from_arrays(
                 [pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near])],
@@ -230,7 +230,7 @@ def _visits(
 
     @F.arrow_udf("array<long>")
     def chosen(lists: pa.Array, worst: pa.Array) -> pa.Array:
-        v = _matrix(lists, width).astype(float)
+        v = matrix(lists, width).astype(float)
         own = (v * v).sum(axis=1)
         d = centres.distances(np.hstack([v, np.zeros((len(v), 1))]))[:, pivot]
         near = np.maximum(np.maximum(lo - d, d - hi), 0)
@@ -267,7 +267,7 @@ def _compare(width: int, k: int):
         # By rising id, so that a stable sort breaks ties as wanted.
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        score = _products(_matrix(left["q"], width), _matrix(right["v"], width)[order])
+        score = products(matrix(left["q"], width), matrix(right["v"], width)[order])
         out_q, out_v, out_s = [], [], []
         for q, row in zip(asked, score):
             other = np.flatnonzero(ids != q)
