@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import (
+    jaccard,
     langid,
     merkle,
     minhash,
@@ -129,6 +130,10 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packed_sequences,
     "op2_quality": quality_scores,
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": minhash_probe,
     "op11_negatives": hard_negatives,
     "op12_merkle": merkle_manifest,
+    "op13_jaccard": ngram_components,
 }
 
 # Mean repetition per source; cumulative Poisson probabilities for counts 0 to 80 as a

@@ -3,13 +3,14 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.llm import merkle, negatives, queries
+from pageloom.llm import jaccard, merkle, negatives, queries
 from pageloom.llm.common import table
 
 # ----------------------------------------------------------- hard negatives
@@ -181,3 +182,145 @@ def test_manifest_spreads_a_hot_group(spark):
     dealt = rows.withColumn("s", F.monotonically_increasing_id()).repartitionByRange("grp", "k", "s")
     sizes = [n for n in dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert max(sizes) <= 1.5 * 4000 / len(sizes)
+
+
+# -------------------------------------------------------------- n-gram join
+
+
+def plain_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if len(words) < 5:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def plain_join(rows, percent=80):
+    """Sorted (doc_id, size, smallest doc_id reached) of (doc_id, text) rows."""
+    sets = [plain_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                parent[root(i)] = root(j)
+    low = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[root(i)].append(d)
+    out = [(d, len(sets[i]), min(low[root(i)], default=None)) for i, (d, _) in enumerate(rows)]
+    return sorted(out, key=repr)
+
+
+def joined(df, **kwargs):
+    return sorted((tuple(r) for r in jaccard.cluster(df, **kwargs).collect()), key=repr)
+
+
+def edited_texts(rng, n, lengths, vocabulary):
+    """Texts and edits of them at all similarities around the threshold."""
+    rows = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(vocabulary)}" for _ in range(rng.choice(lengths))]
+        rows.append(words)
+        for _ in range(rng.randrange(4)):
+            other = list(words)
+            for _ in range(rng.randrange(1 + max(1, len(words) // 15))):
+                at = rng.randrange(len(other))
+                other[at : at + rng.randrange(2)] = [f"v{rng.randrange(vocabulary)}"] * rng.randrange(3)
+                other = other or ["w0"]
+            rows.append(other)
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("limit", [None, 0, 12])
+def test_join_of_small_and_large_sets(spark, monkeypatch, limit):
+    if limit is not None:
+        monkeypatch.setattr(jaccard, "boundary", lambda histogram, percent: limit)
+    rng = random.Random(8)
+    rows = edited_texts(rng, 60, range(1, 24), 30) + [(1000 + i, t) for i, t in edited_texts(rng, 40, (40, 150, 400), 5000)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows += [(3000 + i, f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([10, 40, 200])))) for i in range(60)]
+    rows += [(3, "Extra Row of its own, same ID"), (3, rows[0][1]), (None, rows[5][1]), (None, "nobody else has this text at all")]
+    rows += [(4000, None), (4001, ""), (4002, " \t\n"), (4003, "ÄÖ"), (4004, "äö"), (4005, "A b"), (4006, "a\x0bB ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.withColumn("c", F.lit("x")).withColumn("n", F.lit(1)).withColumn("key", F.lit(2)).repartition(5)
+    want = plain_join(rows)
+    assert len({r[2] for r in want}) < 0.8 * len(want)
+    assert joined(df) == want
+
+
+def test_join_of_hot_groups(spark, monkeypatch):
+    """Very many copies, near copies of one text, chains and texts of common passages, with
+    lists that are split and batches that cut through them."""
+    for name, value in (("LIST_ROWS", 32), ("COUNT_ROWS", 2000), ("REMEMBERED", 16), ("FREQUENT", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    texts = [" ".join(words)] * 150
+    for _ in range(150):
+        other = list(words)
+        for at in rng.sample(range(160), rng.choice([1, 2, 3, 4, 6])):
+            other[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(other))
+    texts += [" ".join(words[k:] + [f"x{i}" for i in range(k)]) for k in range(0, 120, 7)]
+    passages = [[f"p{k}-{i}" for i in range(30)] for k in range(6)]
+    for _ in range(60):
+        texts.append(" ".join(w for p in rng.sample(passages, 4) for w in p))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == plain_join(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_join_of_nothing_and_of_a_long_text(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert joined(df) == []
+    assert joined(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")) == [(1, 0, 1), (2, 0, 2)]
+    words = [f"w{i % 90001}" for i in range(260_000)]
+    longer = words + ["end"] * 20_000
+    rows = [(1, " ".join(words)), (2, " ".join(longer)), (3, "w" * 3_000_000), (4, "W" * 3_000_000), (5, "other")]
+    want = plain_join(rows)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_subsets_of_all_linking_sizes_meet():
+    """Whatever two small sets of linking overlap are, they share a subset under one key."""
+    for s in range(1, 16):
+        for t in range(s, 20):
+            if 100 * s < 80 * t:
+                continue
+            need = next(k for k in range(s + 1) if 100 * k >= 80 * (s + t - k))
+            assert jaccard.overlap(s, t) == need
+            assert (s, t, need) in jaccard._partners(s, 80) and (s, t, need) in jaccard._partners(t, 80)
+    assert jaccard.boundary({}) == 0
+    assert 3 <= jaccard.boundary({n: 1000 for n in range(1, 48)}) <= 12
+
+
+def test_shared_keys_are_found_in_order(spark):
+    rng = random.Random(4)
+    rows = []
+    for key in range(300):
+        for _ in range(rng.choice([1, 1, 1, 2, 5])):
+            c = bytes([rng.randrange(3)] * 16)
+            rows += [(key, 0, key % 2, c, 9, 0)] * rng.choice([1, 1, 3])
+    rows += [(999, 1, 0, b"z" * 16, 9, 0)]  # part of a split list
+    classes = defaultdict(set)
+    for key, _, kind, c, *_ in rows:
+        classes[key, kind].add(c)
+    want = sorted((k, s, c) for (k, s), cs in classes.items() for c in cs if len(cs) > 1 or k == 999)
+    df = spark.createDataFrame(rows, jaccard._KEYS)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "2", "5", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert sorted((r["key"], r.smaller, bytes(r.c)) for r in jaccard._shared(df).collect()) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
