@@ -61,8 +61,12 @@ FREQUENT = 16
 MAX_FREQUENT = 1 << 21
 # Shingles counted in one task, about.
 COUNT_ROWS = 1 << 22
+# Keys worked through at once, about.
+KEY_ROWS = 1 << 20
 # Rows of one shingle that one task takes; lists beyond that are dealt out.
 LIST_ROWS = 1 << 16
+# Documents whose sets a task holds at once.
+STEP_DOCS = 256
 # Digests a task remembers to put equal sets out once.
 REMEMBERED = 1 << 17
 # Bits that mark classes to compare; more classes than bits only cost work.
@@ -100,6 +104,15 @@ def shingle_sets(texts: list[str | None], hasher: Hasher) -> list[np.ndarray]:
     return out
 
 
+def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Short runs of rows with the sets of their ``text``."""
+    hasher = Hasher()
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP_DOCS):
+            step = batch.slice(at, STEP_DOCS)
+            yield step, shingle_sets(step["text"].to_pylist(), hasher)
+
+
 def _name(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
@@ -124,11 +137,9 @@ def with_sets(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            sets = shingle_sets(batch["text"].to_pylist(), hasher)
+        for step, sets in _stepped(batches):
             sizes, names = pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_name, sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], sizes, names], schema=schema)
+            yield pa.RecordBatch.from_arrays([step["doc_id"], sizes, names], schema=schema)
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(run, "doc_id long, n long, c binary")
@@ -190,7 +201,6 @@ def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     schema = pa.schema([("range", pa.int32()), ("packed", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         held: list[np.ndarray] = []
         size = 0
 
@@ -212,13 +222,12 @@ def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
                 schema=schema,
             )
 
-        for batch in batches:
-            for found in shingle_sets(batch["text"].to_pylist(), hasher):
-                held.append(found >> shift)
-                size += len(found)
-                if size >= COUNT_ROWS:
-                    yield from flush()
-                    held, size = [], 0
+        for _, sets in _stepped(batches):
+            held += [found >> shift for found in sets]
+            size += sum(map(len, sets))
+            if size >= COUNT_ROWS:
+                yield from flush()
+                held, size = [], 0
         if size:
             yield from flush()
 
@@ -280,110 +289,104 @@ class _Order:
 
 # --------------------------------------------------------------------- keys
 
-_KEYS = "key long, deal int, smaller int, c binary, n long, pos int"
-
-
-def _keys(docs: DataFrame, limit: int, order: _Order, percent: int) -> DataFrame:
-    """Keys of all classes: subsets (``smaller`` is the smaller size) and listed shingles
-    (``smaller`` 0, ``pos`` the place in the order). ``deal`` splits very long lists."""
-    schema = pa.schema(
-        [("key", pa.int64()), ("deal", pa.int32()), ("smaller", pa.int32()), ("c", pa.binary()), ("n", pa.int64()), ("pos", pa.int32())]
-    )
+# A key of a class: a listed shingle, with its place in the order, or a subset, with the
+# smaller of its two sizes.
+_RECORD = np.dtype(
+    [("key", "<u8"), ("c", "<u8", 2), ("n", "<u4"), ("pos", "<u4"), ("smaller", "u1"), ("split", "?")]
+)
+
+
+def _subsets(found: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    for s, t, o in _partners(len(found), percent):
+        for chosen in combinations(found.tolist(), o):
+            yield xxhash.xxh3_64_intdigest(np.array([s, t, *chosen], np.uint64).tobytes()), s
+
+
+def _records(found: np.ndarray, limit: int, order: _Order, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one set, and for each the part of its list, 0 unless that is very long."""
+    n, name = len(found), _name(found)
+    subsets = list(_subsets(found, percent)) if n <= limit else []
+    first = found[:0]
+    if n >= least_partner(limit + 1, percent):
+        often = order.frequency(found)
+        # Ranks are logarithms; equal ones keep the order of the hashes.
+        first = np.argsort(np.frexp(often.astype(float))[1], kind="stable")
+        first = first[: n - least_partner(n, percent) + 1]
+    out = np.zeros(len(subsets) + len(first), _RECORD)
+    part = np.zeros(len(out), np.int64)
+    out["c"], out["n"] = np.frombuffer(name, "<u8"), n
+    if subsets:
+        out["key"][: len(subsets)], out["smaller"][: len(subsets)] = zip(*subsets)
+    if len(first):
+        out["key"][len(subsets) :] = found[first]
+        out["pos"][len(subsets) :] = np.arange(len(first))
+        parts = often[first] // LIST_ROWS
+        part[len(subsets) :] = int.from_bytes(name[8:12], "little") % (1 + parts)
+        out["split"][len(subsets) :] = parts > 0
+    return out, part
+
+
+def _shared_records(found: np.ndarray) -> np.ndarray:
+    """Each record once, without those whose key one class alone has. Parts of a split list
+    all stay."""
+    found = found[np.argsort(found["key"], kind="stable")]
+    several = np.zeros(len(found), bool)
+    same = found["key"][1:] == found["key"][:-1]
+    several[1:] |= same
+    several[:-1] |= same
+    found = found[several | found["split"]]
+    found = found[np.lexsort((found["c"][:, 1], found["c"][:, 0], found["key"]))]
+    repeat = np.zeros(len(found), bool)
+    repeat[1:] = (found["key"][1:] == found["key"][:-1]) & (found["c"][1:] == found["c"][:-1]).all(axis=1)
+    found = found[~repeat]
+    _, run_of, sizes = np.unique(found["key"], return_inverse=True, return_counts=True)
+    return found[(sizes[run_of] > 1) | found["split"]]
+
+
+def _shared(docs: DataFrame, limit: int, order: _Order, total: int, percent: int) -> DataFrame:
+    """(key, smaller, c, n, pos) of all keys that several classes have. ``smaller`` is 0 for
+    listed shingles. ``total`` is about the number of keys of all documents."""
+    ranges = max(1, -(-total // KEY_ROWS))
     shared = docs.sparkSession.sparkContext.broadcast((order.values, order.counts))
-
-    def subsets(found: np.ndarray) -> Iterator[tuple[int, int]]:
-        for s, t, o in _partners(len(found), percent):
-            for chosen in combinations(found.tolist(), o):
-                packed = np.array([s, t, *chosen], np.uint64).tobytes()
-                yield xxhash.xxh3_64_intdigest(packed), s
+    schema = pa.schema([("range", pa.int64()), ("records", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, ranks, new = Hasher(), _Order(*shared.value), _Once()
-        for batch in batches:
-            keys, deals, smaller, names, sizes, places = [], [], [], [], [], []
-
-            def put(key, deal, size, name, n, pos):
-                keys.append(key)
-                deals.append(deal)
-                smaller.append(size)
-                places.append(pos)
-                names.append(name)
-                sizes.append(n)
-
-            for found in shingle_sets(batch["text"].to_pylist(), hasher):
-                n = len(found)
-                name = _name(found)
-                if not n or not new(name):
-                    continue
-                if n <= limit:
-                    both = list(subsets(found))
-                    key = np.array([k for k, _ in both], np.uint64).view(np.int64)
-                    size = np.array([s for _, s in both], np.int32)
-                    put(key, np.zeros(len(key), np.int32), size, name, n, np.zeros(len(key), np.int32))
-                if n >= least_partner(limit + 1, percent):
-                    often = ranks.frequency(found)
-                    # Ranks are logarithms; equal ones keep the order of the hashes.
-                    rank = np.frexp(often.astype(float))[1]
-                    first = np.argsort(rank, kind="stable")[: n - least_partner(n, percent) + 1]
-                    deal = 1 + int.from_bytes(name[:4], "little") % (1 + often[first] // LIST_ROWS)
-                    deal[often[first] < LIST_ROWS] = 0
-                    zero = np.zeros(len(first), np.int32)
-                    put(found[first].view(np.int64), deal.astype(np.int32), zero, name, n, np.arange(len(first), dtype=np.int32))
-            if keys:
-                rows = [len(k) for k in keys]
-                digests = np.repeat(np.frombuffer(b"".join(names), "V16"), rows).tobytes()
-                c = pa.Array.from_buffers(pa.binary(16), sum(rows), [None, pa.py_buffer(digests)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(deals)), pa.array(np.concatenate(smaller)),
-                     c.cast(pa.binary()), pa.array(np.repeat(sizes, rows)), pa.array(np.concatenate(places))],
-                    schema=schema,
-                )
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, _KEYS)
-
-
-def _digests(names: pa.Array) -> np.ndarray:
-    """Digests of 16 bytes as two numbers each."""
-    first = names.offset
-    _, offsets, data = names.buffers()
-    start = int(np.frombuffer(offsets, np.int32)[first]) if len(names) else 0
-    return np.frombuffer(data, "<u8", 2 * len(names), start).reshape(-1, 2)
-
-
-def _shared(keys: DataFrame) -> DataFrame:
-    """The keys without repeats and without those that one class alone has. Rows come in
-    order of keys; only the last row is held. Parts of a split list all stay."""
+        ranks, new = _Order(*shared.value), _Once()
+        held, parts, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            every, part = np.concatenate(held), np.concatenate(parts)
+            to = ((every["key"] >> np.uint64(16)).astype(np.int64) + part) % ranges
+            by = np.argsort(to, kind="stable")
+            used, begin = np.unique(to[by], return_index=True)
+            packed = [r.tobytes() for r in np.split(every[by], begin[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed, pa.binary())], schema=schema)
+
+        for _, sets in _stepped(batches):
+            for found in sets:
+                if len(found) and new(_name(found)):
+                    records, part = _records(found, limit, ranks, percent)
+                    held.append(records)
+                    parts.append(part)
+                    size += len(records)
+            if size >= KEY_ROWS:
+                yield flush()
+                held, parts, size = [], [], 0
+        if size:
+            yield flush()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, undecided
-        taken = False  # whether it belongs to a list that is put out
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            key, deal, kind = (batch[c].to_numpy() for c in ("key", "deal", "smaller"))
-            name = _digests(batch["c"])
-            alike = (key[1:] == key[:-1]) & (deal[1:] == deal[:-1]) & (kind[1:] == kind[:-1])
-            repeat = np.concatenate([[False], alike & (name[1:] == name[:-1]).all(axis=1)])
-            begin = np.concatenate([[True], ~alike])
-            run_of = np.cumsum(begin) - 1
-            different = np.bincount(run_of[~repeat], minlength=run_of[-1] + 1) > 1
-            keep = (different[run_of] | (deal > 0)) & ~repeat
-            if held is not None:
-                first = run_of == 0
-                if taken:  # the row was put out before, others of its list follow
-                    keep |= first & ~repeat
-                    keep[0] = False
-            last = len(key) - 1
-            # The last row waits for what follows, unless it is out already.
-            rest = last - int(np.argmax(~repeat[::-1])) if repeat[last] else last
-            out = bool(keep[rest]) or (taken and held is not None and rest == 0)
-            yield batch.filter(pa.array(keep))
-            held, taken = batch.slice(rest, 1), out
-
-    dealt = keys.repartition("key", "deal", "smaller").sortWithinPartitions("key", "deal", "smaller", "c")
-    return dealt.mapInArrow(run, _KEYS)
+    def keep(table: pa.Table) -> pa.Table:
+        found = _shared_records(np.frombuffer(b"".join(table["records"].to_pylist()), _RECORD))
+        names = pa.Array.from_buffers(
+            pa.binary(16), len(found), [None, pa.py_buffer(np.ascontiguousarray(found["c"]).tobytes())]
+        )
+        return pa.table({
+            "key": found["key"].view(np.int64), "smaller": found["smaller"].astype(np.int32),
+            "c": names.cast(pa.binary()), "n": found["n"].astype(np.int64), "pos": found["pos"].astype(np.int32),
+        })
+
+    packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "range long, records binary")
+    return packed.groupBy("range").applyInArrow(keep, "key long, smaller int, c binary, n long, pos int")
 
 
 # --------------------------------------------------------------- comparisons
@@ -417,10 +420,10 @@ def _members(docs: DataFrame, names: DataFrame) -> DataFrame:
     schema = pa.schema([("c", pa.binary()), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, new, marked = Hasher(), _Once(), bits.value
-        for batch in batches:
+        new, marked = _Once(), bits.value
+        for _, sets in _stepped(batches):
             kept = []
-            for found in shingle_sets(batch["text"].to_pylist(), hasher):
+            for found in sets:
                 name = _name(found)
                 at = int.from_bytes(name[:4], "big") % MARKS
                 if len(found) and marked[at >> 3] >> (at & 7) & 1 and new(name):
@@ -551,7 +554,8 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     limit = boundary({r["n"]: r["count"] for r in sizes}, percent)
     total = classes.agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0
     order = _Order(*_frequent(docs, total))
-    shared = materialize(_shared(_keys(docs, limit, order, percent)), "shared")
+    listed = classes.agg(F.sum(_listed(F.col("n"), percent) * F.col("rows"))).first()[0] or 0
+    shared = materialize(_shared(docs, limit, order, listed, percent), "shared")
     near = materialize(_to_leaders(shared, percent), "candidates")
     edges = _linked(docs, near, percent)
     merged = materialize(components(edges), "merged")

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,7 +259,7 @@ def test_join_of_small_and_large_sets(spark, monkeypatch, limit):
 def test_join_of_hot_groups(spark, monkeypatch):
     """Very many copies, near copies of one text, chains and texts of common passages, with
     lists that are split and batches that cut through them."""
-    for name, value in (("LIST_ROWS", 32), ("COUNT_ROWS", 2000), ("REMEMBERED", 16), ("FREQUENT", 4)):
+    for name, value in (("LIST_ROWS", 32), ("KEY_ROWS", 300), ("STEP_DOCS", 5), ("COUNT_ROWS", 2000), ("REMEMBERED", 16), ("FREQUENT", 4)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
     words = [f"w{rng.randrange(10**6)}" for _ in range(160)]
@@ -306,21 +307,19 @@ def test_subsets_of_all_linking_sizes_meet():
     assert 3 <= jaccard.boundary({n: 1000 for n in range(1, 48)}) <= 12
 
 
-def test_shared_keys_are_found_in_order(spark):
+def test_shared_records():
     rng = random.Random(4)
     rows = []
     for key in range(300):
         for _ in range(rng.choice([1, 1, 1, 2, 5])):
-            c = bytes([rng.randrange(3)] * 16)
-            rows += [(key, 0, key % 2, c, 9, 0)] * rng.choice([1, 1, 3])
-    rows += [(999, 1, 0, b"z" * 16, 9, 0)]  # part of a split list
+            name = rng.randrange(3)
+            rows += [(key, (name, name % 2), 9, 0, key % 2, False)] * rng.choice([1, 1, 3])
+    rows += [(999, (7, 7), 9, 0, 0, True)] * 2  # part of a split list
+    rng.shuffle(rows)
     classes = defaultdict(set)
-    for key, _, kind, c, *_ in rows:
-        classes[key, kind].add(c)
-    want = sorted((k, s, c) for (k, s), cs in classes.items() for c in cs if len(cs) > 1 or k == 999)
-    df = spark.createDataFrame(rows, jaccard._KEYS)
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for size in ("1", "2", "5", "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        assert sorted((r["key"], r.smaller, bytes(r.c)) for r in jaccard._shared(df).collect()) == want
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for key, c, *_ in rows:
+        classes[key].add(c)
+    want = sorted((k, c) for k, cs in classes.items() for c in cs if len(cs) > 1 or k == 999)
+    got = jaccard._shared_records(np.array(rows, jaccard._RECORD))
+    assert sorted((r["key"], tuple(r["c"])) for r in got) == want
+    assert len(jaccard._shared_records(np.array([], jaccard._RECORD))) == 0
