@@ -60,16 +60,16 @@ MAX_LIGHT = 24
 FREQUENT = 16
 MAX_FREQUENT = 1 << 21
 # Shingles counted in one task, about.
-COUNT_ROWS = 1 << 22
+COUNT_ROWS = 1 << 21
 # Keys worked through at once, about.
-KEY_ROWS = 1 << 20
+KEY_ROWS = 1 << 18
 # Rows of one shingle that one task takes; lists beyond that are dealt out.
 LIST_ROWS = 1 << 16
 # Documents whose sets a task holds at once.
 STEP_DOCS = 256
-# Digests a task remembers to put equal sets out once.
+# Texts a task remembers to put equal ones out once.
 REMEMBERED = 1 << 17
-# Bits that mark classes to compare; more classes than bits only cost work.
+# Bits that mark texts to compare; more of them than bits only cost work.
 MARKS = 1 << 25
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -92,9 +92,9 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return total
 
 
-def shingle_sets(texts: list[str | None], hasher: Hasher) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], hasher: Hasher) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words, begin = hasher.word_lists([(t or "").encode() for t in texts])
+    words, begin = hasher.word_lists(texts)
     runs = _shingles(words) if len(words) else words
     out = []
     for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
@@ -104,45 +104,54 @@ def shingle_sets(texts: list[str | None], hasher: Hasher) -> list[np.ndarray]:
     return out
 
 
-def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Short runs of rows with the sets of their ``text``."""
-    hasher = Hasher()
+def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Short runs of rows with their texts as bytes. A null text is empty."""
     for batch in batches:
         for at in range(0, batch.num_rows, STEP_DOCS):
             step = batch.slice(at, STEP_DOCS)
-            yield step, shingle_sets(step["text"].to_pylist(), hasher)
+            yield step, [(t or "").encode() for t in step["text"].to_pylist()]
 
 
 def _name(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
+def _text_hash(text: bytes) -> int:
+    """A signed 64-bit hash of a text; it only saves work, nothing depends on it."""
+    hashed = xxhash.xxh3_64_intdigest(text)
+    return hashed - (1 << 64) if hashed >> 63 else hashed
+
+
 class _Once:
-    """Whether a digest is new to the task, as far as it remembers."""
+    """Whether a value is new to the task, as far as it remembers."""
 
     def __init__(self):
-        self.seen: set[bytes] = set()
+        self.seen: set[int | bytes] = set()
 
-    def __call__(self, name: bytes) -> bool:
-        if name in self.seen:
+    def __call__(self, value: int | bytes) -> bool:
+        if value in self.seen:
             return False
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
-        self.seen.add(name)
+        self.seen.add(value)
         return True
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, c): the size and the digest of each document's set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.binary())])
+    """(doc_id, n, c, t): the size and the digest of each document's set, and a hash of its
+    text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c", pa.binary()), ("t", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for step, sets in _stepped(batches):
+        hasher = Hasher()
+        for step, texts in _stepped(batches):
+            sets = shingle_sets(texts, hasher)
             sizes, names = pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_name, sets), pa.binary())
-            yield pa.RecordBatch.from_arrays([step["doc_id"], sizes, names], schema=schema)
+            hashes = pa.array(map(_text_hash, texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([step["doc_id"], sizes, names, hashes], schema=schema)
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, n long, c binary")
+    return read.mapInArrow(run, "doc_id long, n long, c binary, t long")
 
 
 # -------------------------------------------------------------- thresholds
@@ -201,6 +210,7 @@ def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     schema = pa.schema([("range", pa.int32()), ("packed", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         held: list[np.ndarray] = []
         size = 0
 
@@ -222,7 +232,8 @@ def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
                 schema=schema,
             )
 
-        for _, sets in _stepped(batches):
+        for _, texts in _stepped(batches):
+            sets = shingle_sets(texts, hasher)
             held += [found >> shift for found in sets]
             size += sum(map(len, sets))
             if size >= COUNT_ROWS:
@@ -351,7 +362,7 @@ def _shared(docs: DataFrame, limit: int, order: _Order, total: int, percent: int
     schema = pa.schema([("range", pa.int64()), ("records", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, new = _Order(*shared.value), _Once()
+        hasher, ranks, new = Hasher(), _Order(*shared.value), _Once()
         held, parts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -362,9 +373,10 @@ def _shared(docs: DataFrame, limit: int, order: _Order, total: int, percent: int
             packed = [r.tobytes() for r in np.split(every[by], begin[1:])]
             return pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed, pa.binary())], schema=schema)
 
-        for _, sets in _stepped(batches):
-            for found in sets:
-                if len(found) and new(_name(found)):
+        for _, texts in _stepped(batches):
+            fresh = [t for t in texts if new(_text_hash(t))]
+            for found in shingle_sets(fresh, hasher):
+                if len(found):
                     records, part = _records(found, limit, ranks, percent)
                     held.append(records)
                     parts.append(part)
@@ -392,14 +404,10 @@ def _shared(docs: DataFrame, limit: int, order: _Order, total: int, percent: int
 # --------------------------------------------------------------- comparisons
 
 
-def _mark(c: Column) -> Column:
-    return F.conv(F.hex(F.substring(c, 1, 4)), 16, 10).cast("long") % MARKS
-
-
 def _marks(names: DataFrame) -> np.ndarray:
-    """A bit for every class in ``names`` (c), by the first bytes of its digest, packed. A
-    bounded number of them comes to the driver."""
-    bit = _mark(F.col("c")) + 1
+    """A bit for every text hash in ``names`` (t), packed. A bounded number of them comes to
+    the driver."""
+    bit = F.pmod("t", F.lit(MARKS)) + 1
     found = (
         names.select(F.bitmap_bucket_number(bit).alias("b"), F.bitmap_bit_position(bit).alias("p"))
         .groupBy("b")
@@ -415,21 +423,23 @@ def _marks(names: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(c, members): the sets of the classes in ``names`` (c), read from the texts again."""
+    """(c, members): the sets of the classes in ``names`` (c, t), read from the texts again.
+    Only texts that may be among them are cut into shingles."""
     bits = docs.sparkSession.sparkContext.broadcast(_marks(names))
     schema = pa.schema([("c", pa.binary()), ("members", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, marked = _Once(), bits.value
-        for _, sets in _stepped(batches):
-            kept = []
-            for found in sets:
-                name = _name(found)
-                at = int.from_bytes(name[:4], "big") % MARKS
-                if len(found) and marked[at >> 3] >> (at & 7) & 1 and new(name):
-                    kept.append((name, found.view(np.int64)))
+        hasher, new, marked = Hasher(), _Once(), bits.value
+
+        def wanted(text: bytes) -> bool:
+            hashed = _text_hash(text)
+            at = hashed % MARKS
+            return bool(marked[at >> 3] >> (at & 7) & 1) and new(hashed)
+
+        for _, texts in _stepped(batches):
+            found = shingle_sets([t for t in texts if wanted(t)], hasher)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in kept], pa.binary()), pa.array([m for _, m in kept], pa.list_(pa.int64()))],
+                [pa.array(map(_name, found), pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
                 schema=schema,
             )
 
@@ -511,7 +521,7 @@ def _across(shared: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) of the pairs whose whole sets link."""
 
     @F.arrow_udf("long")
@@ -528,7 +538,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         return pa.array(out, pa.int64())
 
     names = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    members = _members(docs, names)
+    members = _members(docs, materialize(names.join(classes.select("c", "t"), "c"), "names"))
     both = pairs.join(members.select(F.col("c").alias("b"), F.col("members").alias("mb")), "b").join(
         members.select(F.col("c").alias("a"), F.col("members").alias("ma")), "a"
     )
@@ -548,7 +558,12 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     sets = materialize(with_sets(docs), "sets")
     classes = materialize(
-        sets.filter("n > 0").groupBy("c", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "classes"
+        sets.filter("n > 0")
+        .groupBy("c", "n")
+        .agg(
+            F.min("doc_id").alias("first"), F.min("t").alias("t"), F.count("*").alias("rows")
+        ),
+        "classes",
     )
     sizes = classes.groupBy(F.least(F.col("n"), F.lit(2 * MAX_LIGHT)).alias("n")).count().collect()
     limit = boundary({r["n"]: r["count"] for r in sizes}, percent)
@@ -557,11 +572,11 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     listed = classes.agg(F.sum(_listed(F.col("n"), percent) * F.col("rows"))).first()[0] or 0
     shared = materialize(_shared(docs, limit, order, listed, percent), "shared")
     near = materialize(_to_leaders(shared, percent), "candidates")
-    edges = _linked(docs, near, percent)
+    edges = _linked(docs, classes, near, percent)
     merged = materialize(components(edges), "merged")
     rest = materialize(_across(shared, merged, percent).join(near.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
     if not rest.isEmpty():
-        edges = edges.union(_linked(docs, rest, percent))
+        edges = edges.union(_linked(docs, classes, rest, percent))
         merged = materialize(components(edges), "merged")
     grown = classes.join(merged, classes["c"] == merged["v"]).select("c", "root", "first")
     lowest = materialize(grown.groupBy("root").agg(F.min("first").alias("component")), "lowest")
