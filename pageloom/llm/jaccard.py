@@ -4,7 +4,7 @@ Sets: ASCII letters are lower-cased, words are runs of characters other than ASC
 space, and a document's set holds its distinct shingles of ``WORDS`` words; with fewer words
 the whole sequence is one shingle, without any the set is empty. Two documents link when
 100 * |A and B| >= ``PERCENT`` * |A or B|; empty sets link with nothing. Shingles are held
-as 64-bit hashes, sets are named by 128-bit digests; sizes and intersections count hashes,
+as 64-bit hashes, sets are named by 96-bit digests; sizes and intersections count hashes,
 so two shingles of one comparison that share a hash (below one in 10**12 for sets of a
 thousand) would count as one.
 
@@ -28,10 +28,12 @@ logarithm; all others rank alike and are ordered by hash. The order only decides
 the lists are. No pair depends on it.
 
 Lists without all pairs: first every list's members are compared with one leader, the member
-whose listed shingles are shared most, and linked classes are merged. Only what differs
-between merged classes in a list is compared further, pair by pair, if sizes, places in the
-lists and the number of shared listed shingles allow a link. So a group of near copies costs
-its size, and a list whose members are all merged costs nothing more.
+whose listed shingles are shared most, and linked classes are merged. As long as the pairs
+that are left, of different merged classes within a list, are many for the lists' size and
+merging goes on, members are compared with other leaders. What is left then is compared pair
+by pair. Whole sets are only compared where sizes, places in the lists and the number of
+shared listed shingles allow a link. So a group of near copies costs its size, and a list
+whose members are all merged costs nothing more.
 """
 
 from __future__ import annotations
@@ -67,6 +69,8 @@ KEY_ROWS = 1 << 18
 LIST_ROWS = 1 << 16
 # Documents whose sets a task holds at once.
 STEP_DOCS = 256
+# Pairs left for each row of the lists, up to which all of them are looked at.
+ROOM = 4
 # Texts a task remembers to put equal ones out once.
 REMEMBERED = 1 << 17
 # Bits that mark texts to compare; more of them than bits only cost work.
@@ -74,7 +78,9 @@ MARKS = 1 << 25
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_COUNT_BITS = 40
+_NAME_BYTES = 12
+# Within a range of hashes, shingles are counted by so many bits.
+_COUNT_BITS = 32
 
 
 # ---------------------------------------------------------------------- sets
@@ -113,7 +119,7 @@ def _stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 
 def _name(found: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(found.tobytes())
+    return xxhash.xxh3_128_digest(found.tobytes())[:_NAME_BYTES]
 
 
 def _text_hash(text: bytes) -> int:
@@ -202,11 +208,11 @@ def boundary(histogram: dict[int, int], percent: int = PERCENT) -> int:
 # -------------------------------------------------------------- frequencies
 
 
-def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted upper ``_COUNT_BITS`` bits of frequent shingles, and their counts."""
-    ranges = max(1, -(-total // COUNT_ROWS))
-    width = -(-(1 << _COUNT_BITS) // ranges)
-    shift = np.uint64(64 - _COUNT_BITS)
+def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The sorted upper bits of frequent shingles, their counts, and the number of bits."""
+    level = max(0, (total // COUNT_ROWS).bit_length())  # 2 ** level ranges
+    ranges, bits = 1 << level, level + _COUNT_BITS
+    shift = np.uint64(64 - bits)
     schema = pa.schema([("range", pa.int32()), ("packed", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,14 +222,14 @@ def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
         def flush() -> Iterator[pa.RecordBatch]:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(values, np.arange(1, ranges, dtype=np.uint64) * np.uint64(width))
+            begins = np.arange(1, ranges, dtype=np.uint64) << np.uint64(_COUNT_BITS)
+            cuts = np.searchsorted(values, begins)
             rows = [
                 (r, v, c)
                 for r, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts)))
                 if len(v)
             ]
-            # Values within a range fit into five bytes, repeats are listed aside.
-            packed = [v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for _, v, _ in rows]
+            packed = [v.astype("<u4").tobytes() for _, v, _ in rows]  # repeats are listed aside
             repeats = [
                 np.stack([np.flatnonzero(c > 1), c[c > 1]]).astype("<i8").tobytes() for _, _, c in rows
             ]
@@ -245,17 +251,16 @@ def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     def add(table: pa.Table) -> pa.Table:
         values, counts = [], []
         for packed, repeats in zip(table["packed"].to_pylist(), table["counts"].to_pylist()):
-            wide = np.zeros((len(packed) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-            values.append(wide.view("<u8").ravel())
-            one = np.ones(len(wide), np.int64)
+            values.append(np.frombuffer(packed, "<u4"))
+            one = np.ones(len(values[-1]), np.int64)
             places = np.frombuffer(repeats, "<i8").reshape(2, -1)
             one[places[0]] = places[1]
             counts.append(one)
         every, place = np.unique(np.concatenate(values), return_inverse=True)
         summed = np.bincount(place, np.concatenate(counts)).astype(np.int64)
         often = summed >= FREQUENT
-        return pa.table({"v": every[often].astype(np.int64), "n": summed[often]})
+        above = table["range"][0].as_py() << _COUNT_BITS
+        return pa.table({"v": every[often].astype(np.int64) + above, "n": summed[often]})
 
     packed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
         count, "range int, packed binary, counts binary"
@@ -271,27 +276,27 @@ def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = row["step"]
     if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), bits
     found = summed.filter(step >= least).toArrow()
     values, counts = found["v"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(values)
-    return values[order].astype(np.uint64), counts[order]
+    return values[order].astype(np.uint64), counts[order], bits
 
 
 class _Order:
-    """Ranks of shingles: 0 for all that are not frequent, then by the logarithm."""
+    """How frequent shingles are, as far as they are frequent at all."""
 
-    def __init__(self, values: np.ndarray, counts: np.ndarray):
-        self.values, self.counts = values, counts
+    def __init__(self, values: np.ndarray, counts: np.ndarray, bits: int):
+        self.values, self.counts, self.bits = values, counts, bits
         self.marked = np.zeros(1 << 24, bool)
-        self.marked[(values >> np.uint64(_COUNT_BITS - 24)).astype(np.int64)] = True
+        self.marked[(values >> np.uint64(bits - 24)).astype(np.int64)] = True
 
     def frequency(self, found: np.ndarray) -> np.ndarray:
         """How often each shingle occurs, 0 if it is not frequent."""
         out = np.zeros(len(found), np.int64)
         maybe = np.flatnonzero(self.marked[(found >> np.uint64(40)).astype(np.int64)])
         if len(maybe):
-            short = found[maybe] >> np.uint64(64 - _COUNT_BITS)
+            short = found[maybe] >> np.uint64(64 - self.bits)
             at = np.minimum(np.searchsorted(self.values, short), len(self.values) - 1)
             hit = self.values[at] == short
             out[maybe[hit]] = self.counts[at[hit]]
@@ -301,10 +306,9 @@ class _Order:
 # --------------------------------------------------------------------- keys
 
 # A key of a class: a listed shingle, with its place in the order, or a subset, with the
-# smaller of its two sizes.
-_RECORD = np.dtype(
-    [("key", "<u8"), ("c", "<u8", 2), ("n", "<u4"), ("pos", "<u4"), ("smaller", "u1"), ("split", "?")]
-)
+# smaller of its two sizes (``_SPLIT`` stands for a part of a split list).
+_RECORD = np.dtype([("key", "<u8"), ("c", "<u4", _NAME_BYTES // 4), ("n", "<u4"), ("pos", "<u4"), ("smaller", "u1")])
+_SPLIT = 255
 
 
 def _subsets(found: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -325,15 +329,15 @@ def _records(found: np.ndarray, limit: int, order: _Order, percent: int) -> tupl
         first = first[: n - least_partner(n, percent) + 1]
     out = np.zeros(len(subsets) + len(first), _RECORD)
     part = np.zeros(len(out), np.int64)
-    out["c"], out["n"] = np.frombuffer(name, "<u8"), n
+    out["c"], out["n"] = np.frombuffer(name, "<u4"), n
     if subsets:
         out["key"][: len(subsets)], out["smaller"][: len(subsets)] = zip(*subsets)
     if len(first):
         out["key"][len(subsets) :] = found[first]
         out["pos"][len(subsets) :] = np.arange(len(first))
         parts = often[first] // LIST_ROWS
-        part[len(subsets) :] = int.from_bytes(name[8:12], "little") % (1 + parts)
-        out["split"][len(subsets) :] = parts > 0
+        part[len(subsets) :] = int.from_bytes(name[:4], "little") % (1 + parts)
+        out["smaller"][len(subsets) :] = np.where(parts > 0, _SPLIT, 0)
     return out, part
 
 
@@ -345,20 +349,20 @@ def _shared_records(found: np.ndarray) -> np.ndarray:
     same = found["key"][1:] == found["key"][:-1]
     several[1:] |= same
     several[:-1] |= same
-    found = found[several | found["split"]]
-    found = found[np.lexsort((found["c"][:, 1], found["c"][:, 0], found["key"]))]
+    found = found[several | (found["smaller"] == _SPLIT)]
+    found = found[np.lexsort((*found["c"].T, found["key"]))]
     repeat = np.zeros(len(found), bool)
     repeat[1:] = (found["key"][1:] == found["key"][:-1]) & (found["c"][1:] == found["c"][:-1]).all(axis=1)
     found = found[~repeat]
     _, run_of, sizes = np.unique(found["key"], return_inverse=True, return_counts=True)
-    return found[(sizes[run_of] > 1) | found["split"]]
+    return found[(sizes[run_of] > 1) | (found["smaller"] == _SPLIT)]
 
 
 def _shared(docs: DataFrame, limit: int, order: _Order, total: int, percent: int) -> DataFrame:
     """(key, smaller, c, n, pos) of all keys that several classes have. ``smaller`` is 0 for
     listed shingles. ``total`` is about the number of keys of all documents."""
     ranges = max(1, -(-total // KEY_ROWS))
-    shared = docs.sparkSession.sparkContext.broadcast((order.values, order.counts))
+    shared = docs.sparkSession.sparkContext.broadcast((order.values, order.counts, order.bits))
     schema = pa.schema([("range", pa.int64()), ("records", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,10 +394,10 @@ def _shared(docs: DataFrame, limit: int, order: _Order, total: int, percent: int
     def keep(table: pa.Table) -> pa.Table:
         found = _shared_records(np.frombuffer(b"".join(table["records"].to_pylist()), _RECORD))
         names = pa.Array.from_buffers(
-            pa.binary(16), len(found), [None, pa.py_buffer(np.ascontiguousarray(found["c"]).tobytes())]
+            pa.binary(_NAME_BYTES), len(found), [None, pa.py_buffer(np.ascontiguousarray(found["c"]).tobytes())]
         )
         return pa.table({
-            "key": found["key"].view(np.int64), "smaller": found["smaller"].astype(np.int32),
+            "key": found["key"].view(np.int64), "smaller": np.where(found["smaller"] == _SPLIT, 0, found["smaller"]).astype(np.int32),
             "c": names.cast(pa.binary()), "n": found["n"].astype(np.int64), "pos": found["pos"].astype(np.int32),
         })
 
@@ -462,21 +466,14 @@ def _listed(n: Column, percent: int) -> Column:
     return n - F.ceil(percent * n / 100) + 1
 
 
-def _to_leaders(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb), a < b: the members of each list and of each subset beside a leader."""
-    use = (
-        shared.filter("smaller = 0")
-        .groupBy("c", "n")
-        .agg(F.count("*").alias("shared"))
-        .select("c", (F.col("shared") / _listed(F.col("n"), percent)).alias("use"))
-    )
-    # The most central member of a list; of a subset, one of the smaller size if there is one.
-    rank = F.when(F.col("smaller") == 0, F.col("use")).otherwise(-F.col("n").cast("double"))
-    ranked = shared.join(use, "c", "left").withColumn("rank", rank)
+def _to_leaders(shared: DataFrame, rank: Column, percent: int) -> DataFrame:
+    """(a, b, na, nb), a < b: the members of each list and of each subset beside a leader,
+    that with the highest ``rank``, unless both have the same ``root``."""
     leaders = materialize(
-        ranked.groupBy("key", "smaller")
-        .agg(F.max(F.struct("rank", "c", "n", "pos")).alias("of"))
-        .select("key", "smaller", F.col("of.c").alias("lc"), F.col("of.n").alias("ln"), F.col("of.pos").alias("lpos")),
+        shared.withColumn("rank", rank)
+        .groupBy("key", "smaller")
+        .agg(F.max(F.struct("rank", "c", "n", "pos", "root")).alias("of"))
+        .select("key", "smaller", *[F.col(f"of.{c}").alias(f"l{c}") for c in ("c", "n", "pos", "root")]),
         "leaders",
     )
     n, ln, pos, lpos = (F.col(c) for c in ("n", "ln", "pos", "lpos"))
@@ -485,7 +482,7 @@ def _to_leaders(shared: DataFrame, percent: int) -> DataFrame:
     placed = (F.col("smaller") > 0) | (most >= _overlap(n, ln, percent))
     small = (F.col("smaller") == 0) | (ln == F.col("smaller"))
     beside = shared.join(leaders, ["key", "smaller"]).filter(
-        (F.col("c") != F.col("lc")) & _fit(n, ln, percent) & placed & small
+        (F.col("root") != F.col("lroot")) & _fit(n, ln, percent) & placed & small
     )
     flip = F.col("lc") < F.col("c")
     return beside.select(
@@ -496,29 +493,51 @@ def _to_leaders(shared: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
-def _across(shared: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb), a < b, of one list but not merged, that can link by their places and
-    by the number of listed shingles they share."""
-    lists = shared.filter("smaller = 0").join(merged, F.col("c") == F.col("v"), "left")
-    lists = materialize(
-        lists.select("key", "c", "n", "pos", F.coalesce("root", "c").alias("root")), "lists"
+def _unmerged(shared: DataFrame, merged: DataFrame) -> DataFrame:
+    """The lists whose members are not all merged, with the ``root`` of each member."""
+    lists = shared.filter("smaller = 0").drop("root").join(merged, F.col("c") == F.col("v"), "left")
+    rooted = lists.drop("v").withColumn("root", F.coalesce("root", "c"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    return materialize(rooted.join(mixed.select("key"), "key", "left_semi"), "unmerged")
+
+
+def _few_left(lists: DataFrame) -> bool:
+    """Whether the pairs of different roots are few for the size of the lists."""
+    each = lists.groupBy("key", "root").agg(F.count("*").cast("double").alias("m"))
+    left = each.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"))
+    rows, pairs = left.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()
+    return (pairs or 0) <= ROOM * (rows or 0)
+
+
+def _across(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb), a < b, of one list and of different roots, that can link by their
+    places."""
+    left = lists.select("key", *[F.col(c).alias(f"{c}a") for c in ("c", "n", "pos", "root")])
+    right = lists.select("key", *[F.col(c).alias(f"{c}b") for c in ("c", "n", "pos", "root")])
+    na, nb = F.col("na"), F.col("nb")
+    # The first shingle that two sets share has none before it.
+    first = F.least(na - F.col("posa"), nb - F.col("posb")) >= _overlap(na, nb, percent)
+    different = (F.col("ca") < F.col("cb")) & (F.col("roota") != F.col("rootb"))
+    met = left.join(right, "key").filter(different & _fit(na, nb, percent) & first)
+    return met.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb").distinct()
+
+
+def _promising(shared: DataFrame, pairs: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Those pairs that share enough listed shingles to link. Of two sets, the one whose
+    listed shingles end first in the order has all that they share up to there listed in
+    both. Pairs of light sets stay."""
+    listed = materialize(
+        shared.filter("smaller = 0").groupBy("c").agg(F.collect_list("key").alias("keys")), "listed"
     )
-    mixed = lists.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    open_ = materialize(lists.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    left = open_.select("key", *[F.col(c).alias(f"{c}a") for c in ("c", "n", "pos", "root")])
-    right = open_.select("key", *[F.col(c).alias(f"{c}b") for c in ("c", "n", "pos", "root")])
-    na, nb, pa_, pb = (F.col(c) for c in ("na", "nb", "posa", "posb"))
+    na, nb = F.col("na"), F.col("nb")
     need = _overlap(na, nb, percent)
-    met = left.join(right, "key").filter((F.col("ca") < F.col("cb")) & (F.col("roota") != F.col("rootb")) & _fit(na, nb, percent))
-    # The first shared place has none before it.
-    first = F.least(na - pa_, nb - pb) >= need
     least = F.least(_listed(na, percent) - na + need, _listed(nb, percent) - nb + need)
-    return (
-        met.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b"), "na", "nb")
-        .agg(F.count("*").alias("shared"), F.bool_or(first).alias("first"))
-        .filter(F.col("first") & (F.col("shared") >= least))
-        .select("a", "b", "na", "nb")
+    both = pairs.join(listed.select(F.col("c").alias("a"), F.col("keys").alias("ka")), "a", "left").join(
+        listed.select(F.col("c").alias("b"), F.col("keys").alias("kb")), "b", "left"
     )
+    common = F.coalesce(F.size(F.array_intersect("ka", "kb")), F.lit(0))
+    light = F.greatest(na, nb) <= limit
+    return materialize(both.filter(light | (common >= least)).select("a", "b", "na", "nb"), "promising")
 
 
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -571,13 +590,31 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = _Order(*_frequent(docs, total))
     listed = classes.agg(F.sum(_listed(F.col("n"), percent) * F.col("rows"))).first()[0] or 0
     shared = materialize(_shared(docs, limit, order, listed, percent), "shared")
-    near = materialize(_to_leaders(shared, percent), "candidates")
-    edges = _linked(docs, classes, near, percent)
-    merged = materialize(components(edges), "merged")
-    rest = materialize(_across(shared, merged, percent).join(near.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    if not rest.isEmpty():
-        edges = edges.union(_linked(docs, classes, rest, percent))
+    shared = shared.withColumn("root", F.col("c"))
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        return _linked(docs, classes, _promising(shared, pairs, limit, percent), percent)
+
+    # First the most central member of a list; of a subset, one of the smaller size, if any.
+    use = shared.filter("smaller = 0").groupBy("c", "n").agg(F.count("*").alias("shared"))
+    use = use.select("c", (F.col("shared") / _listed(F.col("n"), percent)).alias("use"))
+    rank = F.when(F.col("smaller") == 0, F.col("use")).otherwise(-F.col("n").cast("double"))
+    edges = compare(_to_leaders(shared.join(use, "c", "left"), rank, percent))
+    turn = 0
+    while True:
         merged = materialize(components(edges), "merged")
+        lists = _unmerged(shared, merged)
+        if _few_left(lists):
+            break
+        # Then any member, in each list another one.
+        turn += 1
+        more = compare(_to_leaders(lists, F.xxhash64("key", "c", F.lit(turn)), percent))
+        if more.isEmpty():
+            break
+        edges = edges.union(more)
+    rest = compare(_across(lists, percent))
+    if not rest.isEmpty():
+        merged = materialize(components(edges.union(rest)), "merged")
     grown = classes.join(merged, classes["c"] == merged["v"]).select("c", "root", "first")
     lowest = materialize(grown.groupBy("root").agg(F.min("first").alias("component")), "lowest")
     joined = grown.join(lowest, "root").select("c", "component")

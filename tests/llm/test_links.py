@@ -256,10 +256,11 @@ def test_join_of_small_and_large_sets(spark, monkeypatch, limit):
     assert joined(df) == want
 
 
-def test_join_of_hot_groups(spark, monkeypatch):
+@pytest.mark.parametrize("room", [0, 4, 10**9])
+def test_join_of_hot_groups(spark, monkeypatch, room):
     """Very many copies, near copies of one text, chains and texts of common passages, with
     lists that are split and batches that cut through them."""
-    for name, value in (("LIST_ROWS", 32), ("KEY_ROWS", 300), ("STEP_DOCS", 5), ("COUNT_ROWS", 2000), ("REMEMBERED", 16), ("FREQUENT", 4)):
+    for name, value in (("LIST_ROWS", 32), ("KEY_ROWS", 300), ("STEP_DOCS", 5), ("COUNT_ROWS", 2000), ("REMEMBERED", 16), ("FREQUENT", 4), ("ROOM", room)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
     words = [f"w{rng.randrange(10**6)}" for _ in range(160)]
@@ -313,8 +314,8 @@ def test_shared_records():
     for key in range(300):
         for _ in range(rng.choice([1, 1, 1, 2, 5])):
             name = rng.randrange(3)
-            rows += [(key, (name, name % 2), 9, 0, key % 2, False)] * rng.choice([1, 1, 3])
-    rows += [(999, (7, 7), 9, 0, 0, True)] * 2  # part of a split list
+            rows += [(key, (name, 5, name % 2), 9, 0, key % 2)] * rng.choice([1, 1, 3])
+    rows += [(999, (7, 7, 7), 9, 0, jaccard._SPLIT)] * 2  # part of a split list
     rng.shuffle(rows)
     classes = defaultdict(set)
     for key, c, *_ in rows:
