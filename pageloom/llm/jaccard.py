@@ -30,7 +30,7 @@ the lists are. No pair depends on it.
 Lists without all pairs: first every list's members are compared with one leader, the member
 whose listed shingles are shared most, and linked classes are merged. As long as the pairs
 that are left, of different merged classes within a list, are many for the lists' size and
-merging goes on, members are compared with other leaders. What is left then is compared pair
+merging makes them fewer, members are compared with other leaders. What is left then is compared pair
 by pair. Whole sets are only compared where sizes, places in the lists and the number of
 shared listed shingles allow a link. So a group of near copies costs its size, and a list
 whose members are all merged costs nothing more.
@@ -70,7 +70,7 @@ LIST_ROWS = 1 << 16
 # Documents whose sets a task holds at once.
 STEP_DOCS = 256
 # Pairs left for each row of the lists, up to which all of them are looked at.
-ROOM = 4
+ROOM = 64
 # Texts a task remembers to put equal ones out once.
 REMEMBERED = 1 << 17
 # Bits that mark texts to compare; more of them than bits only cost work.
@@ -501,12 +501,12 @@ def _unmerged(shared: DataFrame, merged: DataFrame) -> DataFrame:
     return materialize(rooted.join(mixed.select("key"), "key", "left_semi"), "unmerged")
 
 
-def _few_left(lists: DataFrame) -> bool:
-    """Whether the pairs of different roots are few for the size of the lists."""
+def _left(lists: DataFrame) -> tuple[int, float]:
+    """The rows of the lists, and their pairs of different roots."""
     each = lists.groupBy("key", "root").agg(F.count("*").cast("double").alias("m"))
     left = each.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s"))
     rows, pairs = left.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2)).first()
-    return (pairs or 0) <= ROOM * (rows or 0)
+    return rows or 0, pairs or 0
 
 
 def _across(lists: DataFrame, percent: int) -> DataFrame:
@@ -600,18 +600,16 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     use = use.select("c", (F.col("shared") / _listed(F.col("n"), percent)).alias("use"))
     rank = F.when(F.col("smaller") == 0, F.col("use")).otherwise(-F.col("n").cast("double"))
     edges = compare(_to_leaders(shared.join(use, "c", "left"), rank, percent))
-    turn = 0
+    turn, before = 0, float("inf")
     while True:
         merged = materialize(components(edges), "merged")
         lists = _unmerged(shared, merged)
-        if _few_left(lists):
+        rows, pairs = _left(lists)
+        if pairs <= ROOM * rows or pairs > 0.8 * before:
             break
         # Then any member, in each list another one.
-        turn += 1
-        more = compare(_to_leaders(lists, F.xxhash64("key", "c", F.lit(turn)), percent))
-        if more.isEmpty():
-            break
-        edges = edges.union(more)
+        turn, before = turn + 1, pairs
+        edges = edges.union(compare(_to_leaders(lists, F.xxhash64("key", "c", F.lit(turn)), percent)))
     rest = compare(_across(lists, percent))
     if not rest.isEmpty():
         merged = materialize(components(edges.union(rest)), "merged")
