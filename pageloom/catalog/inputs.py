@@ -136,6 +136,13 @@ def document_site(spark, folder) -> DataFrame:
     )
 
 
+def document_fetches(spark, folder) -> DataFrame:
+    """The document site as outcomes of fetches: from page 300 on, four of five fail."""
+    k = F.regexp_extract("url", r"([0-9]+)$", 1).cast("bigint")
+    failing = (k > 300) & (k % 5 != 0)
+    return document_site(spark, folder).select("url", "html", failing.alias("failed"), (k * 7919 % 1000).alias("ts"))
+
+
 def supply_graph(spark, folder) -> DataFrame:
     """Parts and suppliers of all line items, linked both ways."""
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))

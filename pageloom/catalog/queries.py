@@ -619,6 +619,18 @@ def crawl_fetch(spark, folder):
     )
 
 
+@query
+def crawl_health(spark, folder):
+    """The same site when it starts to fail: the crawl ends where the breaker trips."""
+    return graph.crawl(
+        spark.createDataFrame([(f"{given.SITE}/doc/0",)], "url string"),
+        given.document_fetches(spark, folder),
+        max_depth=None,
+        breaker=CALM,
+        site="docs.example",
+    )
+
+
 def _export(records: DataFrame) -> DataFrame:
     return records.select(
         F.col("URL").alias("record_url"),

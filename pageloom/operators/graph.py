@@ -1,17 +1,31 @@
-"""Breadth-first traversal, one join per level."""
+"""Breadth-first traversal, one join per level on tables bucketed alike.
+
+Edges are written once in buckets of ``src``, visited URLs level by level in as many buckets
+of ``url``. A level then joins its frontier with the edges, and what it found with all that
+was visited, bucket by bucket: neither the edges nor the visited URLs are shuffled, at any
+level; only new targets are. The planner may broadcast a frontier instead, by its file size.
+
+A page with very many links would make one bucket too large. The edges of such pages are kept
+in a table of their own, which is joined with the few of them that a frontier holds.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.urls import should_follow
+from pageloom.operators.health import BreakerRules, Totals, next_trip
 from pageloom.operators.links import build_edges
 from pageloom.session import materialize, scratch_path
 
+# Links of one page that a bucket takes.
+HUB_LINKS = 1_000_000
+
 
 def expand_frontier(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct targets of the links that leave the frontier's URLs."""
@@ -36,6 +50,58 @@ def urls_except(links: DataFrame, visited: DataFrame) -> DataFrame:
     return links.select("url").subtract(visited.select("url"))
 
 
+class Bucketed:
+    """A table bucketed by ``key`` in the shared folder, known to the session's catalog while
+    a traversal runs. It grows part by part, each a value of the column ``part``."""
+
+    def __init__(self, spark: SparkSession, label: str, key: str, part: str | None = None):
+        self.spark, self.key, self.part = spark, key, part
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = scratch_path(spark, label)
+        self.name = f"pageloom_{label}_{uuid.uuid4().hex}"
+
+    def append(self, df: DataFrame, part: int | None = None) -> None:
+        """Add rows, which should come dealt out by ``key``, so that a bucket is one file."""
+        if self.part:
+            df = df.withColumn(self.part, F.lit(part))
+        writer = df.write.mode("append").bucketBy(self.buckets, self.key)
+        if self.part:
+            writer = writer.partitionBy(self.part)
+        writer.format("parquet").option("path", self.path).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        """Make the catalog forget the table; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+class Edges:
+    """(src, dst) ready to be joined level by level."""
+
+    def __init__(self, edges: DataFrame, hub_links: int = HUB_LINKS):
+        spark = edges.sparkSession
+        counts = edges.groupBy("src").agg(F.count("*").alias("n"))
+        hubs = materialize(counts.filter(F.col("n") > hub_links).select("src"), "hubs")
+        self.hubs = None
+        if not hubs.isEmpty():
+            self.hubs = materialize(edges.join(hubs, "src", "left_semi"), "hub-edges")
+            edges = edges.join(hubs, "src", "left_anti")
+        self.kept = Bucketed(spark, "edges", "src")
+        self.kept.append(edges.select("src", "dst").repartition(self.kept.buckets, "src"))
+
+    def targets(self, frontier: DataFrame) -> DataFrame:
+        """Distinct targets of the links that leave the frontier's URLs."""
+        found = expand_frontier(frontier, self.kept.table())
+        if self.hubs is None:
+            return found
+        return urls_union(found, expand_frontier(frontier, self.hubs))
+
+    def drop(self) -> None:
+        self.kept.drop()
+
+
 def _walk(
     seeds: DataFrame,
     expand: Callable[[DataFrame], DataFrame],
@@ -43,37 +109,40 @@ def _walk(
     max_levels: int | None,
     include_seed: bool,
     skip_seeds: bool = False,
+    ended: Callable[[], bool] = lambda: False,
 ) -> DataFrame:
+    """(url, depth) level by level, until nothing new is found or ``ended`` says so after
+    a level."""
     if max_depth is not None and max_depth < 0:
         raise ValueError("a depth below 0 reaches nothing")
     spark = seeds.sparkSession
     frontier = seeds = materialize(seeds.select("url").distinct(), "seeds")
-    folder = scratch_path(spark, "levels")
-    found = None
+    levels = Bucketed(spark, "levels", "url", "depth")
     depth = 0
-    while max_depth is None or depth <= max_depth:
-        if max_levels is not None and max_depth is None and depth >= max_levels:
-            if frontier.isEmpty():
+    try:
+        while max_depth is None or depth <= max_depth:
+            if max_levels is not None and max_depth is None and depth >= max_levels:
+                if frontier.isEmpty():
+                    break
+                raise RuntimeError(f"links still unvisited after {max_levels} levels")
+            fresh = expand(frontier)
+            if depth:
+                fresh = drop_visited(fresh, levels.table().select("url"))
+            # Each level is written as one more part of the result: the plan of the next
+            # level starts there, and a lost executor does not bring back earlier levels.
+            rows = Observation()
+            levels.append(fresh.observe(rows, F.count("*").alias("n")), depth + 1)
+            depth += 1
+            if rows.get["n"] == 0 or ended():
                 break
-            raise RuntimeError(f"links still unvisited after {max_levels} levels")
-        fresh = expand(frontier)
-        if found is not None:
-            fresh = drop_visited(fresh, found.select("url"))
-        # Each level is written as one more partition of the result: the plan of
-        # the next level starts there, and a lost executor does not bring back
-        # earlier levels.
-        rows = Observation()
-        level = f"{folder}/depth={depth + 1}"
-        fresh.observe(rows, F.count("*").alias("n")).write.parquet(level)
-        found = spark.read.schema("url string, depth int").parquet(folder)
-        if rows.get["n"] == 0:
-            break
-        # A seed that turns up again may stay: all it links to is found already.
-        # Only a fetcher should not be asked for it twice.
-        frontier = spark.read.schema("url string").parquet(level)
-        if skip_seeds:
-            frontier = drop_visited(frontier, seeds)
-        depth += 1
+            # A seed that turns up again may stay: all it links to is found already.
+            # Only a fetcher should not be asked for it twice.
+            frontier = levels.table().filter(F.col("depth") == depth).select("url")
+            if skip_seeds:
+                frontier = drop_visited(frontier, seeds)
+    finally:
+        levels.drop()
+    found = spark.read.schema("url string, depth int").parquet(levels.path)
     if not include_seed:
         return found
     unlinked = drop_visited(seeds, found.select("url"))
@@ -86,6 +155,7 @@ def reach(
     max_depth: int | None = 3,
     max_levels: int | None = None,
     include_seed: bool = False,
+    hub_links: int = HUB_LINKS,
 ) -> DataFrame:
     """(url, depth) of all link targets on pages up to ``max_depth`` steps away.
 
@@ -95,13 +165,14 @@ def reach(
     ``max_depth=None`` runs until nothing new is found; ``max_levels`` then raises an
     error if links are left after so many levels.
 
-    Each level joins the frontier with ``edges``. The planner broadcasts a small
-    frontier by its file size; otherwise both sides are shuffled and adaptive
-    execution splits sources with very many links.
+    ``edges`` is evaluated twice, to count and to bucket. Sources with more than
+    ``hub_links`` links are kept out of the buckets.
     """
-    return _walk(
-        seeds, lambda f: expand_frontier(f, edges), max_depth, max_levels, include_seed
-    )
+    clustered = Edges(edges, hub_links)
+    try:
+        return _walk(seeds, clustered.targets, max_depth, max_levels, include_seed)
+    finally:
+        clustered.drop()
 
 
 def visitable(pages: DataFrame, seeds: DataFrame, **filters) -> DataFrame:
@@ -118,6 +189,33 @@ def visitable(pages: DataFrame, seeds: DataFrame, **filters) -> DataFrame:
     return marked.filter(passes | F.col("_seed").isNotNull()).drop("_seed")
 
 
+class _Watched:
+    """A fetch callable whose outcomes count against breaker rules, level by level.
+
+    ``log`` holds one table of (url, failed, ts) for each level; ``trip`` is the event that
+    opened the breaker.
+    """
+
+    def __init__(self, fetch: Callable[[DataFrame], DataFrame], rules: BreakerRules):
+        self.fetch, self.rules = fetch, rules
+        self.so_far, self.trip = Totals(), None
+        self.log: list[DataFrame] = []
+
+    def __call__(self, frontier: DataFrame) -> DataFrame:
+        got = materialize(self.fetch(frontier).select("url", "html", "failed", "ts"), "outcomes")
+        self.trip, self.so_far = next_trip(got, F.col("failed"), ["ts", "url"], self.so_far, self.rules)
+        if self.trip is not None:
+            # The events up to the trip are those that took place.
+            at = F.struct("ts", "url")
+            last = F.struct(F.lit(self.trip["ts"]).alias("ts"), F.lit(self.trip["url"]).alias("url"))
+            got = got.filter(at <= last)
+        self.log.append(got.select("url", "failed", "ts"))
+        return got.filter(~F.coalesce("failed", F.lit(False))).select("url", "html")
+
+    def ended(self) -> bool:
+        return self.trip is not None
+
+
 def crawl(
     seeds: DataFrame,
     pages: DataFrame | None = None,
@@ -126,6 +224,7 @@ def crawl(
     max_levels: int | None = None,
     include_seed: bool = False,
     parsed: bool = True,
+    breaker: BreakerRules | None = None,
     **filters,
 ) -> DataFrame:
     """(url, depth) found by following links from the seeds.
@@ -134,16 +233,31 @@ def crawl(
     gets a level's (url) rows and returns (url, html). The snapshot is parsed
     once into an edge table. Seeds are not filtered, and found URLs without a
     page stay in the result. ``filters`` go to ``should_follow``.
+
+    With ``breaker`` the crawl ends by health. ``pages`` or ``fetch`` then give outcomes:
+    (url, html, failed, ts), one row for each attempt. A level's attempts are ordered by
+    (ts, url), nulls first, and their failures counted on from level to level. At the first
+    attempt that trips the breaker the crawl ends: attempts behind it are as if they had not
+    been made, and no further level is asked for. What was found till then is the result.
     """
     if (pages is None) == (fetch is None):
         raise ValueError("give either pages or fetch")
-    if fetch is None:
+    if fetch is None and breaker is None:
         near = visitable(pages, seeds, **filters)
         edges = materialize(build_edges(near, parsed, **filters), "edges")
         return reach(edges, seeds, max_depth, max_levels, include_seed)
+    if fetch is None:
+        near = visitable(pages, seeds, **filters)
+
+        def fetch(asked: DataFrame) -> DataFrame:
+            return near.join(asked, "url", "left_semi")
+
+    watched = _Watched(fetch, breaker) if breaker else None
+    read = watched or fetch
 
     def expand(frontier: DataFrame) -> DataFrame:
-        edges = build_edges(fetch(frontier), parsed, **filters)
+        edges = build_edges(read(frontier), parsed, **filters)
         return edges.select(F.col("dst").alias("url")).distinct()
 
-    return _walk(seeds, expand, max_depth, max_levels, include_seed, skip_seeds=True)
+    ended = watched.ended if watched else (lambda: False)
+    return _walk(seeds, expand, max_depth, max_levels, include_seed, skip_seeds=True, ended=ended)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.retry import backoff_delay, retry_after_delay
@@ -244,6 +244,39 @@ def first_trip(
     )
 
 
+@dataclass(frozen=True)
+class Totals:
+    """What a log holds at its end: events, failures, and failures in a row."""
+
+    total: int = 0
+    failures: int = 0
+    streak: int = 0
+
+
+def next_trip(
+    log: DataFrame,
+    failed: Column,
+    order: Sequence[str],
+    so_far: Totals = Totals(),
+    rules: BreakerRules = DEFAULT_RULES,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> tuple[Row | None, Totals]:
+    """The event of ``log``, taken as one key, that first opens the breaker when counted on
+    from ``so_far``, and the totals at the end of ``log``. Only these two come to the driver."""
+    rows = _history(log.withColumn("_log", F.lit(0)), failed, ["_log"], order, rows_per_slice)
+    # A streak that began before the log goes on while the log has no success.
+    streak = F.col("streak") + F.when(F.col("streak") == F.col("total"), so_far.streak).otherwise(0)
+    counted = rows.df.withColumn("streak", streak).withColumns(
+        {"total": F.col("total") + so_far.total, "failures": F.col("failures") + so_far.failures}
+    )
+    reason = _trip_reason(rules)
+    detail = F.struct(*order, "streak", "total", "failures", reason.alias("reason"))
+    first, last = counted.agg(
+        F.min(F.when(reason.isNotNull(), detail)), F.max(F.struct("total", "failures", "streak"))
+    ).first()
+    return first, Totals(*last) if last else so_far
+
+
 def gate_after_trip(
     log: DataFrame,
     failed: Column,

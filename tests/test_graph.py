@@ -178,3 +178,131 @@ def test_pages_a_crawl_can_come_to(spark):
         "http://o.t/", "http://s.t/", "http://s.t/a", "http://s.t/b?x=1&y=2", "http://s.t/c",
         "http://s.t/d",
     ]
+
+
+def scans_under_exchange(plan, name):
+    """Table scans of ``name`` in a plan's text, and how many of them an exchange stands above."""
+    stack, scans, dealt = [], 0, 0
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        while stack and stack[-1][0] >= depth:
+            stack.pop()
+        text = line.strip(" :+-|*()0123456789")
+        if "Scan parquet" in line and name in line:
+            scans += 1
+            # Only what lies between the scan and the join above it counts.
+            above = [t for _, t in reversed(stack)]
+            joins = next((i for i, t in enumerate(above) if "Join" in t), len(above))
+            dealt += any("Exchange" in t for t in above[:joins])
+        stack.append((depth, text))
+    return scans, dealt
+
+
+def test_levels_shuffle_neither_edges_nor_visited(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(600)]
+    plans = []
+    original = graph.Bucketed.append
+
+    def append(self, df, part=None):
+        if self.part:
+            plans.append((self.name, df._jdf.queryExecution().executedPlan().toString()))
+        original(self, df, part)
+
+    monkeypatch.setattr(graph.Bucketed, "append", append)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = found(graph.reach(frame(spark, edges), seeds_of(spark, "n0"), None))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(got) > 100 and len(plans) > 3
+    for level, (name, plan) in enumerate(plans):
+        assert scans_under_exchange(plan, "pageloom_edges") == (1, 0)
+        scans, dealt = scans_under_exchange(plan, name)
+        assert dealt == 0 and scans == (2 if level else 0)  # frontier and visited
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("pageloom_")]
+
+
+def test_hubs_are_kept_out_of_the_buckets(spark):
+    edges = [("s", f"n{i}") for i in range(60)] + [("n1", "x"), ("n2", "x"), ("x", "y"), ("y", "s")]
+    want = found(graph.reach(frame(spark, edges), seeds_of(spark, "s"), None))
+    assert found(graph.reach(frame(spark, edges), seeds_of(spark, "s"), None, hub_links=10)) == want
+    assert want["y"] == 3 and len(want) == 63
+    clustered = graph.Edges(frame(spark, edges), 10)
+    assert clustered.kept.table().count() == 4 and clustered.hubs.count() == 60
+    clustered.drop()
+
+
+def plain_health_crawl(pages, outcomes, seed, rules):
+    """pages: url -> linked urls; outcomes: url -> [(ts, failed)]."""
+    total = failures = streak = 0
+    depth_of, level, depth = {}, [seed], 0
+    while level:
+        tried = sorted((ts, url, failed) for url in level for ts, failed in outcomes.get(url, ()))
+        linked, tripped = set(), False
+        for ts, url, failed in tried:
+            total += 1
+            if failed:
+                failures, streak = failures + 1, streak + 1
+            else:
+                streak = 0
+                linked |= set(pages[url])
+            if failed and (streak >= rules.failure_threshold or (total >= rules.min_requests and failures / total >= rules.failure_rate)):
+                tripped = True
+                break
+        depth += 1
+        fresh = linked - set(depth_of)
+        depth_of.update(dict.fromkeys(fresh, depth))
+        if tripped:
+            return depth_of, depth
+        level = fresh - {seed}
+    return depth_of, depth
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crawl_ends_by_health(spark, seed):
+    from pageloom.operators.health import BreakerRules
+
+    rng = random.Random(seed)
+    names = [f"http://s.t/{i}" for i in range(60)]
+    pages = {u: rng.sample(names, 3) for u in names}
+    outcomes = {u: [(rng.randrange(9), rng.random() < (0.1, 0.3, 0.5, 0.0)[seed]) for _ in range(rng.randrange(3))] for u in names}
+    outcomes[names[0]] = [(1, False)]
+    outcomes = {u: list(dict(o).items()) for u, o in outcomes.items()}
+    rules = BreakerRules(failure_threshold=3, failure_rate=0.4, min_requests=6)
+    rows = [(u, link(*pages[u]), f, ts) for u, o in outcomes.items() for ts, f in o]
+    table = spark.createDataFrame(rows, "url string, html string, failed boolean, ts int")
+    want, levels = plain_health_crawl(pages, outcomes, names[0], rules)
+    assert found(graph.crawl(seeds_of(spark, names[0]), table, max_depth=None, breaker=rules)) == want
+    asked = []
+
+    def fetch(urls):
+        asked.append(urls.count())
+        return table.join(urls, "url", "left_semi")
+
+    assert found(graph.crawl(seeds_of(spark, names[0]), fetch=fetch, max_depth=None, breaker=rules)) == want
+    # A level that holds the seed alone may be asked for, as nothing.
+    assert levels <= len(asked) <= levels + 1 and sum(asked[levels:]) == 0
+
+
+def test_trips_are_counted_on_from_log_to_log(spark):
+    from pyspark.sql import functions as F
+
+    from pageloom.operators.health import BreakerRules, Totals, next_trip
+
+    rules = BreakerRules(failure_threshold=4, failure_rate=1.0, min_requests=100)
+
+    def log(text):
+        return spark.createDataFrame([(i, c == "x") for i, c in enumerate(text)], "n int, bad boolean")
+
+    for size in (100, 2):
+        trip, totals = next_trip(log("ox.xx".replace(".", "o")), F.col("bad"), ["n"], Totals(), rules, size)
+        assert trip is None and totals == Totals(5, 3, 2)
+        trip, totals = next_trip(log("x"), F.col("bad"), ["n"], totals, rules, size)
+        assert trip is None and totals == Totals(6, 4, 3)
+        trip, after = next_trip(log("xoxx"), F.col("bad"), ["n"], totals, rules, size)
+        assert (trip["n"], trip["streak"], trip["reason"]) == (0, 4, "consecutive failures")
+        trip, after = next_trip(log("oxxx"), F.col("bad"), ["n"], totals, rules, size)
+        assert trip is None and after == Totals(10, 7, 3)
+        assert next_trip(log(""), F.col("bad"), ["n"], totals, rules, size) == (None, totals)
