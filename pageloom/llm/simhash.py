@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import free_name
@@ -246,17 +246,47 @@ def cluster(docs: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFr
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, lead: DataFrame | None = None) -> DataFrame:
-    """One row of each component, or of each doc_id in ``lead``: that with the smallest
-    doc_id; of rows with equal doc_id, the first by text. Rows with a null doc_id can't be
-    named and all stay. Columns are returned as they are, whatever they are called.
+def keep_first(docs: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+    """One row of each component: that with the smallest doc_id, of rows that share it the
+    first by a hash of the text. Rows with a null doc_id are compared, but all stay.
+
+    Rows are told apart by a number of their own, written beside them, so unlike texts that
+    share a doc_id are rows like any others. Columns are returned as they are, whatever they
+    are called. Only those that go are looked up, by their number; texts are not shuffled
+    if these are few.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    if lead is None:
-        lead = cluster(docs).groupBy("component_id").agg(F.min("doc_id").alias("doc_id"))
-    kept = named.join(lead.select("doc_id").filter("doc_id IS NOT NULL"), "doc_id", "left_semi")
-    # The join has dealt the rows by doc_id, so this needs no further shuffle.
-    place = free_name(docs, "place")
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))
-    first = kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
-    return first.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    uid, mark = free_name(docs, "row_uid"), free_name(docs, "row_print")
+    read = docs.select(F.col("text").alias("text"), F.struct(*docs.columns).alias("row"))
+    tagged = materialize(
+        with_fingerprint(read, "print").select(
+            F.monotonically_increasing_id().alias(uid), F.col("print").alias(mark), "row.*"
+        ),
+        "tagged",
+    )
+    known = tagged.filter("doc_id IS NOT NULL").select(
+        F.col(mark).alias("fingerprint"),
+        F.struct("doc_id", F.xxhash64("text").alias("hash"), F.col(uid).alias("uid")).alias("at"),
+    )
+    firsts = known.groupBy("fingerprint").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    every = materialize(tagged.select(F.col(mark).alias("fingerprint")).distinct(), "classes")
+    roots = materialize(components(links(every, radius, group)), "roots")
+    firsts = materialize(
+        firsts.join(roots, F.col("fingerprint") == F.col("v"), "left")
+        .select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "first", "n"),
+        "firsts",
+    )
+    least = firsts.groupBy("root").agg(F.min("first").alias("least"), F.sum("n").alias("rows"))
+    # Written down, so that a fingerprint that very many rows share can be split.
+    leaders = materialize(
+        firsts.join(least.filter("rows > 1"), "root").select("fingerprint", F.col("least.uid").alias("keeps")),
+        "leaders",
+    )
+    gone = materialize(
+        tagged.filter("doc_id IS NOT NULL")
+        .select(F.col(uid).alias("uid"), F.col(mark).alias("fingerprint"))
+        .join(leaders, "fingerprint")
+        .filter("uid <> keeps")
+        .select(F.col("uid").alias(uid)),
+        "gone",
+    )
+    return tagged.join(gone, uid, "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pageloom.llm import minhash, mixing, pii, queries, simhash, warc
+from pageloom.llm import jaccard, minhash, mixing, pii, queries, simhash, warc
 from pageloom.llm.common import table
 
 # ------------------------------------------------------------------ SimHash
@@ -113,6 +113,18 @@ def test_simhash_odd_tables(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(twins).collect()) == [1, 2]
 
 
+def test_near_copy_stage_keeps_unlike_texts_of_one_id(spark):
+    a, b, c = ("one two three four five", "quite another text under one id", "six seven eight nine ten")
+    rows = [(5, a, 1), (5, b, 2), (6, c, 3), (7, a, 4), (5, a, 5), (2, b, 6), (None, c, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_uid long").withColumn("row_print", F.lit(0))
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert got.columns == df.columns
+    kept = [tuple(r)[:3] for r in got.collect()]
+    assert sorted((d or 0, t) for d, t, _ in kept) == [(0, c), (2, b), (5, a), (6, c)]
+    hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same text in all rows").alias("text"))
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, hot, "").collect()] == [0]
+
+
 # ---------------------------------------------------------------------- PII
 
 
@@ -359,7 +371,7 @@ def test_parse_refuses_faults(change):
 # ----------------------------------------------------------------- pipeline
 
 
-def test_near_copy_stage_reaches_four_fifths(spark, monkeypatch):
+def test_near_copies_at_four_fifths(spark, monkeypatch):
     rng = random.Random(12)
 
     def text():
@@ -399,8 +411,9 @@ def test_near_copy_stage_reaches_four_fifths(spark, monkeypatch):
     want = sorted({root(d) for d, _ in rows})
     rows += [(2000, rows[0][1]), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = corpus_pipeline.drop_near_copies(spark, df, "").collect()
-    assert sorted(r.doc_id for r in got if r.doc_id is not None) == want and len(got) == len(want) + 1
+    assert sorted(r.doc_id for r in minhash.leaders(df).collect()) == want
+    named = {r.component_id for r in jaccard.cluster(df).collect()}
+    assert sorted(named) == want
     monkeypatch.setattr(minhash, "GROUP", 8)
     assert sorted(r.doc_id for r in minhash.leaders(df).collect()) == want
 
