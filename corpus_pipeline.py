@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pageloom.llm import minhash, mixing, packing, pii, simhash, toxicity  # noqa: E402
+from pageloom.llm import mixing, packing, pii, simhash, toxicity  # noqa: E402
 from pageloom.llm.common import free_name, table  # noqa: E402
 from pageloom.llm.queries import TOXIC_AT, toxicity_model  # noqa: E402
 from pageloom.session import materialize  # noqa: E402
@@ -30,10 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word Jaccard similarity of 0.8 or
-    more, verified. SimHash masks that cover such pairs (16 bits and more of 64) would be
-    over 100,000 a text, so candidates come from MinHash bands."""
-    return simhash.keep_first(docs, minhash.leaders(docs))
+    """One document of each group that SimHash links: four-word shingles, at most four
+    differing bits."""
+    return simhash.keep_first(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
