@@ -42,16 +42,13 @@ def read_pages(spark, folder):
 
 @contextmanager
 def _stream_settings(spark):
-    """State stores on RocksDB, and no more of them than twice the cores."""
+    """State stores on RocksDB."""
     names = (
         "spark.sql.streaming.stateStore.providerClass",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled",
-        "spark.sql.shuffle.partitions",
     )
     old = {n: spark.conf.get(n, None) for n in names}
     jobs.use_rocksdb(spark)
-    cores = spark.sparkContext.defaultParallelism
-    spark.conf.set(names[2], str(min(int(spark.conf.get(names[2])), 2 * cores)))
     try:
         yield
     finally:
@@ -672,8 +669,9 @@ def breaker_replay(spark, folder):
 def breaker_stream(spark, folder):
     events = given.events(spark, folder)
     log = spark.readStream.schema(events.schema).parquet(_stream_path(folder, "events"))
-    stream = breaker.breaker_stream(log, given.failed(), "user_id", "ts", "event_id", RULES)
-    return _drain(stream, "breaker").select(
+    path = scratch_path(spark, "breaker-events")
+    breaker.breaker_stream(log, given.failed(), "user_id", "ts", "event_id", path, RULES).awaitTermination()
+    return breaker.read_breaker(spark, path).select(
         F.col("key").cast("bigint").alias("user_id"),
         F.col("seq").alias("event_id"),
         "late", "state", "total", "failures", "streak",

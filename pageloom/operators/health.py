@@ -153,16 +153,41 @@ def status_counts(attempts: DataFrame, by: Sequence[str] = ("host",)) -> DataFra
 # --- running health ----------------------------------------------------------
 
 
+# What a key's log leaves behind for the log that follows it; ``_replayed`` takes it as the
+# column ``_before``.
+CARRIED = (
+    "struct<total: bigint, failures: bigint, settled: bigint, failed_at: timestamp, "
+    "tripped_at: bigint, tested: struct<trip: bigint, back: bigint, successes: bigint>>"
+)
+
+
+def _carry_on(rows: Keyed, carried: bool, **fields: str) -> Keyed:
+    """Combine running values with those of the key's earlier log: counts add up, of all
+    else the greatest holds."""
+    if not carried:
+        return rows
+    before = {name: F.col(f"_before.{field}") for name, field in fields.items()}
+    return rows.with_df(
+        rows.df.withColumns(
+            {
+                n: F.col(n) + F.coalesce(b, F.lit(0)) if n in ("total", "failures") else F.greatest(F.col(n), b)
+                for n, b in before.items()
+            }
+        )
+    )
+
+
 def _history(
     log: DataFrame,
     failed: Column,
     key: Sequence[str],
     order: Sequence[str],
     rows_per_slice: int,
+    carried: bool = False,
     **more: tuple[str, Column],
 ) -> Keyed:
-    """Add ``failed``, ``total``, ``failures`` and ``streak`` to every event, and
-    ``more`` running values."""
+    """Add ``failed``, ``total``, ``failures``, ``streak`` and ``_settled`` (the failures up
+    to the last success) to every event, and ``more`` running values."""
     rows = spread_keys(
         log.withColumn("failed", F.coalesce(failed, F.lit(False))),
         key,
@@ -175,14 +200,13 @@ def _history(
         failures=("sum", F.col("failed").cast("bigint")),
         **more,
     )
+    rows = _carry_on(rows, carried, total="total", failures="failures")
     # ``failures`` never falls, so its maximum over successes is its value at
     # the last success.
     rows = running(rows, _settled=("max", F.when(~F.col("failed"), F.col("failures"))))
-    return rows.with_df(
-        rows.df.withColumn(
-            "streak", F.col("failures") - F.coalesce("_settled", F.lit(0))
-        ).drop("_settled")
-    )
+    rows = _carry_on(rows, carried, _settled="settled")
+    streak = F.col("failures") - F.coalesce("_settled", F.lit(0))
+    return rows.with_df(rows.df.withColumn("streak", streak))
 
 
 def failure_streak(
@@ -194,7 +218,7 @@ def failure_streak(
 ) -> DataFrame:
     """Events with ``streak``, the failures in a row up to and with this event."""
     rows = _history(log, failed, key, order, rows_per_slice)
-    return rows.result().drop("total", "failures")
+    return rows.result().drop("total", "failures", "_settled")
 
 
 def failure_rate(
@@ -209,7 +233,7 @@ def failure_rate(
     ``min_requests``."""
     rows = _history(log, failed, key, order, rows_per_slice)
     rate = F.when(F.col("total") >= min_requests, F.col("failures") / F.col("total"))
-    return rows.result().drop("streak").withColumn("rate", rate)
+    return rows.result().drop("streak", "_settled").withColumn("rate", rate)
 
 
 def _trip_reason(rules: BreakerRules) -> Column:
@@ -300,22 +324,35 @@ def _wait(rules: BreakerRules) -> Column:
     return F.make_dt_interval(secs=F.lit(rules.recovery_timeout).cast("decimal(18,6)"))
 
 
-def breaker_replay(
+def breaker_state(tripped_at: Column, tested: Column, successes: Column, rules: BreakerRules) -> Column:
+    """The state after an event: ``tripped_at`` numbers the key's last trip, ``tested`` is the
+    first event after it whose wait was over, ``successes`` counts all up to the event."""
+    half_open = tested["trip"] == tripped_at
+    return (
+        F.when(tripped_at.isNull(), "closed")
+        .when(~F.coalesce(half_open, F.lit(False)), "open")
+        .when(successes - tested["successes"] >= rules.success_threshold, "closed")
+        .otherwise("half_open")
+    )
+
+
+def _replayed(
     log: DataFrame,
     failed: Column,
     key: Sequence[str],
     order: Sequence[str],
-    rules: BreakerRules = DEFAULT_RULES,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    """Events with ``state`` after the event (closed, open, half_open), ``total``,
-    ``failures``, ``streak`` and ``last_failure``. ``order`` starts with the
-    timestamp."""
+    rules: BreakerRules,
+    rows_per_slice: int,
+    carried: bool = False,
+) -> Keyed:
+    """``breaker_replay`` with the columns it works with. With ``carried`` each event's
+    ``_before`` (``CARRIED``, or null) holds what its key's earlier log left behind."""
     ts = order[0]
     failed_before = ("max_before", F.when(F.col("failed"), F.col(ts)))
     rows = _history(
-        log, failed, key, order, rows_per_slice, _failed_before=failed_before
+        log, failed, key, order, rows_per_slice, carried, _failed_before=failed_before
     )
+    rows = _carry_on(rows, carried, _failed_before="failed_at")
     rows = rows.with_df(
         rows.df.withColumns(
             {
@@ -330,6 +367,7 @@ def breaker_replay(
     )
     # ``total`` numbers the key's events, so it names the event of the last trip.
     rows = running(rows, _tripped_at=("max", F.when(F.col("_trip"), F.col("total"))))
+    rows = _carry_on(rows, carried, _tripped_at="tripped_at")
     # Of the events since that trip whose wait was over, the first one: the
     # highest trip number, then the lowest event number.
     tested = F.when(
@@ -343,21 +381,50 @@ def breaker_replay(
     rows = running(
         rows, _tested=("max", F.when(F.col("_tripped_at").isNotNull(), tested))
     )
-    half_open = F.col("_tested.trip") == F.col("_tripped_at")
-    passed = F.col("_successes") - F.col("_tested.successes")
-    state = (
-        F.when(F.col("_tripped_at").isNull(), "closed")
-        .when(~F.coalesce(half_open, F.lit(False)), "open")
-        .when(passed >= rules.success_threshold, "closed")
-        .otherwise("half_open")
-    )
-    return (
-        rows.result()
-        .withColumn("state", state)
-        .drop("_failed_before", "_trip", "_waited", "_successes", "_tripped_at", "_tested")
+    rows = _carry_on(rows, carried, _tested="tested")
+    state = breaker_state(F.col("_tripped_at"), F.col("_tested"), F.col("_successes"), rules)
+    return rows.with_df(rows.df.withColumn("state", state))
+
+
+def breaker_replay(
+    log: DataFrame,
+    failed: Column,
+    key: Sequence[str],
+    order: Sequence[str],
+    rules: BreakerRules = DEFAULT_RULES,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Events with ``state`` after the event (closed, open, half_open), ``total``,
+    ``failures``, ``streak`` and ``last_failure``. ``order`` starts with the
+    timestamp."""
+    rows = _replayed(log, failed, key, order, rules, rows_per_slice)
+    return rows.result().drop(
+        "_settled", "_failed_before", "_trip", "_waited", "_successes", "_tripped_at", "_tested"
     )
 
 
+def replay_on(
+    log: DataFrame,
+    failed: Column,
+    key: Sequence[str],
+    order: Sequence[str],
+    rules: BreakerRules = DEFAULT_RULES,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """``breaker_replay`` of a log that goes on from an earlier one, whose leavings are in
+    ``_before``; ``_after`` is what each event leaves behind in turn."""
+    rows = _replayed(log, failed, key, order, rules, rows_per_slice, carried=True)
+    after = F.struct(
+        "total",
+        "failures",
+        F.col("_settled").alias("settled"),
+        F.col("last_failure").alias("failed_at"),
+        F.col("_tripped_at").alias("tripped_at"),
+        F.col("_tested").alias("tested"),
+    ).cast(CARRIED)
+    return rows.result().withColumn("_after", after)
+
+
 def breaker_stats(
     log: DataFrame,
     failed: Column,

@@ -1,5 +1,6 @@
 import csv
 import glob
+import random
 import os
 from datetime import datetime, timedelta
 
@@ -216,7 +217,8 @@ def test_breaker_stream_reports_rows_without_a_place(spark, tmp_path):
     schema = "host string, ts timestamp, seq long, bad boolean"
     arrive(spark, source, rows, schema)
     log = spark.readStream.schema(schema).parquet(source)
-    got = drain(breaker.breaker_stream(log, F.col("bad"), "host", "ts", "seq"), out, mark).collect()
+    breaker.breaker_stream(log, F.col("bad"), "host", "ts", "seq", out, checkpoint=mark).awaitTermination()
+    got = breaker.read_breaker(spark, out).collect()
     assert {(r.key, r.ts, r.seq, r.late, r.total) for r in got} == {
         ("h", start, big, False, 1),
         ("h", None, 3, None, None),
@@ -236,8 +238,8 @@ def test_breaker_stream_equals_replay_and_marks_late_rows(spark, tmp_path):
 
     def run():
         log = spark.readStream.schema(schema).parquet(source)
-        stream = breaker.breaker_stream(log, F.col("bad"), "host", "ts", "seq", rules)
-        return drain(stream, out, mark)
+        breaker.breaker_stream(log, F.col("bad"), "host", "ts", "seq", out, rules, mark).awaitTermination()
+        return breaker.read_breaker(spark, out)
 
     arrive(spark, source, rows[:25][::-1], schema)
     run()
@@ -256,6 +258,46 @@ def test_breaker_stream_equals_replay_and_marks_late_rows(spark, tmp_path):
     assert [r["seq"] for r in got.filter("late").collect()] == [99]
 
 
+def test_breaker_stream_over_many_batches_with_a_hot_key(spark, tmp_path, monkeypatch):
+    """One key holds more than a third of the rows and is cut into slices; the carried table
+    is written whole several times."""
+    monkeypatch.setattr(breaker, "COMPACT", 3)
+    schema = "host string, ts timestamp, seq int, bad boolean"
+    rng = random.Random(7)
+    start = datetime(2024, 1, 1)
+    rules = health.BreakerRules(failure_threshold=3, recovery_timeout=40, success_threshold=2, failure_rate=0.6)
+    rows = []
+    for i in range(480):
+        host = "hot" if rng.random() < 0.4 else rng.choice(["a", "b", "c", None])
+        rows.append((host, start + timedelta(seconds=9 * i + rng.randrange(9)), i, rng.random() < 0.45))
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for at in range(0, 480, 60):
+        arrive(spark, source, rows[at : at + 60][::-1], schema)
+        log = spark.readStream.schema(schema).parquet(source)
+        breaker.breaker_stream(
+            log, F.col("bad"), "host", "ts", "seq", out, rules, mark, rows_per_slice=10
+        ).awaitTermination()
+    columns = ["state", "total", "failures", "streak"]
+    got = breaker.read_breaker(spark, out)
+    replay = health.breaker_replay(spark.createDataFrame(rows, schema), F.col("bad"), ["host"], ["ts", "seq"], rules)
+    want = {tuple(r) for r in replay.select("host", "seq", *columns).collect()}
+    assert {tuple(r) for r in got.select("key", "seq", *columns).collect()} == want and len(want) == 480
+    assert got.filter("late").count() == 0 and {r[2] for r in want} == {"closed", "open", "half_open"}
+    step = breaker._Step(out, f"{mark}/carried", rules, 10)
+    parts = {r[0] for r in step.left_before(spark, 8).select("batch").distinct().collect()}
+    assert parts == {6, 7}
+    # A batch that is run again replaces what it wrote.
+    again = spark.createDataFrame(rows[420:], schema).select(
+        F.col("host").alias("key"), "ts", F.col("seq").cast("bigint").alias("seq"), F.col("bad").alias("failed")
+    )
+    step(again, 7)
+    assert {tuple(r) for r in breaker.read_breaker(spark, out).select("key", "seq", *columns).collect()} == want
+    plan = health.replay_on(
+        again.withColumn("_before", F.lit(None).cast(health.CARRIED)), F.col("failed"), ["key"], ["ts", "seq"], rules
+    )._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_sql_functions(spark):
     html.register(spark)
     spark.createDataFrame(
