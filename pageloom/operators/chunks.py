@@ -12,7 +12,7 @@ from pageloom.functions.html import (
     page_parsed,
 )
 from pageloom.functions.text import chunk_text, content_hash, sanitize_cell
-from pageloom.session import once
+from pageloom.session import materialize, once
 
 
 def drop_failed(pages: DataFrame, content: str = "html") -> DataFrame:
@@ -49,18 +49,28 @@ def dedup_chunks(
 ) -> DataFrame:
     """Keep each content once: the chunk first in ``order``.
 
-    A ``min`` over (order, other columns) per hash, not a ranking window: every
-    task first reduces its own copies, so a text that fills a third of all rows
-    crosses the network once per task.
+    The chunks are written down with a number each. Only hash, order and number are
+    shuffled, to find the chunks that must go: those behind the first of their hash. These
+    are taken out of the written table by their number, so no content is in a sort or an
+    aggregation, and none is shuffled as long as the repeats are few. A text that fills a
+    third of all rows is reduced before the shuffle, and its rows are split between tasks
+    when they are compared with the first.
     """
     rest = [c for c in chunks.columns if c not in (*order, "content_hash")]
-    first = F.min(F.struct(*order, *rest)).alias("first")
-    return chunks.groupBy("content_hash").agg(first).select(
-        *[
-            "content_hash" if c == "content_hash" else F.col(f"first.{c}").alias(c)
-            for c in chunks.columns
-        ]
+    written = materialize(chunks.withColumn("_row", F.monotonically_increasing_id()), "chunks")
+    # Chunks alike in order and hash are told apart by what else they hold.
+    tie = F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
+    place = F.struct(*order, tie.alias("_tie"), "_row")
+    repeated = materialize(
+        written.groupBy("content_hash")
+        .agg(F.min(place).alias("_first"), F.count("*").alias("_copies"))
+        .filter("_copies > 1")
+        .select(F.col("content_hash").alias("_hash"), F.col("_first._row").alias("_kept")),
+        "repeated",
     )
+    again = written.select("content_hash", "_row").join(repeated, F.col("content_hash").eqNullSafe(F.col("_hash")))
+    gone = materialize(again.filter("_row <> _kept").select("_row"), "gone")
+    return written.join(gone, "_row", "left_anti").select(*chunks.columns)
 
 
 def export_chunks(chunks: DataFrame) -> DataFrame:

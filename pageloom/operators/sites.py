@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.urls import SITE_MATCHES, netloc, should_follow
 from pageloom.operators.running import ROWS_PER_SLICE, running, spread_keys
+from pageloom.session import materialize
 
 
 def fetch_lookup(
@@ -24,30 +25,59 @@ def fetch_lookup(
     )
 
 
-def _site_candidates(where: Column, site_match: str, lengths: Sequence[int] = ()) -> Column:
-    """Every string a site may be written as to match this authority; of substrings
-    those of the given lengths."""
+# Characters of the pieces by which sites are looked up.
+GRAM = 4
+
+
+def _site_forms(where: Column, site_match: str) -> Column:
+    """Every string a site may be written as to match this authority."""
     if site_match == "exact":
         return F.array(where)
-    if site_match == "suffix":
-        labels = F.split(where, r"\.")
-        starts = F.sequence(F.lit(1), F.size(labels))
-        return F.transform(
-            starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-        )
-    size = F.length(where)
-    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= size)
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                fitting,
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), size - n + 1),
-                    lambda i: F.substring(where, i, n),
-                ),
-            )
+    labels = F.split(where, r"\.")
+    starts = F.sequence(F.lit(1), F.size(labels))
+    return F.transform(
+        starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    )
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` characters."""
+    last = F.length(text) - size + 1
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, size))
+    return F.when(last >= 1, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def contained_candidates(places: DataFrame, names: DataFrame, size: int = GRAM) -> DataFrame:
+    """(_netloc, site): authorities with the sites they may contain, from distinct
+    ``_netloc`` and distinct, non-empty ``site``.
+
+    Every site is filed under one of its pieces of ``size`` characters, or under itself if
+    it is shorter; an authority looks up each of its own pieces. A site's piece is the one
+    that costs least: held by few authorities, and by few sites. So neither ``.com`` nor a
+    piece that most sites have becomes a key unless a site holds nothing else. A site with
+    a piece that no authority holds is contained in none.
+    """
+    sizes = names.select(F.least(F.length("site"), F.lit(size)).alias("n")).distinct().collect()
+    of_place = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_netloc"), r["n"]) for r in sizes])))
+    if not sizes:
+        return places.select("_netloc", F.lit(None).cast("string").alias("site")).limit(0)
+    held = materialize(places.select("_netloc", F.explode(of_place).alias("gram")), "grams")
+    own = F.when(F.length("site") < size, F.array("site")).otherwise(_grams(F.col("site"), size))
+    filed = materialize(names.select("site", F.size(own).alias("grams"), F.explode(own).alias("gram")), "site-grams")
+    cost = held.groupBy("gram").agg(F.count("*").alias("places")).join(
+        filed.groupBy("gram").agg(F.count("*").alias("sites")), "gram"
+    )
+    best = (
+        filed.join(cost, "gram")
+        .groupBy("site", "grams")
+        .agg(
+            F.min(F.struct((F.col("places") * F.col("sites")).alias("cost"), "gram")).alias("best"),
+            F.count("*").alias("known"),
         )
+        .filter("known = grams")
+        .select("site", F.col("best.gram").alias("gram"))
     )
+    return held.join(best, "gram").select("_netloc", "site")
 
 
 def assign_site(
@@ -55,30 +85,22 @@ def assign_site(
 ) -> DataFrame:
     """Each URL with every site that covers it.
 
-    The authority's substrings (suffixes, or itself) are looked up by equality,
-    on distinct authorities only, so no pairwise comparison of URLs and sites
-    takes place however many sites there are. Only substrings as long as some site
-    are looked up; the lengths in use, at most as many as the longest site has
-    characters, are collected for that.
+    Suffixes of the authority, or itself, are looked up by equality; in ``contains`` mode
+    each site is looked up by one of its pieces and the containment verified. Only distinct
+    authorities are looked up, and no pairwise comparison of URLs and sites takes place
+    however many sites there are.
     """
     if site_match not in SITE_MATCHES:
         raise ValueError(f"site_match must be one of {SITE_MATCHES}")
-    lengths = []
-    if site_match == "contains":
-        used = sites.select(F.length("site").alias("n")).filter("n > 0").distinct()
-        lengths = sorted(r["n"] for r in used.collect())
     placed = urls.withColumn("_netloc", netloc(F.col("url")))
-    covered = (
-        placed.select("_netloc")
-        .filter("_netloc <> ''")
-        .distinct()
-        .select(
-            "_netloc",
-            F.explode(_site_candidates(F.col("_netloc"), site_match, lengths)).alias("site"),
-        )
-        .join(sites, "site")
-    )
-    return placed.join(covered, "_netloc").drop("_netloc")
+    places = placed.select("_netloc").filter("_netloc <> ''").distinct()
+    if site_match == "contains":
+        names = sites.select("site").filter("site <> ''").distinct()
+        found = contained_candidates(places, names)
+        found = found.filter(F.contains(F.col("_netloc"), F.col("site")))
+    else:
+        found = places.select("_netloc", F.explode(_site_forms(F.col("_netloc"), site_match)).alias("site"))
+    return placed.join(found.join(sites, "site"), "_netloc").drop("_netloc")
 
 
 def follow_by_site(

@@ -1,10 +1,11 @@
+import random
 import ipaddress
 import random
 
 from pyspark.sql import functions as F
 
 from pageloom.functions import nets
-from pageloom.operators import hosts
+from pageloom.operators import hosts, sites
 
 DROP = ["localhost", "127.9.9.9", "10.0.0.1", "169.254.169.254", "192.0.2.1", "240.0.0.1"]
 DROP_V6 = ["::1", "fe80::1", "64:ff9b::1"]
@@ -64,3 +65,26 @@ def test_resolved_hosts(spark):
     df = urls_of(spark, ["h.example", "ok.example", "six.example", "none.example", "10.0.0.1"])
     got = {r["url"].split("@")[1] for r in hosts.resolved_host_check(df, dns).collect()}
     assert got == {"ok.example:80/x", "none.example:80/x"}
+
+
+def test_contained_sites_are_found_by_rare_pieces(spark):
+    rng = random.Random(11)
+    hosts = [f"shop{i}.example{i % 7}.com" for i in range(200)] + ["a.io", "io", "xn--e1a.test:8080", "é.de"]
+    names = [f"shop{i}.example{i % 7}.com" for i in range(0, 200, 3)] + [f"missing{i}.com" for i in range(300)]
+    names += ["example3", ".com", "io", "a", "é", "8080", "", "nowhere.test", "shop1", "mple5.c"]
+    urls = spark.createDataFrame([(f"http://{h}/p{rng.randrange(3)}",) for h in hosts for _ in range(2)], "url string")
+    table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "site string, plan int")
+    got = sorted(tuple(r) for r in sites.assign_site(urls, table).select("url", "site", "plan").collect())
+    where = [r.url for r in urls.collect()]
+    want = sorted((u, n, i) for u in where for i, n in enumerate(names) if n and n in u.split("/")[2])
+    assert got == want
+    places = spark.createDataFrame([(h,) for h in hosts], "_netloc string")
+    filed = table.select("site").filter("site <> ''").distinct()
+    rows = sites.contained_candidates(places, filed).count()
+    true = sum(n in h for h in hosts for n in set(names) if n)
+    # A site per substring would be looked up some 40,000 times, ".com" alone match 200.
+    assert true <= rows <= 1.3 * true
+    assert sites.assign_site(urls, table.limit(0)).count() == 0
+    assert sites.assign_site(urls.limit(0), table).count() == 0
+    twice = sites.assign_site(urls.limit(1), table.filter("site = '.com'").union(table.filter("site = '.com'")))
+    assert twice.count() == 2

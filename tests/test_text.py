@@ -217,3 +217,29 @@ def test_dedup_keeps_first_and_gaps(spark):
 def test_hash_is_taken_before_sanitising(spark):
     pages = spark.createDataFrame([("u1", "=1"), ("u2", "=1"), ("u3", "")], "url string, html string")
     assert [tuple(r) for r in pages_to_chunks(pages).collect()] == [("u1", "'=1", 1)]
+
+
+def test_dedup_keeps_first_and_sorts_no_content(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        text = rng.choice(["hot"] * 20 + [f"t{rng.randrange(80)}"] * 20 + [None])
+        rows.append((f"u{rng.randrange(60)}", rng.randrange(3), text, text and f"h{text}", rng.randrange(2)))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "url string, chunk_number int, content string, content_hash string, extra int")
+    found = chunks.dedup_chunks(df)
+    got = [tuple(r) for r in found.collect()]
+    best = {}
+    for r in rows:
+        best.setdefault(r[3], []).append(r[:2])
+    assert sorted((r[3] or "", *r[:2]) for r in got) == sorted((h or "", *min(v)) for h, v in best.items())
+    assert found.columns == df.columns and set(got) <= set(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "content#" in plan
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(repr, chunks.dedup_chunks(df).collect())) == sorted(map(repr, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert chunks.dedup_chunks(df.limit(0)).count() == 0
