@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pageloom.catalog import inputs as given
 from pageloom.functions import charset, html, nets, retry, text, urls
 from pageloom.operators import chunks, graph, health, hosts, links, reports, sites
-from pageloom.plans.corpus import crawl_to_chunks, pages_to_chunks
+from pageloom.plans.corpus import crawl_run, crawl_to_chunks, pages_to_chunks
 from pageloom.session import materialize, scratch_path
 from pageloom.sources import pages as sources
 from pageloom.sources import sinks
@@ -649,6 +649,22 @@ def crawl_to_chunks(spark, folder, job=crawl_to_chunks):
     return _export(records)
 
 
+@query
+def crawl_totals(spark, folder):
+    """Totals of the whole job, from what one crawl wrote."""
+    answers = spark.createDataFrame([("docs.example", "93.184.216.34"), ("elsewhere.test", "10.0.0.1")], "host string, ip string")
+    run = crawl_run(
+        spark,
+        f"{given.SITE}/doc/0",
+        given.document_site(spark, folder),
+        max_depth=None,
+        exclude_keywords=["/doc/5"],
+        split_length=WIDTH,
+        dns=answers,
+    )
+    return run.totals()
+
+
 @query
 def pages_export(spark, folder):
     return _export(pages_to_chunks(given.pages(spark, folder), 2000))

@@ -225,6 +225,7 @@ def crawl(
     include_seed: bool = False,
     parsed: bool = True,
     breaker: BreakerRules | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
     **filters,
 ) -> DataFrame:
     """(url, depth) found by following links from the seeds.
@@ -232,7 +233,8 @@ def crawl(
     Content comes from a ``pages`` snapshot (url, html), or from ``fetch``, which
     gets a level's (url) rows and returns (url, html). The snapshot is parsed
     once into an edge table. Seeds are not filtered, and found URLs without a
-    page stay in the result. ``filters`` go to ``should_follow``.
+    page stay in the result. ``filters`` go to ``should_follow``; of the links that pass,
+    ``keep`` may take (src, dst) rows away, by a join with a table, say.
 
     With ``breaker`` the crawl ends by health. ``pages`` or ``fetch`` then give outcomes:
     (url, html, failed, ts), one row for each attempt. A level's attempts are ordered by
@@ -242,9 +244,10 @@ def crawl(
     """
     if (pages is None) == (fetch is None):
         raise ValueError("give either pages or fetch")
+    keep = keep or (lambda edges: edges)
     if fetch is None and breaker is None:
         near = visitable(pages, seeds, **filters)
-        edges = materialize(build_edges(near, parsed, **filters), "edges")
+        edges = materialize(keep(build_edges(near, parsed, **filters)), "edges")
         return reach(edges, seeds, max_depth, max_levels, include_seed)
     if fetch is None:
         near = visitable(pages, seeds, **filters)
@@ -256,7 +259,7 @@ def crawl(
     read = watched or fetch
 
     def expand(frontier: DataFrame) -> DataFrame:
-        edges = build_edges(read(frontier), parsed, **filters)
+        edges = keep(build_edges(read(frontier), parsed, **filters))
         return edges.select(F.col("dst").alias("url")).distinct()
 
     ended = watched.ended if watched else (lambda: False)

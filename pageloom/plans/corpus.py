@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.functions.nets import LOCAL_NAMES, public_literal
+from pageloom.functions.nets import LOCAL_NAMES, is_public_host, public_literal
 from pageloom.functions.text import chunk_text
-from pageloom.functions.urls import EXCLUDED_PROTOCOLS, WEB_SCHEMES
+from pageloom.functions.urls import EXCLUDED_PROTOCOLS, WEB_SCHEMES, netloc
 from pageloom.operators.chunks import (
     chunk_pages,
     dedup_chunks,
@@ -20,7 +21,9 @@ from pageloom.operators.chunks import (
     page_texts,
 )
 from pageloom.operators.graph import crawl, drop_visited, reach, visitable
+from pageloom.operators.hosts import resolved_host_check
 from pageloom.operators.links import followed
+from pageloom.operators.reports import run_summary
 from pageloom.session import materialize, scratch_path
 from pageloom.sources.pages import PAGES
 
@@ -32,17 +35,6 @@ def pages_to_chunks(
     return export_chunks(dedup_chunks(chunk_pages(pages, split_length, parsed)))
 
 
-def found_chunks(
-    found: DataFrame, pages: DataFrame, split_length: int | None = 2000, parsed: bool = True
-) -> DataFrame:
-    """Chunks of the pages whose URL is in ``found``, with hashes, all copies.
-
-    Text is extracted below the join, so that text and not HTML is shuffled.
-    """
-    texts = page_texts(pages, parsed).join(found.select("url"), "url", "left_semi")
-    return hash_chunks(chunk_text(texts, "text", split_length))
-
-
 class _Fetched:
     """A fetch callable that asks for each URL once and keeps what came back."""
 
@@ -66,7 +58,45 @@ class _Fetched:
         return self.spark.read.schema(PAGES).parquet(self.pages)
 
 
-def crawl_to_chunks(
+@dataclass(frozen=True)
+class CrawlRun:
+    """What one crawl left in written tables: ``found`` (url, depth), ``texts`` (url, text) of
+    the pages that came back, ``chunks`` with all copies and ``kept`` with each content once."""
+
+    found: DataFrame
+    texts: DataFrame
+    chunks: DataFrame
+    kept: DataFrame
+
+    def records(self) -> DataFrame:
+        """The export records."""
+        return export_chunks(self.kept)
+
+    def totals(self) -> DataFrame:
+        """Per site and over all (site NULL): URLs found, processed and failed, chunks
+        written, duplicates dropped and the deepest level. Counts the written tables; nothing
+        is crawled or read again."""
+        done = self.texts.select("url").distinct().withColumn("outcome", F.lit("processed"))
+        looked_up = self.found.join(done, "url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("failed")))
+        per_site = run_summary(looked_up, self.chunks, self.kept)
+        deepest = self.found.groupBy(netloc(F.col("url")).alias("site")).agg(F.max("depth").alias("deepest"))
+        sums = [c for c in per_site.columns if c != "site"]
+        return (
+            per_site.join(deepest, "site", "left")
+            .rollup("site")
+            .agg(*[F.sum(c).alias(c) for c in sums], F.max("deepest").alias("deepest"))
+        )
+
+
+def _private(host: str, dns: DataFrame | None) -> bool:
+    """Whether the table resolves this one host to an address that is not public."""
+    if dns is None:
+        return False
+    answers = dns.filter(F.lower("host") == host.lower())
+    return not answers.filter(~is_public_host(F.col("ip"))).isEmpty()
+
+
+def crawl_run(
     spark: SparkSession,
     domain: str,
     pages: DataFrame | None = None,
@@ -82,17 +112,22 @@ def crawl_to_chunks(
     check_host: bool = True,
     parsed: bool = True,
     max_levels: int | None = None,
-) -> DataFrame:
-    """Crawl one site from ``domain`` and return its export records: text of every
-    found page, cut, deduplicated and sanitised. A ``fetch`` callable is asked for
-    each URL once."""
+    dns: DataFrame | None = None,
+) -> CrawlRun:
+    """Crawl one site from ``domain``: text of every found page, cut, hashed, deduplicated. A
+    ``fetch`` callable is asked for each URL once.
+
+    ``dns`` (host, ip) is a table of resolved names. A domain that resolves to a private
+    address is refused, and links to hosts that do are not followed. A host it does not know
+    passes, as one that can't be resolved does.
+    """
     if split_length is not None and split_length < 1:
         raise ValueError("a chunk needs at least one character")
     parts = urlsplit(domain)
     if parts.scheme not in WEB_SCHEMES or not parts.netloc:
         raise ValueError("domain must be an http or https URL with a host")
     host = parts.hostname or ""
-    if check_host and (host in LOCAL_NAMES or not public_literal(host)):
+    if check_host and (host in LOCAL_NAMES or not public_literal(host) or _private(host, dns)):
         raise ValueError("domain is a local, private or reserved host")
     seeds = spark.createDataFrame([(domain,)], "url string")
     filters = dict(
@@ -105,17 +140,31 @@ def crawl_to_chunks(
     )
     if (pages is None) == (fetch is None):
         raise ValueError("give either pages or fetch")
+
+    def resolvable(edges: DataFrame) -> DataFrame:
+        if dns is None or not check_host:
+            return edges
+        return resolved_host_check(edges, dns, "dst").select("src", "dst")
+
     if fetch:
         fetch = _Fetched(spark, fetch)
         found = crawl(
-            seeds, None, fetch, max_depth, max_levels, include_seed, parsed, **filters
+            seeds, None, fetch, max_depth, max_levels, include_seed, parsed, keep=resolvable, **filters
         )
-        chunks = found_chunks(found, fetch.all_pages(found), split_length, parsed)
-        return export_chunks(dedup_chunks(chunks))
-    # HTML is read and parsed once: links and text come from the same pass.
-    read = materialize(page_contents(visitable(pages, seeds, **filters), parsed), "contents")
-    hrefs = read.select("url", F.explode("hrefs").alias("href"))
-    edges = materialize(followed(hrefs, **filters), "edges")
-    found = reach(edges, seeds, max_depth, max_levels, include_seed)
-    texts = read.select("url", "text").join(found.select("url"), "url", "left_semi")
-    return export_chunks(dedup_chunks(hash_chunks(chunk_text(texts, "text", split_length))))
+        texts = page_texts(fetch.all_pages(found), parsed)
+    else:
+        # HTML is read and parsed once: links and text come from the same pass.
+        read = materialize(page_contents(visitable(pages, seeds, **filters), parsed), "contents")
+        hrefs = read.select("url", F.explode("hrefs").alias("href"))
+        edges = materialize(resolvable(followed(hrefs, **filters)), "edges")
+        found = reach(edges, seeds, max_depth, max_levels, include_seed)
+        texts = read.select("url", "text")
+    texts = materialize(texts.join(found.select("url"), "url", "left_semi"), "texts")
+    chunks = hash_chunks(chunk_text(texts, "text", split_length))
+    return CrawlRun(found, texts, chunks, dedup_chunks(chunks))
+
+
+def crawl_to_chunks(spark: SparkSession, domain: str, *args, **options) -> DataFrame:
+    """The export records of ``crawl_run``, which takes the same arguments: text of every
+    found page, cut, deduplicated and sanitised."""
+    return crawl_run(spark, domain, *args, **options).records()

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from pageloom.operators import graph
-from pageloom.plans.corpus import crawl_to_chunks
+from pageloom.plans.corpus import crawl_run, crawl_to_chunks
 
 EDGES = [("s", "a"), ("s", "b"), ("a", "c"), ("b", "a"), ("c", "d"), ("d", "a")]
 
@@ -306,3 +306,36 @@ def test_trips_are_counted_on_from_log_to_log(spark):
         trip, after = next_trip(log("oxxx"), F.col("bad"), ["n"], totals, rules, size)
         assert trip is None and after == Totals(10, 7, 3)
         assert next_trip(log(""), F.col("bad"), ["n"], totals, rules, size) == (None, totals)
+
+
+@pytest.mark.parametrize("fetched", [False, True])
+def test_crawl_totals_and_dns(spark, fetched):
+    rows = [
+        ("http://s.t/", "<p>home</p>" + link("/a", "http://in.s.t/x", "http://out.s.t/y", "/gone")),
+        ("http://s.t/a", "<p>page x x</p>"),
+        ("http://in.s.t/x", "<p>inside</p>" + link("http://s.t/hidden")),
+        ("http://out.s.t/y", "<p>page</p>" + link("/z", "/empty")),
+        ("http://out.s.t/z", "<p>last</p>"),
+        ("http://out.s.t/empty", ""),
+        ("http://s.t/hidden", "<p>hidden</p>"),
+    ]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    dns = spark.createDataFrame(
+        [("in.s.t", "10.1.2.3"), ("out.s.t", "8.8.8.8"), ("s.t", "8.8.4.4"), ("bad.t", "::1")], "host string, ip string"
+    )
+    source = {"fetch": lambda urls: pages.join(urls, "url", "left_semi")} if fetched else {"pages": pages}
+    run = crawl_run(spark, "http://s.t/", max_depth=None, dns=dns, **source)
+    assert found(run.found) == {
+        "http://s.t/a": 1, "http://out.s.t/y": 1, "http://s.t/gone": 1, "http://out.s.t/z": 2, "http://out.s.t/empty": 2,
+    }
+    totals = {r.site: tuple(r)[1:] for r in run.totals().collect()}
+    assert totals == {"s.t": (2, 1, 1, 0, 1, 1), "out.s.t": (3, 2, 1, 2, 0, 2), None: (5, 3, 2, 2, 1, 2)}
+    assert sorted((r.URL, r.Content) for r in run.records().collect()) == [
+        ("http://out.s.t/y", "page x x"), ("http://out.s.t/z", "last"),
+    ]
+    free = crawl_run(spark, "http://s.t/", max_depth=None, **source)
+    assert {"http://in.s.t/x", "http://s.t/hidden"} <= set(found(free.found))
+    for name in ("http://bad.t/", "http://BAD.t/"):
+        with pytest.raises(ValueError):
+            crawl_run(spark, name, pages, dns=dns)
+    assert crawl_run(spark, "http://bad.t/", pages, dns=dns, check_host=False).found.count() == 0
