@@ -75,8 +75,9 @@ QUOTES = r"""^["']|["']$"""
 
 
 def _elements(tags: tuple[str, ...]) -> str:
-    """Comments, and the named elements with all they hold, after their ``<``."""
-    return rf"!--.*?-->|({'|'.join(tags)})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\z)"
+    """Comments, and the named elements with all they hold, after their ``<``. What is not
+    closed reaches to the end of the text, so no part of the text is searched twice."""
+    return rf"!--.*?(?:-->|\z)|({'|'.join(tags)})(?=[\s/>])[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)"
 
 
 def strip_elements(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
@@ -132,7 +133,7 @@ def decode_entities(c: Column) -> Column:
 def html_to_text(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
     """Visible text with single blanks, inside the JVM. Comments, dropped elements
     and tags go in one pass."""
-    bare = F.regexp_replace(c, f"(?is)<(?:{_elements(tags)}|[/!?a-z][^>]*+>)", " ")
+    bare = F.regexp_replace(c, f"(?is)<(?:{_elements(tags)}|[/!?a-z][^>]*+(?:>|\\z))", " ")
     return normalize_ws(decode_entities(bare))
 
 
