@@ -264,3 +264,49 @@ def test_unclosed_markup_reaches_to_the_end(spark):
     df = spark.createDataFrame([(r,) for r in rows], "html string")
     got = [r[0] for r in df.select(html.html_to_text(F.col("html"))).collect()]
     assert got == ["a", "a", "a", "a", "a", "a c e", "a < b", "a c"]
+
+
+# Everyday words of a few languages.
+WORDS = {
+    "ru": "и в не он на я что тот быть с весь это как она по но они к у ты из мы за вы так же от сказать этот который мочь человек о один ещё бы такой только себя своё какой когда уже для вот кто да говорить год знать мой до или если время рука нет самый ни стать большой даже другой наш под где дело есть сам раз чтобы два там чем глаз жизнь первый день тут ничто потом очень со хотеть ли при голова надо без видеть идти теперь тоже стоять друг дом сейчас можно после слово здесь думать место спросить через лицо тогда",
+    "pl": "być w i z na że do nie się o jak ale po co który mieć to od za przez dla jest już tylko może czy więc jeszcze bardzo gdzie kiedy wszystko dobrze człowiek życie dzień świat książka miłość pieniądze źródło żółty ciężki święto ręka głowa noc księżyc słońce wiedzieć chcieć mówić każdy pierwszy drugi wielki mały nowy stary też sobie został między później właśnie można trzeba zawsze nigdy często długo",
+    "cs": "být ten v na a se že s z mít do o který on k i jeho ale po když já od pro muset za moci rok svůj všechen jen jít už dva člověk další jak u první říci také velký před jeden než protože nebo žena čas vědět nový chtít dítě život věc místo ruka oko dům ještě práce slovo více malý dobrý země město strana svět přijít škola děkuji řeka žlutý šest čtyři",
+    "fr": "le de un à être et en avoir que pour dans ce il qui ne sur se pas plus pouvoir par je avec tout faire son mettre autre on mais nous comme ou si leur y dire elle devoir avant deux même prendre aussi celui donner bien où fois vous encore nouveau aller cela entre premier vouloir déjà grand mon me moins aucun lui temps très savoir falloir voir quelque sans raison notre dont non an monde jour monsieur demander alors après trouver personne rendre part dernier venir pendant passer peu lequel suite bon comprendre depuis point ainsi heure rester français été élève hôtel",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei schön größer können müssen möchte früh Straße Übung Äpfel Öl fünf zwölf Mädchen Tür",
+    "ja": "これは日本語の文章です 今日はとても良い天気ですね 私は毎日学校へ行きます 東京の人口は多い 新しい本を読みたいと思います カメラとテレビを買いました 電車で会社に通っています 友達と映画を見るのが好きです 明日の会議は午後三時から始まります ありがとうございました 子供たちは公園で遊んでいる 料理を作ることは楽しい",
+    "zh": "今天天气很好 我们一起去学校学习 中国的历史非常悠久 他是一个很好的老师 这本书的内容很有意思 请问你叫什么名字 我喜欢看电影和听音乐 北京是中国的首都 经济发展带来了很多变化 大家都应该保护环境 昨天晚上我在家里吃饭 明年我想去国外旅行 工作和生活都很重要 科学技术不断进步",
+}
+
+
+@pytest.mark.parametrize(
+    "language, name",
+    [("ru", "windows-1251"), ("ru", "koi8-r"), ("pl", "iso-8859-2"), ("pl", "windows-1250"), ("cs", "iso-8859-2"),
+     ("fr", "windows-1252"), ("de", "windows-1252"), ("ja", "shift_jis"), ("ja", "euc-jp"), ("zh", "gbk"), ("zh", "big5")],
+)
+def test_undeclared_pages_are_decoded_by_likelihood(spark, language, name):
+    rng = random.Random(1)
+    words = WORDS[language].split()
+    pages = []
+    for i in range(60):
+        some = [rng.choice(words) for _ in range(rng.randrange(15, 80))]
+        some = [w.capitalize() if rng.random() < 0.15 else w.upper() if rng.random() < 0.03 else w for w in some]
+        text = f"<html><title>Page {i}</title><p class='x'>" + " ".join(some) + ". © 2024 </p></html>"
+        text = text.encode(name, "ignore").decode(name)
+        if not text.isascii():
+            pages.append((i, text, bytearray(text.encode(name))))
+    assert len(pages) > 50
+    df = spark.createDataFrame(pages, "id int, text string, body binary")
+    got = df.select("text", charset.decode_body(F.col("body"), F.lit(None).cast("string")).alias("t")).collect()
+    assert sum(r.text == r.t for r in got) >= 0.95 * len(got)
+
+
+def test_guess_needs_no_declaration_only_where_there_is_none(spark):
+    text = "Привет, как дела"
+    rows = [
+        (text.encode("koi8-r"), "koi8-r"), (text.encode(), "utf-8"), (b"plain", "utf-8"), (b"", "utf-8"),
+        (b"<meta charset=iso-8859-5>" + text.encode("koi8-r"), "iso-8859-5"), (b"caf\xe9", "windows-1252"),
+        (b"\xe9", "windows-1252"), (None, None), ("日本語の文章です".encode("shift_jis") + b"\x93", "shift_jis"),
+    ]
+    df = spark.createDataFrame([(b and bytearray(b), w) for b, w in rows], "body binary, want string")
+    got = df.select("want", charset.detect_charset(F.col("body")).alias("got")).collect()
+    assert [(r.want, r.got) for r in got if r.want] == [(w, w) for _, w in rows if w]
