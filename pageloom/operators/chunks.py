@@ -44,6 +44,17 @@ def chunk_pages(
     return hash_chunks(chunk_text(page_texts(pages, parsed), "text", split_length))
 
 
+def _repeated(written: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(_hash, _kept): the hashes that several rows have, and the row to keep."""
+    place = F.struct(*order, "_tie", "_row")
+    return (
+        written.groupBy("content_hash")
+        .agg(F.min(place).alias("_first"), F.count("*").alias("_copies"))
+        .filter("_copies > 1")
+        .select(F.col("content_hash").alias("_hash"), F.col("_first._row").alias("_kept"))
+    )
+
+
 def dedup_chunks(
     chunks: DataFrame, order: tuple[str, ...] = ("url", "chunk_number")
 ) -> DataFrame:
@@ -57,17 +68,10 @@ def dedup_chunks(
     when they are compared with the first.
     """
     rest = [c for c in chunks.columns if c not in (*order, "content_hash")]
-    written = materialize(chunks.withColumn("_row", F.monotonically_increasing_id()), "chunks")
     # Chunks alike in order and hash are told apart by what else they hold.
     tie = F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
-    place = F.struct(*order, tie.alias("_tie"), "_row")
-    repeated = materialize(
-        written.groupBy("content_hash")
-        .agg(F.min(place).alias("_first"), F.count("*").alias("_copies"))
-        .filter("_copies > 1")
-        .select(F.col("content_hash").alias("_hash"), F.col("_first._row").alias("_kept")),
-        "repeated",
-    )
+    written = materialize(chunks.withColumns({"_row": F.monotonically_increasing_id(), "_tie": tie}), "chunks")
+    repeated = materialize(_repeated(written, order), "repeated")
     again = written.select("content_hash", "_row").join(repeated, F.col("content_hash").eqNullSafe(F.col("_hash")))
     gone = materialize(again.filter("_row <> _kept").select("_row"), "gone")
     return written.join(gone, "_row", "left_anti").select(*chunks.columns)

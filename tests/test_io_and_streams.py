@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import html
 from pageloom.operators import chunks, health, reports, sites
+from pageloom.session import materialize
 from pageloom.sources import pages as sources
 from pageloom.sources import sinks
 from pageloom.streaming import breaker, jobs
@@ -86,10 +87,16 @@ def test_scan_reads_only_what_is_needed(spark, folder):
 
 
 def test_dedup_reduces_before_the_shuffle(spark, folder):
-    df = chunks.dedup_chunks(chunks.chunk_pages(sources.read_pages(spark, f"{folder}/pages.parquet")))
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    cut = chunks.chunk_pages(sources.read_pages(spark, f"{folder}/pages.parquet"))
+    written = materialize(cut.withColumns({"_row": F.monotonically_increasing_id(), "_tie": F.lit(0)}), "cut")
+    repeated = chunks._repeated(written, ("url", "chunk_number"))
+    plan = repeated._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange hashpartitioning") :]
     assert "partial_min" in below and "Window" not in plan
+    # No text is shuffled, sorted or held by the reduction.
+    assert "content#" not in plan and "content:" not in plan and "Sort" in plan
+    df = chunks.dedup_chunks(cut)
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_run_summary_and_audit(spark):
