@@ -103,6 +103,13 @@ def write_chunks_by_site(spark, folder):
     return written.select("site", "url", "chunk_number", "content")
 
 
+@query
+def write_site_buckets(spark, folder):
+    path = scratch_path(spark, "site-buckets")
+    sinks.write_site_buckets(_page_chunks(spark, folder), path, 8)
+    return sinks.site_manifest(spark, path).groupBy("site").agg(F.sum("chunks").alias("chunks"))
+
+
 @query
 def write_chunks_stream(spark, folder):
     stream = jobs.extract_stream(_page_stream(spark, folder), WIDTH)

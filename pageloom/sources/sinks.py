@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,6 +48,44 @@ def write_chunks_by_site(
     ).save(path)
 
 
+def write_site_buckets(chunks: DataFrame, path: str, buckets: int = 1024, format: str = "parquet") -> None:
+    """The same for any number of sites: sites share ``buckets`` directories by their hash.
+
+    Small sites share files, a large one gets several: there are about as many files as
+    buckets, and more only where a bucket is too big for one task. Rows of a file are sorted by
+    site, so a reader skips what it does not need. ``_manifest`` below ``path`` lists
+    (bucket, site, chunks).
+    """
+    if buckets < 1:
+        raise ValueError("at least one bucket is needed")
+    site = safe_dir_name(netloc(F.col("url")))
+    placed = chunks.withColumn("site", site).withColumn("bucket", _bucket(F.col("site"), buckets))
+    dealt = placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "site")
+    dealt.write.mode("overwrite").partitionBy("bucket").format(format).save(path)
+    spark = chunks.sparkSession
+    written = spark.read.format(format).schema(placed.schema).load(path)
+    listed = written.groupBy("bucket", "site").agg(F.count("*").alias("chunks"))
+    listed.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/_manifest")
+
+
+def _bucket(site: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(site), F.lit(buckets)).cast("int")
+
+
+def site_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, site, chunks, buckets) of a folder that ``write_site_buckets`` wrote."""
+    return spark.read.schema("bucket int, site string, chunks bigint, buckets int").parquet(f"{path}/_manifest")
+
+
+def read_site(spark: SparkSession, path: str, site: str, format: str = "parquet") -> DataFrame:
+    """The chunks of one site, read from its bucket alone."""
+    known = site_manifest(spark, path).select("buckets").first()
+    every = spark.read.format(format).load(path)
+    if known is None:
+        return every.limit(0)
+    return every.filter((F.col("bucket") == _bucket(F.lit(site), known["buckets"])) & (F.col("site") == site)).drop("bucket")
+
+
 def write_chunks_stream(
     chunks: DataFrame, path: str, checkpoint: str | None = None, once: bool = True
 ) -> StreamingQuery:

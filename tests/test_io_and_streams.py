@@ -62,6 +62,28 @@ def test_by_site(spark, tmp_path):
     assert {d for d in os.listdir(path) if "=" in d} == {"site=a.b_80", "site=c"}
 
 
+def test_site_buckets_bound_the_files_and_prune(spark, tmp_path):
+    """A hundred thousand sites share 16 directories; one site is read from one of them."""
+    path = str(tmp_path / "out")
+    n = F.col("id")
+    url = F.concat(F.lit("http://s"), F.when(n % 3 == 0, 0).otherwise(n).cast("string"), F.lit(".t/x"))
+    cut = spark.range(150_000).select(url.alias("url"), n.cast("int").alias("chunk_number"), F.lit("text").alias("content"))
+    sinks.write_site_buckets(cut, path, 16)
+    files = glob.glob(f"{path}/bucket=*/*.parquet")
+    assert len(os.listdir(path)) <= 16 + 3 and len(files) <= 32
+    manifest = sinks.site_manifest(spark, path)
+    assert manifest.agg(F.count("*"), F.sum("chunks")).first()[:] == (100_001, 150_000)
+    for site, rows in (("s0.t", 50_000), ("s7.t", 1), ("s3.t", 0), ("other", 0)):
+        read = sinks.read_site(spark, path, site)
+        assert read.count() == rows and read.columns == ["url", "chunk_number", "content", "site"]
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "(bucket#" in plan[plan.index("PartitionFilters") :] and "EqualTo(site" in plan
+    sinks.write_site_buckets(cut.limit(0), path, 4)
+    assert sinks.site_manifest(spark, path).count() == 0
+    with pytest.raises(ValueError):
+        sinks.write_site_buckets(cut, path, 0)
+
+
 def test_read_formats(spark, tmp_path):
     df = spark.createDataFrame([("http://a/", '<p class="x">1,\n2</p>')], sources.PAGES)
     for kind in ("parquet", "json", "orc"):
