@@ -223,14 +223,16 @@ def write(
         sorted(record(str(i), url, "response", t.encode(), None, date) for i, url, t in texts)
     )
     # Only digests and ids meet in the search for equal payloads. Most payloads occur
-    # once; what goes on to the join is small.
+    # once; what goes on to the join is small, and written down, so that a payload that very
+    # many pages share can be split between tasks.
     key = F.sha2(F.encode("html", "UTF-8"), 256)
-    shared = (
+    shared = materialize(
         rows.filter(F.octet_length("html") >= min_payload)
         .select("page_id", key.alias("key"))
         .groupBy("key")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1")
+        .filter("n > 1"),
+        "shared",
     )
     repeats = rows.withColumn("key", key).join(shared, "key", "left").drop("key", "n")
 
@@ -340,8 +342,9 @@ def resolve(records: DataFrame) -> DataFrame:
         F.col("payload_bytes").alias("stored_bytes"),
         F.col("payload_digest").alias("stored_digest"),
     )
+    once = materialize(stored.dropDuplicates(["stored_id"]), "stored")
     revisits = records.filter("record_type = 'revisit'").join(
-        stored.dropDuplicates(["stored_id"]), F.col("refers_to") == F.col("stored_id"), "left"
+        once, F.col("refers_to") == F.col("stored_id"), "left"
     )
     checked: Column = F.when(
         F.col("stored_digest") == F.col("payload_digest"), F.col("stored_bytes")

@@ -447,3 +447,33 @@ def test_pipeline_stages(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_a_payload_of_very_many_pages_is_split(spark, tmp_path):
+    """With broadcasting off and small skew bounds, no task writes most of the records."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    n = F.col("id")
+    pages = spark.range(0, 24_000, 1, 16).select(
+        n.alias("page_id"), F.lit("http://x/").alias("url"),
+        F.when(n % 5 < 3, F.lit("the same page")).otherwise(F.concat(F.lit("page "), F.sha2(n.cast("string"), 256))).alias("html"),
+    )
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        folder = f"file://{tmp_path}/warc"
+        written = warc.write(pages, folder).collect()
+        read = warc.read(spark.createDataFrame(written)).groupBy("record_type").count().collect()
+        assert {r["record_type"]: r["count"] for r in read} == {"response": 9_601, "revisit": 14_399}
+        # 14,400 pages share one payload.
+        assert max(r["records"] for r in written) < 6_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
