@@ -463,7 +463,7 @@ def test_a_payload_of_very_many_pages_is_split(spark, tmp_path):
     n = F.col("id")
     pages = spark.range(0, 24_000, 1, 16).select(
         n.alias("page_id"), F.lit("http://x/").alias("url"),
-        F.when(n % 5 < 3, F.lit("the same page")).otherwise(F.concat(F.lit("page "), F.sha2(n.cast("string"), 256))).alias("html"),
+        F.when(n % 5 < 3, F.lit("".join(f"the {i * 7919} page " for i in range(150)))).otherwise(F.concat(F.lit("page "), F.sha2(n.cast("string"), 256))).alias("html"),
     )
     for k, v in settings.items():
         spark.conf.set(k, v)
