@@ -83,9 +83,10 @@ class Edges:
     def __init__(self, edges: DataFrame, hub_links: int = HUB_LINKS):
         spark = edges.sparkSession
         counts = edges.groupBy("src").agg(F.count("*").alias("n"))
-        hubs = materialize(counts.filter(F.col("n") > hub_links).select("src"), "hubs")
+        large = counts.filter(F.col("n") > hub_links).select("src")
         self.hubs = None
-        if not hubs.isEmpty():
+        if not large.isEmpty():
+            hubs = materialize(large, "hubs")
             self.hubs = materialize(edges.join(hubs, "src", "left_semi"), "hub-edges")
             edges = edges.join(hubs, "src", "left_anti")
         self.kept = Bucketed(spark, "edges", "src")

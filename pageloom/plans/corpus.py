@@ -60,8 +60,9 @@ class _Fetched:
 
 @dataclass(frozen=True)
 class CrawlRun:
-    """What one crawl left in written tables: ``found`` (url, depth), ``texts`` (url, text) of
-    the pages that came back, ``chunks`` with all copies and ``kept`` with each content once."""
+    """What one crawl left, read from written tables: ``found`` (url, depth), ``texts`` (url,
+    text) of the pages that came back, ``chunks`` with all copies and ``kept`` with each
+    content once."""
 
     found: DataFrame
     texts: DataFrame
@@ -151,7 +152,7 @@ def crawl_run(
         found = crawl(
             seeds, None, fetch, max_depth, max_levels, include_seed, parsed, keep=resolvable, **filters
         )
-        texts = page_texts(fetch.all_pages(found), parsed)
+        texts = materialize(page_texts(fetch.all_pages(found), parsed), "texts")
     else:
         # HTML is read and parsed once: links and text come from the same pass.
         read = materialize(page_contents(visitable(pages, seeds, **filters), parsed), "contents")
@@ -159,7 +160,7 @@ def crawl_run(
         edges = materialize(resolvable(followed(hrefs, **filters)), "edges")
         found = reach(edges, seeds, max_depth, max_levels, include_seed)
         texts = read.select("url", "text")
-    texts = materialize(texts.join(found.select("url"), "url", "left_semi"), "texts")
+    texts = texts.join(found.select("url"), "url", "left_semi")
     chunks = hash_chunks(chunk_text(texts, "text", split_length))
     return CrawlRun(found, texts, chunks, dedup_chunks(chunks))
 
