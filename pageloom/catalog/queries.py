@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.catalog import inputs as given
-from pageloom.functions import charset, html, nets, retry, text, urls
+from pageloom.functions import charset, html, nets, retry, sql, text, urls
 from pageloom.operators import chunks, graph, health, hosts, links, reports, sites
 from pageloom.plans.corpus import crawl_run, crawl_to_chunks, pages_to_chunks
 from pageloom.session import materialize, scratch_path
 from pageloom.sources import pages as sources
 from pageloom.sources import sinks
-from pageloom.streaming import breaker, jobs
+from pageloom.streaming import breaker, jobs, kept
 
 SITE = "example.com"
 WIDTH = 200
@@ -198,18 +198,16 @@ def extract_links_parsed(spark, folder):
 
 @query
 def html_links(spark, folder):
-    html.register(spark)
+    sql.register(spark)
     return spark.sql(
         "SELECT url, href FROM {pages}, LATERAL html_links(html)",
         pages=given.pages(spark, folder),
     )
 
 
-@query
-def resolve_url(spark, folder):
-    found = links.extract_links(given.pages(spark, folder))
+def _link_forms():
     word = F.regexp_replace("href", r"[^A-Za-z]", "")
-    forms = {
+    return {
         "rooted": F.col("href"),
         "plain": F.concat(word, F.lit("x")),
         "query": F.concat(F.lit("?"), word, F.lit("x")),
@@ -220,10 +218,55 @@ def resolve_url(spark, folder):
         "parent": F.concat(F.lit("../"), word, F.lit("x")),
         "empty": F.lit(""),
     }
+
+
+@query
+def resolve_url(spark, folder):
+    found = links.extract_links(given.pages(spark, folder))
     return found.select(
         "url",
         "href",
-        *[urls.resolve_url(F.col("url"), form).alias(name) for name, form in forms.items()],
+        *[urls.resolve_url(F.col("url"), form).alias(name) for name, form in _link_forms().items()],
+    )
+
+
+@query
+def resolve_url_sql(spark, folder):
+    sql.register(spark)
+    found = links.extract_links(given.pages(spark, folder))
+    written = found.select("url", "href", *[form.alias(f"as_{name}") for name, form in _link_forms().items()])
+    resolved = ", ".join(f"resolve_url(url, as_{name}) AS {name}" for name in _link_forms())
+    return spark.sql(f"SELECT url, href, {resolved} FROM {{found}}", found=written)
+
+
+@query
+def html_to_text_sql(spark, folder):
+    sql.register(spark)
+    return spark.sql("SELECT url, html_to_text(html) AS text FROM {pages}", pages=given.pages(spark, folder))
+
+
+@query
+def decode_body_sql(spark, folder):
+    sql.register(spark)
+    return spark.sql(
+        "SELECT page_id, decode_body(body, charset) AS html FROM {raw}", raw=given.raw_pages(spark, folder)
+    )
+
+
+@query
+def detect_charset_sql(spark, folder):
+    sql.register(spark)
+    return spark.sql(
+        "SELECT page_id, detect_charset(body) AS detected FROM {raw}", raw=given.raw_pages(spark, folder)
+    )
+
+
+@query
+def is_public_ip_sql(spark, folder):
+    sql.register(spark)
+    return spark.sql(
+        "SELECT event_id, is_public_host(host) AS native, is_public_ip(host) AS parsed FROM {targets}",
+        targets=given.targets(spark, folder),
     )
 
 
@@ -375,7 +418,17 @@ def should_follow(spark, folder):
 
 @query
 def filter_valid_target(spark, folder):
-    return given.linked(spark, folder).filter(urls.filter_valid_target(F.col("url")))
+    url = F.col("url")
+    forms = F.array(
+        url,
+        F.replace(url, F.lit("://"), F.lit(":///")),
+        F.replace(url, F.lit("http"), F.lit("HTTP")),
+        F.replace(url, F.lit("http"), F.lit("ftp")),
+        F.regexp_replace(url, "^[a-z]+:", ""),
+        F.regexp_replace(url, "^([a-z]+://).*$", "$1?q"),
+    )
+    found = given.linked(spark, folder).select(F.explode(forms).alias("url")).distinct()
+    return found.filter(urls.filter_valid_target(url))
 
 
 @query
@@ -410,7 +463,12 @@ def fetch_lookup(spark, folder):
 
 @query
 def expand_frontier(spark, folder):
-    return graph.expand_frontier(_page_urls(spark, folder), given.edges(spark, folder))
+    """Suppliers of all parts: the graph links back, the frontier is one side of it."""
+    edges = given.supply_graph(spark, folder)
+    parts = given.table(spark, folder, "lineitem").select(
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("url")
+    )
+    return graph.expand_frontier(parts.distinct(), edges)
 
 
 @query
@@ -540,9 +598,19 @@ def rotate_assign(spark, folder):
 @query
 def hash_assign(spark, folder):
     spread = sites.hash_assign(given.targets(spark, folder).select("host", "url"), POOL)
-    return spread.groupBy(F.col("proxy").isin(POOL).alias("in_pool")).agg(
-        F.count("*").alias("requests"), F.countDistinct("proxy").alias("proxies")
+    # The hash is Spark's own, so the twin tells that each URL, though asked for twice, has
+    # one proxy of the pool, and that no proxy is left out or takes more than half.
+    twice = spread.union(sites.hash_assign(spread.drop("proxy").repartition("host"), POOL))
+    one = twice.groupBy("host", "url").agg(
+        F.count("*").alias("requests"),
+        F.countDistinct("proxy").alias("proxies"),
+        F.every(F.col("proxy").isin(POOL)).alias("in_pool"),
+        F.min("proxy").alias("proxy"),
     )
+    load = materialize(one, "assigned").groupBy("proxy").agg(F.count("*").alias("n"))
+    whole = load.agg((F.max("n") * 2 <= F.sum("n")).alias("even"), F.count("*").alias("in_use"))
+    # One row.
+    return one.drop("proxy").join(F.broadcast(whole))
 
 
 @query
@@ -712,6 +780,14 @@ def dedup_stream(spark, folder):
     return _drain(jobs.dedup_stream(stream), "deduped").select("content_hash", "content")
 
 
+@query
+def dedup_table_stream(spark, folder):
+    stream = jobs.extract_stream(_page_stream(spark, folder), WIDTH)
+    path = scratch_path(spark, "kept-chunks")
+    kept.dedup_table_stream(stream, path).awaitTermination()
+    return kept.read_kept(stream, path)
+
+
 @query
 def visited_stream(spark, folder):
     stream = links.resolve_links(links.extract_links(_page_stream(spark, folder)))

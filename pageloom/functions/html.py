@@ -13,7 +13,7 @@ from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -80,6 +80,11 @@ def _elements(tags: tuple[str, ...]) -> str:
     return rf"!--.*?(?:-->|\z)|({'|'.join(tags)})(?=[\s/>])[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)"
 
 
+def markup(tags: tuple[str, ...]) -> str:
+    """Comments, the named elements and all tags."""
+    return rf"(?is)<(?:{_elements(tags)}|[/!?a-z][^>]*+(?:>|\z))"
+
+
 def strip_elements(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
     """Blank out comments and the named elements with all they hold.
 
@@ -133,7 +138,7 @@ def decode_entities(c: Column) -> Column:
 def html_to_text(c: Column, tags: tuple[str, ...] = DROPPED) -> Column:
     """Visible text with single blanks, inside the JVM. Comments, dropped elements
     and tags go in one pass."""
-    bare = F.regexp_replace(c, f"(?is)<(?:{_elements(tags)}|[/!?a-z][^>]*+(?:>|\\z))", " ")
+    bare = F.regexp_replace(c, markup(tags), " ")
     return normalize_ws(decode_entities(bare))
 
 
@@ -280,16 +285,3 @@ class HtmlLinks:
         if html is not None:
             for href in dict.fromkeys(_parse(html).hrefs):
                 yield (href,)
-
-
-def register(spark: SparkSession) -> None:
-    """Make the parser functions callable from SQL."""
-    from pageloom.functions.charset import decode_bytes
-    from pageloom.functions.nets import is_public_ip
-    from pageloom.functions.urls import url_join
-
-    spark.udf.register("html_to_text", html_to_text_parsed)
-    spark.udf.register("resolve_url", url_join)
-    spark.udf.register("decode_body", decode_bytes)
-    spark.udf.register("is_public_ip", is_public_ip)
-    spark.udtf.register("html_links", HtmlLinks)

@@ -32,6 +32,13 @@ RESERVED_V4 = (
 )
 PUBLIC_V4 = ("192.0.0.9/32", "192.0.0.10/32")
 OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+DOTTED = rf"^{OCTET}(\.{OCTET}){{3}}$"
+
+
+def bounds(blocks: tuple[str, ...]) -> list[tuple[int, int]]:
+    """First and last address of each block as numbers."""
+    nets = [ipaddress.ip_network(b) for b in blocks]
+    return [(int(n.network_address), int(n.broadcast_address)) for n in nets]
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -41,18 +48,11 @@ def ipv4_number(ip: Column) -> Column:
         F.lit(0).cast("bigint"),
         lambda so_far, octet: so_far * 256 + octet.cast("bigint"),
     )
-    return F.when(ip.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), number)
+    return F.when(ip.rlike(DOTTED), number)
 
 
 def _within(number: Column, blocks: tuple[str, ...]) -> Column:
-    nets = [ipaddress.ip_network(b) for b in blocks]
-    return reduce(
-        or_,
-        [
-            number.between(int(n.network_address), int(n.broadcast_address))
-            for n in nets
-        ],
-    )
+    return reduce(or_, [number.between(lo, hi) for lo, hi in bounds(blocks)])
 
 
 def is_reserved_v4(number: Column) -> Column:

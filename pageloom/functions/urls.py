@@ -58,9 +58,12 @@ _ABSOLUTE = r"^https?://[A-Za-z0-9._~:@%-]+([/?#]\S*)?$"
 _RELATIVE_HOST = r"^//[A-Za-z0-9._~:@%-]+([/?#]\S*)?$"
 _ROOTED = r"^/(?!/)[^\s;]*$"
 _OTHER_SCHEME = r"^(?:mailto|tel|whatsapp|javascript|data|sms):[^\s\[\]]*$"
+_FRAGMENT = r"^#\S+$"
+_QUERY = r"^\?[^#\s]+(#\S+)?$"
 _PLAIN_RELATIVE = r"^[A-Za-z0-9_~%-][^\s:;]*$"
 # Left to the UDF: dot segments, empty segments, and empty queries or fragments,
 # which the join drops.
+UNSAFE_END = r"[?#;]$|\?#|\\|;[?#]"
 _NEEDS_JOIN = r"(?:^|/)\.|//|[?#]$|\?#|\\"
 
 
@@ -89,7 +92,7 @@ def resolve_native(base: Column, href: Column) -> Column:
     clean = ~F.regexp_replace(tail, "^//", "").rlike(_NEEDS_JOIN)
     # An absolute link keeps its path as written, dots and all.
     # An empty last parameter is cut by the join.
-    whole = ~href.rlike(r"[?#;]$|\?#|\\|;[?#]")
+    whole = ~href.rlike(UNSAFE_END)
     return (
         F.when(~usable, F.lit(None).cast("string"))
         .when(href == "", base)
@@ -101,10 +104,10 @@ def resolve_native(base: Column, href: Column) -> Column:
         )
         .when(href == "#", F.regexp_replace(base, "#.*$", ""))
         .when(
-            href.rlike(r"^#\S+$"), F.concat(F.regexp_replace(base, "#.*$", ""), href)
+            href.rlike(_FRAGMENT), F.concat(F.regexp_replace(base, "#.*$", ""), href)
         )
         .when(
-            href.rlike(r"^\?[^#\s]+(#\S+)?$"),
+            href.rlike(_QUERY),
             F.concat(F.regexp_replace(base, "[?#].*$", ""), href),
         )
         .when(href.rlike(_ROOTED) & clean, F.concat(origin, href))

@@ -7,12 +7,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.functions import html
+from pageloom.functions import charset, html, nets, sql, urls
 from pageloom.operators import chunks, health, reports, sites
 from pageloom.session import materialize
 from pageloom.sources import pages as sources
 from pageloom.sources import sinks
-from pageloom.streaming import breaker, jobs
+from pageloom.streaming import breaker, jobs, kept
 
 CHUNKS = "url string, chunk_number int, content string"
 
@@ -328,7 +328,7 @@ def test_breaker_stream_over_many_batches_with_a_hot_key(spark, tmp_path, monkey
 
 
 def test_sql_functions(spark):
-    html.register(spark)
+    sql.register(spark)
     spark.createDataFrame(
         [("http://a/", '<a href="x">1</a><a href="/y">2</a>')], sources.PAGES
     ).createOrReplaceTempView("some_pages")
@@ -337,6 +337,103 @@ def test_sql_functions(spark):
     )
     assert {tuple(r) for r in got.collect()} == {("http://a/x", "1 2"), ("http://a/y", "1 2")}
     row = spark.sql(
-        "SELECT is_public_ip('10.0.0.1'), decode_body(X'E9', 'latin-1', 'utf-8')"
+        "SELECT is_public_ip('10.0.0.1'), decode_body(X'E9', 'latin-1'), is_public_host('localhost'), "
+        "is_public_ip('localhost'), html_to_text(NULL), resolve_url(NULL, 'x'), decode_body(NULL, 'utf-8')"
     ).first()
-    assert tuple(row) == (False, "é")
+    assert tuple(row) == (False, "é", False, True, None, None, None)
+
+
+def test_sql_functions_equal_the_column_forms(spark):
+    """On forms of all kinds, nulls included."""
+    sql.register(spark)
+    bases = [None, "", "http://a.b", "http://a.b/c/d?q=1#f", "https://a.b/c//d/", "mailto:x", "http://[x"]
+    hrefs = [None, "", "#", "#t", "?z", "../x", "./y", "/r;p", "//o.com/x", "x y", "HTTP://X.com/", "mailto:x@y",
+             "http://h/p?", "a\\b", "javascript:void(0)", "http:x", "p/q.html?a=b#c"]
+    table = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "base string, href string")
+    both = table.select(urls.resolve_url(F.col("base"), F.col("href")).alias("c"), F.expr("resolve_url(base, href)").alias("s"))
+    assert both.filter("NOT c <=> s").count() == 0 and both.filter("c IS NOT NULL").count() > 50
+    marked = ["", None, "a&amp;b", "&#146;&#x41;&#0;&#xD800;&#99999999999;", "&notaname;&eacute x&copy", "a & b &&lt;p>",
+              "<p>1<nav>2</nav>3<!-- 4", "\x1c x \x85 y\u00a0", "it's <script>'</script>\\n"]
+    table = spark.createDataFrame([(m,) for m in marked], "html string")
+    both = table.select(html.html_to_text(F.col("html")).alias("c"), F.expr("html_to_text(html)").alias("s"))
+    assert both.filter("NOT c <=> s").count() == 0
+    plan = table.selectExpr("html_to_text(html)")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+    bodies = [None, b"", b"ab", "é".encode(), b"\xe9", "é".encode("utf-16"), b"<meta charset=koi8-r>\xc1", b"\xff\xfe"]
+    names = [None, "", "UTF-8", "latin-1", "no-such"]
+    table = spark.createDataFrame([(b, n) for b in bodies for n in names], "body binary, declared string")
+    both = table.select(
+        charset.decode_body(F.col("body"), F.col("declared")).alias("c"),
+        F.expr("decode_body(body, declared)").alias("s"),
+        charset.detect_charset(F.col("body")).alias("d"),
+        F.expr("detect_charset(body)").alias("e"),
+    )
+    assert both.filter("NOT c <=> s OR NOT d <=> e").count() == 0
+    hosts = [None, "", "localhost", "::1", "8.8.8.8", "192.0.0.9", "192.0.0.8", "256.1.1.1", "01.2.3.4", "2001:4860::1", "fe80::1", "x:y"]
+    table = spark.createDataFrame([(h,) for h in hosts], "h string")
+    both = table.select(
+        nets.is_public_host(F.col("h")).alias("c"), F.expr("is_public_host(h)").alias("s"),
+        nets.is_public_ip("h").alias("d"), F.expr("is_public_ip(h)").alias("e"),
+    )
+    assert both.filter("NOT c <=> s OR NOT d <=> e").count() == 0
+
+
+CHUNK = "url string, chunk_number int, content string, content_hash string, fetched_at timestamp"
+
+
+def test_kept_table_says_which_copy_survives(spark, tmp_path, monkeypatch):
+    """Of a batch the first by URL and number, ties and nulls included; a batch that is run
+    again replaces its rows; a stopped stream goes on from its checkpoint."""
+    monkeypatch.setattr(kept, "COMPACT", 2)
+    rng = random.Random(3)
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    batches = []
+    for _ in range(6):
+        batches.append([
+            (f"u{rng.randrange(9)}", rng.randrange(4), text, text, None)
+            for text in (rng.choice(["hot", "hot", None, *"abcdefghij"]) for _ in range(40))
+        ])
+    want, seen = [], set()
+    for rows in batches:
+        arrive(spark, source, rows, CHUNK)
+        stream = spark.readStream.schema(CHUNK).parquet(source)
+        kept.dedup_table_stream(stream, out, checkpoint=mark).awaitTermination()
+        for value in {r[3] for r in rows} - seen:
+            want.append(min((r for r in rows if r[3] == value), key=lambda r: r[:2]))
+        seen |= {r[3] for r in rows}
+    got = [tuple(r) for r in kept.read_kept(stream, out).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == 12
+    step = kept._Step(out, f"{mark}/known", "content_hash", ("url", "chunk_number"), None, "fetched_at")
+    step(spark.createDataFrame(batches[5], CHUNK), 5)
+    assert sorted(map(tuple, kept.read_kept(stream, out).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_kept_table_stays_flat_over_repeats(spark, tmp_path, monkeypatch):
+    """Ten batches of the same contents, and ten of new ones, of which only those of the
+    last two days are remembered."""
+    monkeypatch.setattr(kept, "COMPACT", 1)
+    day = datetime(2024, 1, 1)
+    step = kept._Step(str(tmp_path / "out"), str(tmp_path / "known"), "content_hash", ("url",), "2 days", "fetched_at")
+    sizes = []
+    for batch in range(20):
+        name = "same" if batch < 10 else f"new{batch}"
+        at = day + timedelta(hours=batch if batch < 10 else 24 * batch)
+        rows = [(f"u{i}", i, f"{name}{i % 50}", f"{name}{i % 50}", at) for i in range(200)]
+        step(spark.createDataFrame(rows, CHUNK), batch)
+        sizes.append(spark.read.parquet(f"{step.known}/batch={batch}").count())
+    assert set(sizes[:10]) == {50} and set(sizes[12:]) == {100}
+    out = spark.read.schema(f"{CHUNK}, batch int").parquet(step.path)
+    assert {r[0]: r[1] for r in out.groupBy("batch").count().collect()} == {b: 50 for b in (0, *range(10, 20))}
+    # Forgotten contents pass again, those remembered do not.
+    rows = [("z", 1, n, n, day + timedelta(days=19)) for n in ("same7", "new191")]
+    step(spark.createDataFrame(rows, CHUNK), 20)
+    again = spark.read.schema(f"{CHUNK}, batch int").parquet(step.path).filter("batch = 20")
+    assert [r["content"] for r in again.collect()] == ["same7"]
+
+
+def test_kept_table_of_an_empty_batch(spark, tmp_path):
+    step = kept._Step(str(tmp_path / "out"), str(tmp_path / "known"), "content_hash", ("url",), "1 day", "fetched_at")
+    step(spark.createDataFrame([], CHUNK), 0)
+    step(spark.createDataFrame([("u", 1, "a", "a", None)], CHUNK), 1)
+    step(spark.createDataFrame([], CHUNK), 2)
+    assert spark.read.schema(CHUNK).parquet(step.path).count() == 1
