@@ -31,32 +31,43 @@ def uniform(*keys: Column) -> Column:
     return F.conv(F.substring(F.md5(_text(*keys)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def _inverse(u: Column, mean: Column) -> Column:
-    """Smallest n whose cumulative Poisson probability is above u."""
-    start = F.struct(
-        F.exp(-mean).alias("term"), F.exp(-mean).alias("below"), F.lit(0).alias("n")
-    )
+def cumulative(mean: Column) -> Column:
+    """Probabilities that a Poisson count is at most 0, 1, ... ``STEPS`` - 1."""
+    start = F.struct(F.exp(-mean).alias("term"), F.array(F.exp(-mean)).alias("below"))
 
     def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * mean / i
-        return F.when(acc["below"] > u, acc).otherwise(
-            F.struct(
+        return F.transform(
+            F.array(acc["term"] * mean / i),
+            lambda term: F.struct(
                 term.alias("term"),
-                (acc["below"] + term).alias("below"),
-                (acc["n"] + 1).alias("n"),
-            )
+                F.concat(acc["below"], F.array(F.element_at(acc["below"], -1) + term)).alias("below"),
+            ),
+        )[0]
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS - 1)), start, step)["below"]
+
+
+def _parts(mean: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(mean / PART)).cast("int")
+
+
+def drawn(below: Column, parts: Column, *keys: Column) -> Column:
+    """Sum of ``parts`` counts drawn from the hash of ``keys``: each is the number of
+    entries of ``below`` that its draw reaches, found by halving."""
+    draws = F.transform(F.sequence(F.lit(1), parts), lambda p: uniform(*keys, p))
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(STEPS.bit_length()))])
+
+    def inverse(u: Column) -> Column:
+        return F.aggregate(
+            halves, F.lit(0), lambda n, s: F.when(F.get(below, n + s - 1) <= u, n + s).otherwise(n)
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["n"]
+    return F.aggregate(F.transform(draws, inverse), F.lit(0), lambda a, b: a + b)
 
 
 def poisson(mean: Column, *keys: Column) -> Column:
     """A Poisson count with the given mean, drawn from the hash of ``keys``."""
-    parts = F.greatest(F.lit(1), F.ceil(mean / PART)).cast("int")
-    draws = F.transform(
-        F.sequence(F.lit(1), parts), lambda p: _inverse(uniform(*keys, p), mean / parts)
-    )
-    return F.aggregate(draws, F.lit(0), lambda a, b: a + b)
+    return drawn(cumulative(mean / _parts(mean)), _parts(mean), *keys)
 
 
 def rates(
@@ -111,19 +122,26 @@ def mix(
     """
     copy_name = free_name(docs, copy_name)
     order_name = free_name(docs, order_name)
-    rate, src, count, digest = (
-        free_name(docs, n) for n in ("rate", "rate_source", "count", "digest")
+    below, parts, src, count, digest = (
+        free_name(docs, n) for n in ("rate_below", "rate_parts", "rate_source", "count", "digest")
+    )
+    rate = F.col("rate")
+    # The distribution is worked out once for each source, not for each document.
+    found = materialize(
+        rates(docs, weights, power, epochs).select(
+            F.col("source").alias(src), _parts(rate).alias(parts), cumulative(rate / _parts(rate)).alias(below)
+        ),
+        "rates",
+    )
+    keyed = docs.join(found, F.col("source").eqNullSafe(F.col(src))).withColumn(
+        digest, F.md5(F.coalesce("text", F.lit("")))
+    )
+    counted = keyed.withColumn(
+        count, drawn(F.col(below), F.col(parts), F.lit(seed), F.col("doc_id"), F.col(digest))
     )
-    found = rates(docs, weights, power, epochs)
-    keyed = docs.join(
-        found.select(F.col("source").alias(src), F.col("rate").alias(rate)),
-        F.col("source").eqNullSafe(F.col(src)),
-    ).withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
-    draw = poisson(F.col(rate), F.lit(seed), F.col("doc_id"), F.col(digest))
-    drawn = keyed.withColumn(count, draw)
     key = F.md5(_text(F.lit(seed), F.lit("order"), F.col("doc_id"), F.col(copy_name), F.col(digest)))
     copies = (
-        drawn.filter(F.col(count) > 0)
+        counted.filter(F.col(count) > 0)
         .select(
             *[F.col(c) for c in docs.columns],
             digest,
