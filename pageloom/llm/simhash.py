@@ -188,18 +188,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of the (a, b) edges; root is the smallest vertex.
 
     Large-star and small-star steps in turn until nothing changes. A vertex's
-    neighbours are never gathered: each step is a minimum per vertex and a join.
+    neighbours are never gathered: each step is a minimum per vertex and a join. What a
+    step joins is written down, so that the edges of a vertex with very many are split.
     """
     edges = materialize(edges.filter("a <> b").select(*_ordered(F.col("a"), F.col("b"))).distinct(), "edges")
     before = None
     while True:
         # Large star: larger neighbours are hung below the smallest one around.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
-        large = large.filter("a <> b").distinct()
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        large = edges.join(least, "a").select(F.col("m").alias("a"), "b")
+        large = materialize(large.filter("a <> b").distinct(), "large")
         # Small star: smaller neighbours, and the vertex, below the smallest.
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = materialize(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         small = large.join(least, "b").select(
             F.explode(F.array("a", "b")).alias("v"), F.col("m")
         )
