@@ -2,7 +2,7 @@
 
 Each language has a distribution over byte trigrams of lower-case text, hashed to
 2**15 codes, smoothed, fitted on at most ``SAMPLE_ROWS`` labelled rows of bounded
-length. A document's trigrams are taken as drawn from a mixture of languages.
+length (``TRAIN_CHARS``). A document's trigrams are taken as drawn from a mixture of languages.
 Expectation-maximisation finds the proportions for every language set that backward
 elimination visits: all languages first, then without the one with the smallest
 share, and so on. The set with the best log-likelihood less ``PENALTY`` times the
@@ -22,15 +22,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import hashed_sample
+from pageloom.session import materialize
 
 CODES = 1 << 15
 SAMPLE_ROWS = 4000
 TRAIN_CHARS = 8000
-MAX_LANGUAGES = 200
 PENALTY = 2.0
 ROUNDS = 30
 # Trigrams are counted over pieces of this many bytes, so memory does not follow length.
@@ -110,38 +109,49 @@ class Model:
 
 def train(rows: list[tuple[str, str]]) -> Model:
     """Model from (language, text) rows: add-half smoothing towards the pooled counts."""
-    languages = sorted({lang for lang, _ in rows})[:MAX_LANGUAGES]
+    languages = sorted({lang for lang, _ in rows})
+    at = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((CODES, max(len(languages), 1)))
     for lang, text in rows:
-        if lang in languages:
-            found, times = trigram_counts(text)
-            counts[found, languages.index(lang)] += times
+        found, times = trigram_counts(text)
+        counts[found, at[lang]] += times
     pooled = counts.sum(axis=1) + 0.5
     counts += 200.0 * (pooled / pooled.sum())[:, None]
     return Model(languages, counts / counts.sum(axis=0))
 
 
+def sample(known: DataFrame, sample_rows: int) -> DataFrame:
+    """(lang, doc_id): for each language an even share of ``sample_rows`` different ids, those
+    with the smallest hashes, and one at least. One pass over the ids counts the languages,
+    one picks: most rows go by a bound on the hash that the counts give, so what is ranked
+    is little more than the sample, however large a language is."""
+    sizes = materialize(known.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    languages = max(1, sizes.count())
+    each = max(1, sample_rows // languages)
+    # Hashes are uniform over 64 bits. Ten deviations above the wanted share.
+    share = F.lit(each + 10 * each**0.5 + 10) / F.col("rows")
+    mark = F.xxhash64(F.lit("sample"), F.col("doc_id"))
+    near = known.join(sizes, "lang").filter((mark / F.lit(2.0**64) + 0.5) <= share)
+    order = Window.partitionBy("lang").orderBy("mark", "doc_id")
+    ranked = near.select("lang", "doc_id", mark.alias("mark")).withColumn("rank", F.dense_rank().over(order))
+    return ranked.filter(F.col("rank") <= each).select("lang", "doc_id").distinct()
+
+
 def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on rows of ``docs`` (doc_id, text, lang) that satisfy ``usable`` and have a
-    language: an even share of ``sample_rows`` for each of at most ``MAX_LANGUAGES``
-    languages, of each text at most ``TRAIN_CHARS`` characters from its middle."""
+    language: an even share of ``sample_rows`` for each language, one row at least, of each
+    text at most ``TRAIN_CHARS`` characters from its middle. Of rows that share id and
+    language the one with the smallest hash of its text counts."""
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r["lang"] for r in found.collect())
-    if not languages:
-        return train([])
-    each = max(1, sample_rows // len(languages))
+    picked = materialize(sample(known.select("lang", "doc_id"), sample_rows), "sample")
     middle = F.greatest(F.lit(1), ((F.length("text") - TRAIN_CHARS) / 2).cast("int") + 1)
-    ids = known.select("doc_id", "lang")
-    picked = None
-    for lang in languages:
-        one = hashed_sample(ids.filter(F.col("lang") == lang), "doc_id", each)
-        picked = one if picked is None else picked.union(one)
+    part = F.substring("text", middle, F.lit(TRAIN_CHARS))
     rows = (
-        known.select("doc_id", "lang", F.substring("text", middle, F.lit(TRAIN_CHARS)).alias("t"))
-        # At most sample_rows ids.
-        .join(F.broadcast(picked.distinct()), ["doc_id", "lang"])
-        .limit(2 * sample_rows)
+        known.select("doc_id", "lang", F.struct(F.xxhash64("text").alias("hash"), part.alias("t")).alias("of"))
+        # Ids and languages of the sample.
+        .join(F.broadcast(picked), ["doc_id", "lang"])
+        .groupBy("doc_id", "lang")
+        .agg(F.min("of")["t"].alias("t"))
         .collect()
     )
     return train(sorted((r["lang"], r["t"]) for r in rows))
