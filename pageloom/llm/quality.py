@@ -191,17 +191,22 @@ def fit(
     docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS
 ) -> Network:
     """Train on at most ``sample_rows`` rows of ``labels`` (doc_id, quality) that
-    satisfy ``usable``, a condition on doc_id. Rows with a null label do not count."""
+    satisfy ``usable``, a condition on doc_id. Rows with a null label do not count. Of
+    documents that share their id the one with the smallest hash of its text counts."""
     known = labels.filter(usable & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     chosen = hashed_sample(known.distinct(), "doc_id", sample_rows)
     rows = (
-        docs.select("doc_id", spread_bytes(F.col("text"), TRAIN_BYTES).alias("raw"))
-        # At most sample_rows ids.
+        docs.select(
+            "doc_id",
+            F.struct(F.xxhash64("text").alias("hash"), spread_bytes(F.col("text"), TRAIN_BYTES).alias("raw")).alias("of"),
+        )
+        # At most sample_rows ids and labels.
         .join(F.broadcast(chosen), "doc_id")
-        .limit(2 * sample_rows)
+        .groupBy("doc_id", "quality")
+        .agg(F.min("of")["raw"].alias("raw"))
         .collect()
     )
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["raw"])))
+    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
     return train([bytes(r["raw"]) for r in rows], np.array([r["quality"] for r in rows]))
 
 

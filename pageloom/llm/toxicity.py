@@ -33,6 +33,7 @@ from pyspark.sql.types import ArrayType, BinaryType
 
 from pageloom.llm import minhash
 from pageloom.llm.common import hashed_sample
+from pageloom.session import materialize
 
 SAMPLE_ROWS = 6000
 MAX_TERMS = 4096
@@ -291,13 +292,20 @@ def fit(
     docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS
 ) -> Model:
     """Model from at most ``sample_rows`` rows of ``labels`` (doc_id, toxic) that satisfy
-    ``usable``, a condition on doc_id; document frequencies come from all of ``docs``."""
+    ``usable``, a condition on doc_id; document frequencies come from all of ``docs``. Of
+    documents that share their id the one with the smallest hash of its text counts."""
     known = labels.filter(usable & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     chosen = F.broadcast(hashed_sample(known.distinct(), "doc_id", sample_rows))
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id")
+    # Written down with one row for each id and label: the lists below are bounded by
+    # sample_rows, and ``docs`` is not read again for them.
+    sample = materialize(
+        docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")),
+        "labelled",
+    )
     # One of each group of copies: else a rare word of a much-copied text would seem
-    # to have been judged many times. All lists here are bounded by sample_rows.
-    keyed = sample.select("doc_id", "toxic", _keys(F.col("text")).alias("k")).limit(2 * sample_rows)
+    # to have been judged many times.
+    keyed = sample.select("doc_id", "toxic", _keys(F.col("text")).alias("k"))
     keyed = [(r["doc_id"], r["toxic"], [bytes(k) for k in r["k"]]) for r in keyed.collect()]
     # Only rows that share a band with another need their sets.
     uses = Counter((y, i, k) for _, y, ks in keyed for i, k in enumerate(ks))
