@@ -37,6 +37,8 @@ PART_ROWS = 2048
 # The table of annuli goes to every task; annuli get larger rather than more than this.
 MAX_ANNULI = 65536
 QUERY_ROWS = 2048
+# Queries whose distances to all annuli are held at a time.
+VISIT_ROWS = 64
 # Annuli a query visits in the first rounds; the last round takes what is left.
 ROUNDS = (4, 28)
 LANES = np.int64
@@ -181,20 +183,21 @@ def top_k(
     best = None
     skip = 0
     for size in (*ROUNDS, None):
-        pairs = _visits(asked, best, centres, rings, width, k, skip, size)
-        pairs = pairs.select(
-            "query_id",
-            "q",
-            F.explode("annuli").alias("annulus"),
-            F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
+        visits = materialize(
+            _visits(asked, best, centres, rings, width, k, skip, size).withColumn(
+                "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+            ),
+            "visits",
         )
+        pairs = visits.select("query_id", "q", F.explode("annuli").alias("annulus"), "block")
         split = spark.createDataFrame(
             [(i, list(range(int(n)))) for i, n in enumerate(parts)], "annulus long, parts array<long>"
         )
         left = pairs.join(F.broadcast(split), "annulus").withColumn("part", F.explode("parts"))
-        right = index.withColumn(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        )
+        # A part of the index goes to those blocks of queries that visit it.
+        wanted = visits.select(F.explode("annuli").alias("annulus"), "block").distinct()
+        wanted = wanted.join(F.broadcast(split), "annulus").withColumn("part", F.explode("parts")).drop("parts")
+        right = index.join(materialize(wanted, "wanted"), ["annulus", "part"])
         keys = ["annulus", "part", "block"]
         found = (
             left.groupBy(*keys)
@@ -230,18 +233,21 @@ def _visits(
 
     @F.arrow_udf("array<long>")
     def chosen(lists: pa.Array, worst: pa.Array) -> pa.Array:
-        v = matrix(lists, width).astype(float)
-        own = (v * v).sum(axis=1)
-        d = centres.distances(np.hstack([v, np.zeros((len(v), 1))]))[:, pivot]
-        near = np.maximum(np.maximum(lo - d, d - hi), 0)
-        kth = worst.to_numpy(zero_copy_only=False).astype(float)
-        limit = np.where(np.isnan(kth), np.inf, own + centres.square - 2 * kth)
+        every = matrix(lists, width).astype(float)
+        worst = worst.to_numpy(zero_copy_only=False).astype(float)
         out = []
-        for row, most, length in zip(near, limit, own):
-            order = np.argsort(row, kind="stable")[skip : None if size is None else skip + size]
-            # Room for rounding: bounds come from doubles.
-            slack = 1e-6 * (length + centres.square + 1)
-            out.append(order[row[order] ** 2 <= most + slack])
+        # Few queries at a time: each has a distance to every annulus.
+        for at in range(0, len(every), VISIT_ROWS):
+            v, kth = every[at : at + VISIT_ROWS], worst[at : at + VISIT_ROWS]
+            own = (v * v).sum(axis=1)
+            d = centres.distances(np.hstack([v, np.zeros((len(v), 1))]))[:, pivot]
+            near = np.maximum(np.maximum(lo - d, d - hi), 0)
+            limit = np.where(np.isnan(kth), np.inf, own + centres.square - 2 * kth)
+            for row, most, length in zip(near, limit, own):
+                order = np.argsort(row, kind="stable")[skip : None if size is None else skip + size]
+                # Room for rounding: bounds come from doubles.
+                slack = 1e-6 * (length + centres.square + 1)
+                out.append(order[row[order] ** 2 <= most + slack])
         return pa.array(out, pa.list_(pa.int64()))
 
     rows = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
