@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,7 +255,7 @@ def probe_next(docs: DataFrame) -> DataFrame:
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
-    schema = PROBED + ", edge string, text string"
+    schema = PROBED + ", edge string, task int, text string"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -262,11 +263,11 @@ def probe_next(docs: DataFrame) -> DataFrame:
             [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()),
              ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
              ("near_edited", pa.float64()), ("near_next", pa.float64()),
-             ("edge", pa.string()), ("text", pa.string())]
+             ("edge", pa.string()), ("task", pa.int32()), ("text", pa.string())]
         )
 
         def edge(kind: str, doc_id: int | None, text: str) -> pa.RecordBatch:
-            row = {"doc_id": doc_id, "edge": kind, "text": text}
+            row = {"doc_id": doc_id, "edge": kind, "task": TaskContext.get().partitionId(), "text": text}
             return pa.RecordBatch.from_pylist([row], schema=target)
 
         ids, texts, held, first = [], [], 0, True
@@ -287,21 +288,25 @@ def probe_next(docs: DataFrame) -> DataFrame:
             yield edge("last", ids[-1], texts[-1])
 
     walked = materialize(dealt.mapInArrow(walk, schema), "probed")
-    inner = walked.filter("edge IS NULL").drop("edge", "text")
+    inner = walked.filter("edge IS NULL").drop("edge", "task", "text")
     # Two rows for each task: the next task's first row follows a task's last one. The
-    # window sees ids and places only.
-    edges = walked.filter("edge IS NOT NULL").select("edge", "doc_id", "text")
-    firsts = edges.filter("edge = 'first'")
-    lasts = edges.filter("edge = 'last'")
-    # Ranges don't overlap, so firsts and lasts are in the same order; of a task with one
-    # document both are the same row.
-    order = Window.orderBy(F.col("doc_id").asc_nulls_first())
+    # window sees the number of a task and the kind of the row; texts are joined by them.
+    edges = walked.filter("edge IS NOT NULL").select("edge", "doc_id", "task", "text")
+    # Ranges of doc_id are numbered in ascending order; empty ones leave gaps.
+    order = Window.orderBy("task")
     n = F.count("*").over(Window.partitionBy())
-    a = lasts.withColumn("at", F.row_number().over(order) % n)
-    b = firsts.withColumn("at", F.row_number().over(order) - 1).select(
-        "at", F.col("text").alias("following")
+    tasks = edges.filter("edge = 'last'").select("task").withColumn("at", F.row_number().over(order) - 1)
+    tasks = materialize(tasks.withColumn("next", (F.col("at") + 1) % n), "tasks")
+    following = tasks.select(F.col("at").alias("next"), F.col("task").alias("next_task"))
+    after = edges.filter("edge = 'first'").select(
+        F.col("task").alias("next_task"), F.col("text").alias("following")
+    )
+    pairs = (
+        edges.filter("edge = 'last'")
+        .join(tasks.join(following, "next").select("task", "next_task"), "task")
+        .join(after, "next_task")
+        .select("doc_id", "text", "following")
     )
-    pairs = a.join(b, "at").select("doc_id", "text", "following")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
