@@ -323,3 +323,149 @@ def test_classifiers_take_odd_and_empty_tables(spark, labelled):
         found = langid.fit(docs, every)
         langs = docs.select(langid.identify(found, F.col("text")).alias("s")).collect()
         assert {r.s.lang_pred for r in langs} <= {"und"}
+
+
+# ------------------------------------------------- classifiers by brute force
+
+
+def plain_response(net, text):
+    """Largest response of each filter over all chunks, position by position."""
+    half, lags = quality.HALF, quality.LAGS
+    data = quality.padded(text)
+    codes, w = data[lags:], np.vstack([net.left, net.right])
+    best = [0.0] * quality.FILTERS
+    for start in range(0, len(codes) - 2 * half + 1, half):
+        for f in range(quality.FILTERS):
+            z = float(net.bias[f])
+            for i in range(2 * half):
+                for d in range(quality.DIM):
+                    z += float(net.embed[codes[start + i], d]) * float(w[i * quality.DIM + d, f])
+            for lag in range(1, lags + 1):
+                same = sum(data[lags + start + i] == data[lags + start + i - lag] for i in range(2 * half))
+                z += same / half * float(net.lags[lag - 1, f])
+            best[f] = max(best[f], z)
+    return best
+
+
+def test_quality_equals_a_plain_forward_pass(spark):
+    net = quality.train([b"good text here " * 9, b"!!## " * 30] * 6, np.array([1, 0] * 6))
+    texts = ["", "short", "aaaa " * 12, "good text, é and !!## " * 5, None]
+    want = []
+    for t in texts:
+        z = sum(float(o) * b for o, b in zip(net.out, plain_response(net, (t or "").encode())))
+        want.append(1 / (1 + np.exp(-(z + net.out_bias))))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = df.select("id", quality.score(net, F.col("text")).alias("s")).orderBy("id").collect()
+    assert np.allclose([r.s for r in got], want, atol=1e-4)
+
+
+def plain_mixture(model, text):
+    """The same inference, trigram by trigram and language by language."""
+    raw = f" {text.lower()} ".encode()
+    times = {}
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        code = ((a | b << 8 | c << 16) * 2654435761 % 2**32) >> 17
+        times[code] = times.get(code, 0) + 1
+    total = sum(times.values())
+    active = list(range(len(model.languages)))
+    share, best = [1 / len(active)] * len(active), None
+    while True:
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * len(active)
+            for code, n in times.items():
+                parts = [s * model.chance[code, a] for s, a in zip(share, active)]
+                for i, p in enumerate(parts):
+                    new[i] += n * p / sum(parts) / total
+            moved = max(abs(x - y) for x, y in zip(new, share))
+            share = new
+            if moved < 1e-3:
+                break
+        fit = sum(
+            n * np.log(sum(s * model.chance[code, a] for s, a in zip(share, active))) for code, n in times.items()
+        ) - langid.PENALTY * np.log(total + 1) * len(active)
+        if best is None or fit >= best[0]:
+            best = (fit, {model.languages[a]: s for a, s in zip(active, share)})
+        if len(active) == 1:
+            return best[1]
+        gone = {i for i, s in enumerate(share) if s < 0.01} or {share.index(min(share))}
+        if len(gone) == len(active):
+            gone.discard(share.index(max(share)))
+        active = [a for i, a in enumerate(active) if i not in gone]
+        share = [s for i, s in enumerate(share) if i not in gone]
+        share = [s / sum(share) for s in share]
+
+
+def test_language_equals_plain_expectation_maximisation():
+    rng = random.Random(8)
+    sets = {"aa": "abcdef", "bb": "defghi", "cc": "xyzuvw", "dd": "uvwklm", "ee": "ghixyz"}
+
+    def words(lang, n):
+        return " ".join("".join(rng.choices(sets[lang], k=rng.randint(2, 6))) for _ in range(n))
+
+    model = langid.train([(lang, words(lang, 300)) for lang in sets for _ in range(3)])
+    for _ in range(12):
+        text = " ".join(words(rng.choice(list(sets)), rng.randint(1, 60)) for _ in range(rng.randint(1, 3)))
+        want = plain_mixture(model, text)
+        lang, share, found = model.judge(text)
+        assert {a for a, _ in found} == set(want) and lang == max(sorted(want), key=lambda a: round(want[a], 9))
+        assert all(abs(want[a] - s) < 1e-6 for a, s in found)
+
+
+def test_every_language_is_learned_from_an_even_share(spark):
+    """250 languages, one of which holds most rows, and an id that very many rows share."""
+    rows = [(10_000 + i, f"l{i:03d}", f"w{i} q{i}x " * 3) for i in range(250) for _ in range(2)]
+    rows += [(i, "l000", f"large {i} text") for i in range(3000)] + [(5, "l001", f"same id {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(6)
+    model = langid.fit(df, F.lit(True), 2000)
+    assert len(model.languages) == 250
+    picked = langid.sample(df.select("lang", "doc_id"), 2000)
+    counts = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}
+    assert counts == {f"l{i:03d}": 1 for i in range(2, 250)} | {"l000": 8, "l001": 2}
+    want = sorted(
+        (r.h, r.doc_id) for r in df.filter("lang = 'l000'").select("doc_id", F.expr("xxhash64('sample', doc_id)").alias("h")).distinct().collect()
+    )[:8]
+    assert {r.doc_id for r in picked.filter("lang = 'l000'").collect()} == {d for _, d in want}
+
+
+def test_fits_do_not_depend_on_the_order_of_repeated_ids(spark):
+    rng = random.Random(4)
+    rows = [(i % 30, f"{'bad worse ' if i % 3 else 'fine text '}{rng.random()} word{i}", "xy"[i % 2]) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    fitted = []
+    for seed in (1, 2):
+        mixed = rows[:]
+        random.Random(seed).shuffle(mixed)
+        df = spark.createDataFrame(mixed, "doc_id long, text string, lang string").repartition(3 + seed)
+        net, found = quality.fit(df, labels, F.lit(True), 20), langid.fit(df, F.lit(True), 20)
+        model = toxicity.fit(df, labels, F.lit(True), 20)
+        assert len(model.ids) <= 20
+        scores = df.select("text", toxicity.score(model, F.col("text")).alias("s")).collect()
+        fitted.append((net.embed.tobytes(), found.chance.tobytes(), sorted((r.text, r.s.score) for r in scores)))
+    assert fitted[0] == fitted[1]
+
+
+def test_top_k_sends_the_index_only_where_it_is_visited(spark, monkeypatch):
+    """All queries lie in one cluster of five: far fewer parts than one index a block."""
+    monkeypatch.setattr(topk, "PART_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    monkeypatch.setattr(topk, "ROUNDS", (2,))
+    sent = []
+    write = topk.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "wanted":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(topk, "materialize", counted)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 3, (5, 6))
+    centres *= 6 / np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = [(i, (centres[i % 5] + rng.normal(0, 0.02, 6)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, pivots=20).collect()
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(ints, 5)
+    # 20 blocks, and 20 pivots of 13 annuli each.
+    assert 0 < sum(sent) < 0.4 * 20 * 20 * 13
