@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.functions import charset, html, retry, text
+from pageloom.functions import charset, html, retry, sql, text
 from pageloom.operators import chunks, links
 from pageloom.plans.corpus import pages_to_chunks
 
@@ -155,6 +155,19 @@ def test_links_are_joined_once_and_filtered_on_the_value(spark):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def _python_nodes(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BatchEvalPython"), plan.count("ArrowEvalPython")
+
+
+def test_bodies_go_to_python_in_short_batches(spark):
+    sql.register(spark)
+    df = spark.createDataFrame([(b"\xe9t\xe9", None), (None, "utf-16")], "body binary, declared string")
+    for text_of in (charset.decode_body(F.col("body"), F.col("declared")), F.expr("decode_body(body, declared)")):
+        rows, columns = _python_nodes(df.select(text_of))
+        assert rows and not columns
+
+
 def test_late_declaration_is_found(spark):
     long = b"<head><script>" + b"x" * 200_000 + b"</script>"
     rows = [
