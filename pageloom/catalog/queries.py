@@ -463,12 +463,13 @@ def fetch_lookup(spark, folder):
 
 @query
 def expand_frontier(spark, folder):
-    """Suppliers of all parts: the graph links back, the frontier is one side of it."""
-    edges = given.supply_graph(spark, folder)
+    """Links of all pages, and suppliers of all parts: that graph links back, and the
+    frontier is one side of it."""
+    edges = given.edges(spark, folder).union(given.supply_graph(spark, folder))
     parts = given.table(spark, folder, "lineitem").select(
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("url")
     )
-    return graph.expand_frontier(parts.distinct(), edges)
+    return graph.expand_frontier(graph.urls_union(_page_urls(spark, folder), parts), edges)
 
 
 @query

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from pageloom.catalog.queries import QUERIES
 from pageloom.operators import graph
 from pageloom.plans.corpus import crawl_run, crawl_to_chunks
 
@@ -171,6 +172,15 @@ def test_small_frontier_is_broadcast_and_edges_stay_put(spark, folder):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_frontier_query_expands_pages_and_parts(spark, tmp_path):
+    pages = [("http://s.t/a", '<a href="/b">b</a><a href="/c">c</a>'), ("http://s.t/b", '<a href="/c">c</a>')]
+    spark.createDataFrame(pages, "url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    items = spark.createDataFrame([(1, 7), (1, 8), (2, 7)], "l_partkey bigint, l_suppkey bigint")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(r["url"] for r in QUERIES["expand_frontier"](spark, str(tmp_path)).collect())
+    assert got == ["http://s.t/b", "http://s.t/c", "s7", "s8"]
+
+
 def test_pages_a_crawl_can_come_to(spark):
     seeds = seeds_of(spark, "http://o.t/", "http://s.t/", "http://none/")
     near = graph.visitable(pages_of(spark), seeds, site="s.t", exclude_keywords=["skip"])
