@@ -1,9 +1,12 @@
 """HTML to text and links.
 
-Two paths. The default is an Arrow UDF over the standard library's tokenizer with an
+Two paths. The default is a Python UDF over the standard library's tokenizer with an
 open-element stack: right on real markup. The native one, for the asking, is regular
 expressions inside the JVM; it reads well-formed pages alike and differs on unclosed or
 nested dropped elements and on ``>`` inside attribute values.
+
+The UDFs take pages a hundred at a time, as rows: an Arrow batch holds thousands of pages
+(up to 64 MB), which a worker would have as columns, as strings and as results at once.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -246,30 +248,28 @@ def _parse(html: str, dropped=DROPPED) -> _Page:
     return page
 
 
-@F.pandas_udf(StringType())
-def html_to_text_parsed(html: pd.Series) -> pd.Series:
+@F.udf(StringType(), useArrow=False)
+def html_to_text_parsed(html: str | None) -> str | None:
     """Visible text by tokenizing the page; slower, and exact on broken markup."""
-    return html.map(lambda h: " ".join(_parse(h).texts), na_action="ignore")
+    return None if html is None else " ".join(_parse(html).texts)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def link_values_parsed(html: pd.Series) -> pd.Series:
+@F.udf(ArrayType(StringType()), useArrow=False)
+def link_values_parsed(html: str | None) -> list[str] | None:
     """Anchor targets by tokenizing the page, distinct, in page order."""
-    return html.map(lambda h: list(dict.fromkeys(_parse(h).hrefs)), na_action="ignore")
+    return None if html is None else list(dict.fromkeys(_parse(html).hrefs))
 
 
-@F.pandas_udf(
-    StructType([StructField("text", StringType()), StructField("hrefs", ArrayType(StringType()))])
+@F.udf(
+    StructType([StructField("text", StringType()), StructField("hrefs", ArrayType(StringType()))]),
+    useArrow=False,
 )
-def page_parsed(html: pd.Series) -> pd.DataFrame:
+def page_parsed(html: str | None) -> tuple[str | None, list[str] | None]:
     """Visible text and anchor targets from one pass over the page."""
-    pages = [None if h is None else _parse(h) for h in html]
-    return pd.DataFrame(
-        {
-            "text": pd.Series([p and " ".join(p.texts) for p in pages], dtype=object),
-            "hrefs": pd.Series([p and list(dict.fromkeys(p.hrefs)) for p in pages], dtype=object),
-        }
-    )
+    if html is None:
+        return None, None
+    page = _parse(html)
+    return " ".join(page.texts), list(dict.fromkeys(page.hrefs))
 
 
 def page_native(c: Column) -> Column:

@@ -160,6 +160,13 @@ def _python_nodes(df):
     return plan.count("BatchEvalPython"), plan.count("ArrowEvalPython")
 
 
+@pytest.mark.parametrize("read", [html.link_values_parsed, html.html_to_text_parsed, html.page_parsed])
+def test_pages_go_to_python_in_short_batches(spark, read):
+    """As rows, a hundred at a time, and not in Arrow batches of thousands of pages."""
+    df = spark.createDataFrame([("<a href=x>y</a>",), (None,)], "html string")
+    assert _python_nodes(df.select(read("html"))) == (1, 0)
+
+
 def test_bodies_go_to_python_in_short_batches(spark):
     sql.register(spark)
     df = spark.createDataFrame([(b"\xe9t\xe9", None), (None, "utf-16")], "body binary, declared string")
